@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import checkpoint, require_columns, small
@@ -47,10 +47,10 @@ def random_forest(
     data = _cells(df, key, features, label, keys, id_cols, params, samples, params.bootstrap, False)
     subset = _subset_size(params.feature_subset_strategy, len(features), params.num_trees)
     trees = [(t, t if sampled else 0) for t in range(params.num_trees)]
-    model = _grow(data, trees, subset, params, data.cells, params.seed)
-    predicted = _with_trees(data, data.cells, model, params.num_trees, params)
-    mean = F.aggregate("_leaves", F.lit(0.0), lambda a, x: a + x) / params.num_trees
-    return _test_metrics(data, predicted.withColumn("_f", mean))
+    levels = _grow(data, data.cells, trees, subset, params, params.seed)
+    each_tree = _predicted(data, data.cells, levels, params.num_trees)
+    cell = [key, "_bins", "_tn", "_ty", "_tyy"]
+    return _test_metrics(data, each_tree.groupBy(*cell).agg(F.avg("_value").alias("_f")))
 
 
 def gradient_boost(
@@ -77,11 +77,13 @@ def gradient_boost(
     for turn in range(params.max_iter):
         sample = turn if sampled else 0
         target = cells if turn == 0 else cells.withColumn("_sums", _residual_sums(params.loss_type))
-        model = _grow(data, [(0, sample)], subset, params, target, params.seed + turn)
+        levels = _grow(data, target, [(0, sample)], subset, params, params.seed + turn)
         weight = 1.0 if turn == 0 else params.step_size
-        grown = _with_trees(data, cells, model, 1, params)
-        cells = grown.withColumn("_f", F.col("_f") + weight * F.get("_leaves", F.lit(0)))
-        cells = cells.drop("_leaves")
+        cells = (
+            _predicted(data, cells, levels, 1)
+            .withColumn("_f", F.col("_f") + weight * F.col("_value"))
+            .drop("_value")
+        )
         if turn < params.max_iter - 1:
             cells = checkpoint(cells)
     return _test_metrics(data, cells)
@@ -115,15 +117,15 @@ def _subset_size(strategy: str, features: int, trees: int) -> int:
 
 @dataclass
 class _Data:
-    """Cells of all keys with the number of keys, which decides whether models are broadcast.
+    """Cells of all keys.
 
-    A cell holds ``_bins``; ``_sums``, per sample the weight and the weighted sums of the label
+    A cell holds its key's number of training rows, ``_rows``; ``_bins``; ``_sums``, per sample the weight and the weighted sums of the label
     and its square; and the count and sums of its test rows, ``_tn``, ``_ty`` and ``_tyy``.
     Labels are counted from the key's training mean, which keeps the squares small.
     """
 
     key: str
-    keys: DataFrame
+    features: int
     count: int
     cells: DataFrame
 
@@ -155,8 +157,9 @@ def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap,
     )
     count = per_key.count()
 
-    binned = rows.join(small(per_key.select(key, "_cuts", "_mean"), count), key).select(
+    binned = rows.join(small(per_key, count), key).select(
         key,
+        "_rows",
         F.array(*(_bin(F.col(name), F.get("_cuts", F.lit(i))) for i, name in enumerate(x))).alias(
             "_bins"
         ),
@@ -167,19 +170,18 @@ def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap,
     y = F.col("_y")
     sums = []
     for i in range(samples):
-        drawn = _draw(F.col(f"_u{i}"), params.subsampling_rate, bootstrap)
-        w = F.when(F.col("_train"), drawn).otherwise(0.0)
+        w = f"if(_train, {_draw(f'_u{i}', params.subsampling_rate, bootstrap)}, 0D)"
         sums.append(
-            F.struct(F.sum(w).alias("n"), F.sum(w * y).alias("y"), F.sum(w * y * y).alias("yy"))
+            F.expr(f"named_struct('n', sum({w}), 'y', sum({w} * _y), 'yy', sum({w} * _y * _y))")
         )
     test = F.when(F.col("_train"), 0.0).otherwise(1.0)
-    cells = binned.groupBy(key, "_bins", *(["_y"] if by_label else [])).agg(
+    cells = binned.groupBy(key, "_rows", "_bins", *(["_y"] if by_label else [])).agg(
         F.array(*sums).alias("_sums"),
         F.sum(test).alias("_tn"),
         F.sum(test * y).alias("_ty"),
         F.sum(test * y * y).alias("_tyy"),
     )
-    return _Data(key, per_key.select(key, "_rows"), count, checkpoint(cells))
+    return _Data(key, len(features), count, checkpoint(cells))
 
 
 def _present(name: str) -> Column:
@@ -192,16 +194,16 @@ def _bin(x: Column, cuts: Column) -> Column:
     return F.size(F.filter(cuts, lambda cut: cut < x))
 
 
-def _draw(u: Column, rate: float, bootstrap: bool) -> Column:
+def _draw(u: str, rate: float, bootstrap: bool) -> str:
     """How often a row is drawn, from a uniform number: a Poisson count, or 0/1."""
     if not bootstrap:
-        return F.lit(1.0) if rate >= 1 else (u < rate).cast("double")
-    times, below, term = F.lit(0.0), 0.0, math.exp(-rate)
+        return "1D" if rate >= 1 else f"double({u} < {rate}D)"
+    times, below, term = [], 0.0, math.exp(-rate)
     for k in range(_MAX_DRAW):
         below += term
-        times = times + (u > below).cast("double")
+        times.append(f"double({u} > {below!r}D)")
         term *= rate / (k + 1)
-    return times
+    return "(" + " + ".join(times) + ")"
 
 
 def _residual_sums(loss: str) -> Column:
@@ -226,194 +228,132 @@ def _residual_sums(loss: str) -> Column:
 # --- growing --------------------------------------------------------------------------------
 
 
-def _grow(data: _Data, trees, subset: int, params, cells: DataFrame, seed: int) -> DataFrame:
-    """Grow the trees ``[(tree, sample)]`` of all keys and give their nodes.
+@dataclass
+class _Level:
+    """The nodes of one depth, ``(key, tree, node, value, f, bin, left, right)``, and their number.
 
-    A node is ``(key, slot, f, bin, child, depth, value)``.  Slots count a key's nodes from 0,
-    the roots first.  An inner node sends bins up to ``bin`` of feature ``f`` to slot ``child``
-    and the rest to the slot after it; ``value`` is the node's mean label.
+    The children of node i are 2i+1 and 2i+2.  ``value`` is the mean label, ``f`` the feature to
+    split by, null for a leaf, ``bin`` the last bin that goes left, and ``left`` and ``right``
+    the mean labels of the children.
     """
-    key = data.key
-    root = F.explode(F.array(*(F.lit(t) for t, _ in trees))).alias("slot")
-    unset = F.lit(None).cast("int")
-    model = data.keys.select(
-        key,
-        root,
-        unset.alias("f"),
-        unset.alias("bin"),
-        unset.alias("child"),
-        F.lit(0).alias("depth"),
-        F.lit(None).cast("double").alias("value"),
-    )
-    for depth in range(params.max_depth):
-        histogram = _histogram(data, cells, model, trees, depth)
-        splits = checkpoint(_best_splits(data, histogram, subset, params, seed))
-        parents = splits.filter(F.col("f").isNotNull())
-        grown = not parents.isEmpty()
-        if not grown and depth > 0:
-            break
-        model = checkpoint(_extended(model, splits, parents, key, depth))
-        if not grown:
+
+    nodes: DataFrame
+    count: int
+
+
+def _grow(data: _Data, cells: DataFrame, trees, subset: int, params, seed: int) -> list[_Level]:
+    """Grow the trees ``[(tree, sample)]`` of all keys together, one grouped job per depth."""
+    levels: list[_Level] = []
+    for _ in range(params.max_depth):
+        histogram = _histogram(data, cells, levels, trees, subset, seed)
+        nodes = checkpoint(_best_splits(data, histogram, params))
+        total, splits = nodes.agg(F.count("*"), F.count("f")).first()
+        levels.append(_Level(nodes, splits if levels else total))
+        if splits == 0:
             break
-    return model
+    return levels
 
 
-def _extended(model: DataFrame, splits: DataFrame, parents: DataFrame, key: str, depth: int):
-    """The nodes with this level's splits filled in and their children added."""
-    used = model.groupBy(key).agg(F.count("*").cast("int").alias("_used"))
-    turn = F.row_number().over(Window.partitionBy(key).orderBy("slot")) - 1
-    pairs = parents.join(used, key).withColumn("_child", F.col("_used") + 2 * turn)
-    split = splits.join(pairs.select(key, "slot", "_child"), [key, "slot"], "left").select(
-        key, "slot", F.col("f").alias("_f2"), F.col("bin").alias("_bin2"), "_child",
-        F.col("value").alias("_mean"),
+# where a cell goes at a node that splits: the second child for bins above the node's bin
+_RIGHT = "get(_bins, f) > bin"
+_CHILD = f"2 * node + if({_RIGHT}, 2, 1)"
+
+
+def _histogram(data: _Data, cells: DataFrame, levels: list[_Level], trees, subset: int, seed: int):
+    """Sums per key, growing node, feature and bin: the one pass over the cells of a depth.
+
+    A cell finds its node by one join per finished depth; it drops out where it meets a leaf.
+    """
+    key = data.key
+    named = _quoted(key)
+    roots = ", ".join(
+        f"named_struct('tree', {tree}, 'sum', get(_sums, {sample}))" for tree, sample in trees
     )
-    settled = model.join(split, [key, "slot"], "left").select(
-        key,
-        "slot",
-        F.coalesce("f", "_f2").alias("f"),
-        F.coalesce("bin", "_bin2").alias("bin"),
-        F.coalesce("child", "_child").alias("child"),
-        "depth",
-        F.coalesce("value", "_mean").alias("value"),
+    placed = (
+        cells.selectExpr(named, "_rows", "_bins", f"explode(array({roots})) as _at")
+        .selectExpr(named, "_rows", "_bins", "_at.tree", "bigint(0) as node", "_at.sum.*")
+        .filter("n > 0")
     )
-    sides = F.explode(
-        F.array(
-            F.struct(F.col("_child").alias("slot"), F.col("left").alias("value")),
-            F.struct((F.col("_child") + 1).alias("slot"), F.col("right").alias("value")),
+    for level in levels:
+        splits = level.nodes.filter("f is not null").selectExpr(named, "tree", "node", "f", "bin")
+        placed = placed.join(small(splits, level.count), [key, "tree", "node"]).selectExpr(
+            named, "_rows", "_bins", "tree", f"{_CHILD} as node", "n", "y", "yy"
         )
+    binned = placed.selectExpr(
+        named, "_rows", "tree", "node", "n", "y", "yy", "posexplode(_bins) as (f, bin)"
     )
-    unset = F.lit(None).cast("int")
-    children = pairs.select(key, sides.alias("c")).select(
-        key,
-        "c.slot",
-        unset.alias("f"),
-        unset.alias("bin"),
-        unset.alias("child"),
-        F.lit(depth + 1).alias("depth"),
-        "c.value",
+    if subset < data.features:
+        binned = binned.filter(_drawn_feature(named, data.features, subset, seed))
+    return binned.groupBy(key, "_rows", "tree", "node", "f", "bin").agg(
+        F.expr("sum(n) as n"), F.expr("sum(y) as y"), F.expr("sum(yy) as yy")
     )
-    return settled.unionByName(children)
 
 
-def _packed(model: DataFrame, key: str) -> DataFrame:
-    """One row per key with the array ``_nodes`` in slot order."""
-    node = F.struct("slot", "f", "bin", "child", "depth", "value")
-    return model.groupBy(key).agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _walk(root: Column, depth: int) -> Column:
-    """The slot that a cell reaches from a root after at most ``depth`` steps."""
-    if depth == 0:
-        return root
+def _drawn_feature(key: str, features: int, subset: int, seed: int) -> str:
+    """Whether ``f`` is among the ``subset`` features with the lowest hashes at the node."""
 
-    def down(at: Column, _: Column) -> Column:
-        node = F.get("_nodes", at)
-        goes_right = (F.get("_bins", node["f"]) > node["bin"]).cast("int")
-        return F.when(node["f"].isNull(), at).otherwise(node["child"] + goes_right)
+    def chance(f: str) -> str:
+        return f"xxhash64({key}, tree, node, {f}, {seed})"
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, down)
+    lower = " + ".join(f"int({chance(str(g))} < {chance('f')})" for g in range(features))
+    return f"{lower} < {subset}"
 
 
-def _histogram(data: _Data, cells: DataFrame, model: DataFrame, trees, depth: int) -> DataFrame:
-    """Sums per key, growing node, feature and bin: the one pass over the cells of a level."""
-    key = data.key
-    roots = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in trees))
-    if depth > 0:
-        cells = cells.join(small(_packed(model, key), data.count), key)
+def _best_splits(data: _Data, histogram: DataFrame, params) -> DataFrame:
+    """The nodes of a depth with their best allowed splits.
 
-    def place(tree: Column) -> Column:
-        return F.struct(
-            _walk(tree["t"], depth).alias("slot"), F.get("_sums", tree["s"]).alias("sum")
-        )
-
-    placed = F.filter(F.transform(roots, place), lambda at: at["sum"]["n"] > 0)
-    if depth > 0:
-        placed = F.filter(placed, lambda at: F.get("_nodes", at["slot"])["depth"] == depth)
-    return (
-        cells.select(key, "_bins", F.explode(placed).alias("_at"))
-        .select(key, "_at.slot", "_at.sum", F.posexplode("_bins").alias("f", "bin"))
-        .groupBy(key, "slot", "f", "bin")
-        .agg(F.sum("sum.n").alias("n"), F.sum("sum.y").alias("y"), F.sum("sum.yy").alias("yy"))
-    )
-
-
-def _best_splits(data: _Data, histogram: DataFrame, subset: int, params, seed: int) -> DataFrame:
-    """The best allowed split of every node: ``(key, slot, value, f, bin, left, right)``.
-
-    ``f`` is null for a node that stays a leaf.  A node's histogram has at most
-    features times bins rows, whatever the number of rows behind it.
+    A node's histogram has at most features times bins rows, whatever the number of rows behind
+    it.
     """
     key = data.key
-    node = Window.partitionBy(key, "slot", "f")
-    so_far = node.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    named = _quoted(key)
+
+    def spread(n: str, y: str, yy: str) -> str:
+        """Sum of squared distances from the mean; 0 for no rows."""
+        return f"greatest({yy} - coalesce(({y}) * ({y}) / nullif({n}, 0), 0), 0)"
+
+    by_feature = f"partition by {named}, tree, node, f"
+    up_to = f"{by_feature} order by bin rows between unbounded preceding and current row"
     # one partitioning by node serves every step below
-    sums = histogram.repartition(key, "slot")
-    for name in ("n", "y", "yy"):
-        sums = sums.withColumn(f"l{name}", F.sum(name).over(so_far))
-        sums = sums.withColumn(f"t{name}", F.sum(name).over(node))
-
-    def spread(n: Column, y: Column, yy: Column) -> Column:
-        """Sum of squared distances from the mean."""
-        return F.greatest(yy - y * y / n, F.lit(0.0))
-
-    ln, ly, lyy = F.col("ln"), F.col("ly"), F.col("lyy")
-    tn, ty, tyy = F.col("tn"), F.col("ty"), F.col("tyy")
-    rn, ry, ryy = tn - ln, ty - ly, tyy - lyy
+    sums = histogram.repartition(key, "tree", "node").selectExpr(
+        "*",
+        *(f"sum({name}) over ({up_to}) as l{name}" for name in ("n", "y", "yy")),
+        *(f"sum({name}) over ({by_feature}) as t{name}" for name in ("n", "y", "yy")),
+    )
     gain = (
-        spread(tn, ty, tyy)
-        - spread(ln, ly, lyy)
-        - F.when(rn > 0, spread(F.nullif(rn, F.lit(0.0)), ry, ryy)).otherwise(0.0)
-    ) / tn
-    least = params.min_weight_fraction_per_node * F.col("_rows")
-    allowed = (
-        (rn > 0)
-        & (ln >= params.min_instances_per_node)
-        & (rn >= params.min_instances_per_node)
-        & (ln >= least)
-        & (rn >= least)
-        # gains that are only rounding do not split
-        & (gain > 1e-12 * F.greatest(tyy / tn, F.lit(1e-300)))
-        & (gain >= params.min_info_gain)
+        f"({spread('tn', 'ty', 'tyy')} - {spread('ln', 'ly', 'lyy')}"
+        f" - {spread('tn - ln', 'ty - ly', 'tyy - lyy')}) / tn"
     )
-    best = F.max(
-        F.when(
-            allowed,
-            F.struct(
-                gain.alias("gain"),
-                (-F.col("bin")).alias("minus_bin"),
-                (ly / ln).alias("left"),
-                (ry / F.nullif(rn, F.lit(0.0))).alias("right"),
-            ),
-        )
+    fewest = (
+        f"greatest({float(params.min_instances_per_node)}, "
+        f"{params.min_weight_fraction_per_node} * _rows)"
     )
-    joined = sums.join(small(data.keys, data.count), key)
-    per_feature = joined.groupBy(key, "slot", "f").agg(
-        best.alias("best"), F.first(ty / tn).alias("value")
+    # a gain that is only rounding does not split
+    allowed = (
+        f"tn > ln and ln >= {fewest} and tn - ln >= {fewest}"
+        f" and gain > 1e-12 * tyy / tn and gain >= {params.min_info_gain}"
     )
-    chance = F.xxhash64(key, "slot", "f", F.lit(seed))
-    drawn = F.row_number().over(Window.partitionBy(key, "slot").orderBy(chance, "f")) <= subset
-    choice = F.when(
-        F.col("_drawn") & F.col("best").isNotNull(),
-        F.struct(
-            F.col("best.gain").alias("gain"),
-            (-F.col("f")).alias("minus_f"),
-            F.col("best.minus_bin").alias("minus_bin"),
-            F.col("best.left").alias("left"),
-            F.col("best.right").alias("right"),
-        ),
+    choice = (
+        "named_struct('gain', gain, 'minus_f', -f, 'minus_bin', -bin, 'left', ly / ln,"
+        " 'right', (ty - ly) / nullif(tn - ln, 0))"
     )
     return (
-        per_feature.withColumn("_drawn", drawn)
-        .groupBy(key, "slot")
-        .agg(F.max(choice).alias("c"), F.first("value").alias("value"))
-        .select(
-            key,
-            "slot",
+        sums.selectExpr("*", f"{gain} as gain")
+        .groupBy(key, "tree", "node")
+        .agg(F.expr(f"max(if({allowed}, {choice}, null)) as c"), F.expr("max(ty / tn) as value"))
+        .selectExpr(
+            named,
+            "tree",
+            "node",
             "value",
-            (-F.col("c.minus_f")).alias("f"),
-            (-F.col("c.minus_bin")).alias("bin"),
-            "c.left",
-            "c.right",
+            "-c.minus_f as f",
+            "-c.minus_bin as bin",
+            "c.left as left",
+            "c.right as right",
         )
     )
 
@@ -421,16 +361,26 @@ def _best_splits(data: _Data, histogram: DataFrame, subset: int, params, seed: i
 # --- predicting -----------------------------------------------------------------------------
 
 
-def _with_trees(data: _Data, cells: DataFrame, model: DataFrame, trees: int, params) -> DataFrame:
-    """Add ``_leaves``, the cell's prediction by each tree."""
-    packed = small(_packed(model, data.key), data.count)
-
-    def leaf(tree: Column) -> Column:
-        node = F.get("_nodes", _walk(tree, params.max_depth))
-        return F.coalesce(node["value"], F.lit(0.0))
-
-    leaves = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), leaf)
-    return cells.join(packed, data.key).withColumn("_leaves", leaves).drop("_nodes")
+def _predicted(data: _Data, cells: DataFrame, levels: list[_Level], trees: int) -> DataFrame:
+    """The cells once per tree, with the tree's prediction ``_value``."""
+    key, columns = data.key, [_quoted(name) for name in cells.columns]
+    found = cells.selectExpr(
+        *columns,
+        f"explode(sequence(0, {trees - 1})) as tree",
+        "bigint(0) as node",
+        "double(0) as _value",
+    )
+    reached = f"if(f is not null, if({_RIGHT}, right, left), null)"
+    for depth, level in enumerate(levels):
+        nodes = level.nodes if depth == 0 else level.nodes.filter("f is not null")
+        stay = "coalesce(value, _value)" if depth == 0 else "_value"
+        found = found.join(small(nodes, level.count), [key, "tree", "node"], "left").selectExpr(
+            *columns,
+            "tree",
+            f"if(f is not null, {_CHILD}, null) as node",
+            f"coalesce({reached}, {stay}) as _value",
+        )
+    return found.drop("tree", "node")
 
 
 def _test_metrics(data: _Data, cells: DataFrame) -> DataFrame:

@@ -8,15 +8,19 @@ AQE splits skewed partitions.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 20_000_000
 ARRAY_ROWS = 1_000_000
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -25,26 +29,38 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"unknown column(s) {missing}; the table has {df.columns}")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point the context at the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor must reach.
 
     A temporary folder stands in for an unset name only where driver and executors share one
     machine; on a cluster an unset name is an error.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="areastats-checkpoint-")
-    sc.setCheckpointDir(folder)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="areastats-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to the shared folder and read them back.
+
+    This cuts the lineage, so a lost executor costs no recomputation and values drawn at random
+    stay as they were.  It also gives the planner the true size: the estimates of an iterative
+    plan multiply at every join, and ``DataFrame.checkpoint`` would hand them on.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/areastats-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
