@@ -320,7 +320,9 @@ def _starter(size: int, params: LinearParams):
                 continue
             mean = np.array(pdf["means"].tolist(), dtype=float).reshape(-1, size + 1)
             cov = _square(np.array(pdf["covs"].tolist(), dtype=float).reshape(len(mean), -1), size + 1)
-            scale = np.sqrt(np.maximum(np.einsum("kii->ki", cov), 0))
+            # the penalty of this loss is scaled by sample deviations
+            n = pdf["n"].to_numpy(dtype=float)[:, None]
+            scale = np.sqrt(np.maximum(np.einsum("kii->ki", cov), 0) * n / np.maximum(n - 1, 1))
             ridge = LinearParams(
                 reg_param=0.0,
                 fit_intercept=params.fit_intercept,

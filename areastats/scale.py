@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary folder stands in for an unset name only where driver and executors share one
     machine; on a cluster an unset name is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
