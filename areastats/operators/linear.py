@@ -17,7 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import checkpoint, require_columns, small
+from ..scale import checkpoint, checkpoint_counted, require_columns, small
 from .features import assemble
 from .metrics import r2_column
 from .params import LinearParams
@@ -290,14 +290,16 @@ def _huber(rows: DataFrame, key: str, features, params: LinearParams) -> DataFra
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sums = rows.groupBy(key).agg(_checked_count(names).alias("n"), *_moments(names))
-        state = checkpoint(sums.mapInPandas(_starter(size, settings), _state_schema(sums, key)))
-        keys = state.count()
+        started = sums.mapInPandas(_starter(size, settings), _state_schema(sums, key))
+        open_keys = F.when(~F.col("done"), True)
+        state, (keys, left) = checkpoint_counted(started, key, open_keys)
         for _ in range(params.max_iterations):
-            if state.filter(~F.col("done")).isEmpty():
+            if left == 0:
                 break
             passed = _huber_sums(rows, small(state.filter(~F.col("done")), keys), key, size, params)
             joined = state.join(small(passed, keys), key, "left")
-            state = checkpoint(joined.mapInPandas(_stepper(size, settings), state.schema))
+            stepped = joined.mapInPandas(_stepper(size, settings), state.schema)
+            state, (left,) = checkpoint_counted(stepped, open_keys)
         return _huber_answer(rows, small(state, keys), key, size, params)
     finally:
         rows.unpersist()

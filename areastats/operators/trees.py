@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import checkpoint, require_columns, small
+from ..scale import checkpoint, checkpoint_counted, require_columns, small
 from .features import split_bucket
 from .metrics import r2_column
 from .params import BoostParams, ForestParams
@@ -76,7 +76,11 @@ def gradient_boost(
     cells = data.cells.withColumn("_f", F.lit(0.0))
     for turn in range(params.max_iter):
         sample = turn if sampled else 0
-        target = cells if turn == 0 else cells.withColumn("_sums", _residual_sums(params.loss_type))
+        target = cells
+        if turn > 0:
+            target = cells.selectExpr(
+                _quoted(key), "_rows", "_bins", _residual_sums(params.loss_type, sample)
+            )
         levels = _grow(data, target, [(0, sample)], subset, params, params.seed + turn)
         weight = 1.0 if turn == 0 else params.step_size
         cells = (
@@ -84,6 +88,8 @@ def gradient_boost(
             .withColumn("_f", F.col("_f") + weight * F.col("_value"))
             .drop("_value")
         )
+        if sampled:
+            cells = cells.drop(f"_s{turn}")  # no later tree asks for this sample
         if turn < params.max_iter - 1:
             cells = checkpoint(cells)
     return _test_metrics(data, cells)
@@ -119,9 +125,10 @@ def _subset_size(strategy: str, features: int, trees: int) -> int:
 class _Data:
     """Cells of all keys.
 
-    A cell holds its key's number of training rows, ``_rows``; ``_bins``; ``_sums``, per sample the weight and the weighted sums of the label
-    and its square; and the count and sums of its test rows, ``_tn``, ``_ty`` and ``_tyy``.
-    Labels are counted from the key's training mean, which keeps the squares small.
+    A cell holds its key's number of training rows, ``_rows``; its ``_bins``; for each sample i
+    a column ``_s{i}`` of the weight and the weighted sums of the label and its square, so that a
+    pass reads the samples it needs; and the count and sums of its test rows, ``_tn``, ``_ty``
+    and ``_tyy``.  Labels are counted from the key's training mean, which keeps the squares small.
     """
 
     key: str
@@ -146,23 +153,21 @@ def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap,
         (split_bucket(ids, params.seed) < round(params.train_split * 10000)).alias("_train"),
     )
 
-    steps = [i / params.max_bins for i in range(1, params.max_bins)]
-    cuts = F.array(
-        *(F.array_distinct(F.percentile_approx(name, steps, 10_000)) for name in x)
-    ) if steps else F.array(*(F.array().cast("array<double>") for _ in x))
-    per_key = checkpoint(
+    # ranks are right to a twentieth of a bin
+    steps = [i / params.max_bins for i in range(1, params.max_bins)] or [0.5]
+    accuracy = max(1000, 20 * params.max_bins)
+    cuts = F.array(*(F.array_distinct(F.percentile_approx(name, steps, accuracy)) for name in x))
+    per_key, (count,) = checkpoint_counted(
         rows.filter("_train")
         .groupBy(key)
-        .agg(cuts.alias("_cuts"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows"))
+        .agg(cuts.alias("_cuts"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows")),
+        key,
     )
-    count = per_key.count()
 
-    binned = rows.join(small(per_key, count), key).select(
+    binned = _with_bins(rows.join(small(per_key, count), key), x, params.max_bins).select(
         key,
         "_rows",
-        F.array(*(_bin(F.col(name), F.get("_cuts", F.lit(i))) for i, name in enumerate(x))).alias(
-            "_bins"
-        ),
+        "_bins",
         (F.col("_y") - F.col("_mean")).alias("_y"),
         "_train",
         *(F.rand(params.seed + i).alias(f"_u{i}") for i in range(samples)),
@@ -172,11 +177,13 @@ def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap,
     for i in range(samples):
         w = f"if(_train, {_draw(f'_u{i}', params.subsampling_rate, bootstrap)}, 0D)"
         sums.append(
-            F.expr(f"named_struct('n', sum({w}), 'y', sum({w} * _y), 'yy', sum({w} * _y * _y))")
+            F.expr(
+                f"named_struct('n', sum({w}), 'y', sum({w} * _y), 'yy', sum({w} * _y * _y)) as _s{i}"
+            )
         )
     test = F.when(F.col("_train"), 0.0).otherwise(1.0)
     cells = binned.groupBy(key, "_rows", "_bins", *(["_y"] if by_label else [])).agg(
-        F.array(*sums).alias("_sums"),
+        *sums,
         F.sum(test).alias("_tn"),
         F.sum(test * y).alias("_ty"),
         F.sum(test * y * y).alias("_tyy"),
@@ -189,9 +196,24 @@ def _present(name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.raise_error(message).cast("double"))
 
 
-def _bin(x: Column, cuts: Column) -> Column:
-    """Number of cuts below x: rows at a cut fall left of it."""
-    return F.size(F.filter(cuts, lambda cut: cut < x))
+def _with_bins(rows: DataFrame, x: Sequence[str], max_bins: int) -> DataFrame:
+    """Add ``_bins``, for each feature the number of its cuts below the row's value.
+
+    The cuts ascend, so a few halving steps place a value, all within generated code.
+    """
+    rows = rows.selectExpr("*", *(f"0 as _bin{i}" for i in range(len(x))))
+    step = 1 << (max_bins - 1).bit_length()
+    while step:
+        rows = rows.withColumns(
+            {
+                f"_bin{i}": F.expr(
+                    f"_bin{i} + if(get(get(_cuts, {i}), _bin{i} + {step - 1}) < {name}, {step}, 0)"
+                )
+                for i, name in enumerate(x)
+            }
+        )
+        step //= 2
+    return rows.withColumn("_bins", F.array(*(f"_bin{i}" for i in range(len(x)))))
 
 
 def _draw(u: str, rate: float, bootstrap: bool) -> str:
@@ -206,23 +228,14 @@ def _draw(u: str, rate: float, bootstrap: bool) -> str:
     return "(" + " + ".join(times) + ")"
 
 
-def _residual_sums(loss: str) -> Column:
+def _residual_sums(loss: str, sample: int) -> str:
     """Sums of the negative gradient; every row of a cell has the prediction ``_f``."""
-    f = F.col("_f")
-
-    def squared(s: Column) -> Column:
-        return F.struct(
-            s["n"].alias("n"),
-            (2 * (s["y"] - s["n"] * f)).alias("y"),
-            (4 * (s["yy"] - 2 * f * s["y"] + s["n"] * f * f)).alias("yy"),
-        )
-
-    sign = F.when(F.col("_y") < f, -1.0).otherwise(1.0) if loss == "absolute" else None
-
-    def absolute(s: Column) -> Column:
-        return F.struct(s["n"].alias("n"), (s["n"] * sign).alias("y"), s["n"].alias("yy"))
-
-    return F.transform("_sums", squared if loss == "squared" else absolute)
+    n, y, yy = (f"_s{sample}.{name}" for name in ("n", "y", "yy"))
+    if loss == "squared":
+        y, yy = f"2 * ({y} - {n} * _f)", f"4 * ({yy} - 2 * _f * {y} + {n} * _f * _f)"
+    else:
+        y, yy = f"{n} * if(_y < _f, -1D, 1D)", n
+    return f"named_struct('n', {n}, 'y', {y}, 'yy', {yy}) as _s{sample}"
 
 
 # --- growing --------------------------------------------------------------------------------
@@ -246,8 +259,8 @@ def _grow(data: _Data, cells: DataFrame, trees, subset: int, params, seed: int)
     levels: list[_Level] = []
     for _ in range(params.max_depth):
         histogram = _histogram(data, cells, levels, trees, subset, seed)
-        nodes = checkpoint(_best_splits(data, histogram, params))
-        total, splits = nodes.agg(F.count("*"), F.count("f")).first()
+        best = _best_splits(data, histogram, params)
+        nodes, (total, splits) = checkpoint_counted(best, "node", "f")
         levels.append(_Level(nodes, splits if levels else total))
         if splits == 0:
             break
@@ -267,7 +280,7 @@ def _histogram(data: _Data, cells: DataFrame, levels: list[_Level], trees, subse
     key = data.key
     named = _quoted(key)
     roots = ", ".join(
-        f"named_struct('tree', {tree}, 'sum', get(_sums, {sample}))" for tree, sample in trees
+        f"named_struct('tree', {tree}, 'sum', _s{sample})" for tree, sample in trees
     )
     placed = (
         cells.selectExpr(named, "_rows", "_bins", f"explode(array({roots})) as _at")

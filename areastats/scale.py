@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Sequence
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 20_000_000
@@ -51,7 +51,12 @@ def _local_folder() -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back.
+    """Write the rows to the shared folder and read them back."""
+    return checkpoint_counted(df)[0]
+
+
+def checkpoint_counted(df: DataFrame, *columns: Column | str) -> tuple[DataFrame, list[int]]:
+    """Write the rows to the shared folder and read them back; count the columns' values on the way.
 
     This cuts the lineage, so a lost executor costs no recomputation and values drawn at random
     stay as they were.  It also gives the planner the true size: the estimates of an iterative
@@ -59,8 +64,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/areastats-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not columns:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), []
+    seen = Observation()
+    counts = [F.count(column).alias(f"n{i}") for i, column in enumerate(columns)]
+    df.observe(seen, *counts).write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    return written, [seen.get[f"n{i}"] for i in range(len(columns))]
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

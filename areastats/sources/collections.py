@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Loader = Callable[[SparkSession, str, str], DataFrame]
 
@@ -36,8 +37,13 @@ def load_resolution(
     return loader(spark, base, resolution_table(resolution))
 
 
+def _load_rows_only(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The rows of a collection without columns, which needs no look at its schema."""
+    return spark.read.schema(StructType([])).parquet(f"{base.rstrip('/')}/{name}.parquet")
+
+
 def count_tables(
-    spark: SparkSession, base: str, names: Sequence[str], loader: Loader = load
+    spark: SparkSession, base: str, names: Sequence[str], loader: Loader = _load_rows_only
 ) -> DataFrame:
     """Count the rows of each collection: ``(ord, collection, count)`` in request order.
 
