@@ -161,6 +161,68 @@ select gis_join, 0 as total_iterations, round(sqrt(mse), 6) as rmse, round(1 - m
 from e
 """
 
+def _trees(rounds: int, step: float, depth: int, fewest: int) -> str:
+    """Boosted regression trees on l_discount and l_tax, every distinct value a cut."""
+    parts = [
+        f"""r as (
+  select gis_join, l_discount as x0, l_tax as x1, net_price as y,
+         cast(concat('0x', substr(md5(concat_ws('|', l_orderkey, l_linenumber, 42)), 1, 8))
+              as bigint) % 10000 < 8000 as train
+  from ({_READINGS})
+), f0 as (
+  select r.gis_join, x0, x1, y - m as y, train, cast(0 as double) as f
+  from r join (select gis_join, avg(y) as m from r where train group by 1) t
+    on r.gis_join = t.gis_join
+)"""
+    ]
+    for turn in range(rounds):
+        target = "y" if turn == 0 else "2 * (y - f)"
+        parts.append(f"n{turn}_0 as (select *, {target} as t, 0 as node from f{turn})")
+        for level in range(depth):
+            rows, name = f"n{turn}_{level}", f"{turn}_{level}"
+            parts.append(
+                f"""h{name} as (
+  select gis_join, node, fx, v, count(*) as n, sum(t) as s, sum(t * t) as ss
+  from (select gis_join, node, t, 0 as fx, x0 as v from {rows} where train
+        union all select gis_join, node, t, 1, x1 from {rows} where train)
+  group by 1, 2, 3, 4
+), c{name} as (
+  select *, sum(n) over (part order by v) as ln, sum(s) over (part order by v) as ls,
+         sum(ss) over (part order by v) as lss,
+         sum(n) over part as tn, sum(s) over part as ts, sum(ss) over part as tss
+  from h{name} window part as (partition by gis_join, node, fx)
+), b{name} as (
+  select gis_join, node, fx, v from (
+    select *, row_number() over (partition by gis_join, node order by
+              ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) desc, fx, v) as place
+    from c{name} where ln >= {fewest} and tn - ln >= {fewest}
+  ) where place = 1
+), n{turn}_{level + 1} as (
+  select n.gis_join, x0, x1, y, train, f, t,
+         case when n.node < 0 then n.node
+              when b.fx is null then -n.node - 1
+              when (case when b.fx = 0 then x0 else x1 end) > b.v then 2 * n.node + 2
+              else 2 * n.node + 1 end as node
+  from {rows} n left join b{name} b on n.gis_join = b.gis_join and n.node = b.node
+)"""
+            )
+        weight = 1.0 if turn == 0 else step
+        last = f"n{turn}_{depth}"
+        parts.append(
+            f"""f{turn + 1} as (
+  select n.gis_join, x0, x1, y, train, f + {weight} * value as f
+  from {last} n join (select gis_join, node, avg(t) as value from {last} where train group by 1, 2) l
+    on n.gis_join = l.gis_join and n.node = l.node
+)"""
+        )
+    return f"""
+with {", ".join(parts)}
+select gis_join, round(sqrt(avg((y - f) * (y - f))), 6) as rmse,
+       round(1 - sum((y - f) * (y - f)) / nullif(count(*) * var_pop(y), 0), 6) as r2
+from f{rounds} where not train group by 1
+"""
+
+
 ORACLES = {
     "loaded_collection": "select * from nation",
     "collection_counts": " union all ".join(
@@ -191,6 +253,7 @@ ORACLES = {
     "timestamp_range_rows": """
         select event_id, value from events
         where cast(ts as date) between date '2024-01-05' and date '2024-01-20'""",
+    "parsed_days": "select event_id, cast(ts as date) as day from events",
     "drop_null_rows": f"""
         select gis_join, l_discount as discount, l_quantity
         from ({_READINGS}) where l_discount <> 0""",
@@ -321,6 +384,8 @@ ORACLES = {
     "linear_regression_lasso": _one_feature(2.0, elastic=1.0, standardization=False),
     "linear_regression_origin": _one_feature(0.5, intercept=False),
     "linear_regression_many": _TWO_FEATURES,
+    "random_forest_plain": _trees(rounds=1, step=1.0, depth=2, fewest=5),
+    "gradient_boost_plain": _trees(rounds=3, step=0.3, depth=1, fewest=5),
     "per_key_models": """
         with m as (
           select o_orderpriority, covar_pop(o_custkey, o_totalprice / 1000) as c,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import array_mean, elem, has_json_key, int_range, json_key, slice0
+from ..functions import array_mean, elem, has_json_key, int_range, json_key, parse_day, slice0
 from ..operators import clustering, features, joins, linear, metrics, rows, series, trees
 from ..operators.params import BoostParams, ForestParams, LinearParams
 from ..operators.per_key import per_key
@@ -87,6 +87,11 @@ def timestamp_range_rows(spark: SparkSession, sf: str) -> DataFrame:
     return picked.select("event_id", "value")
 
 
+def parsed_days(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC"))
+    return load(spark, sf, "events").select("event_id", parse_day(text).alias("day"))
+
+
 def drop_null_rows(spark: SparkSession, sf: str) -> DataFrame:
     readings = frames.readings(spark, sf).select(
         "gis_join", F.nullif("l_discount", F.lit(0.0)).alias("discount"), "l_quantity"
@@ -471,6 +476,38 @@ def gradient_boost(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# few distinct values, each of them a cut, so that SQL can grow the same trees
+PLAIN_FEATURES = ["l_discount", "l_tax"]
+PLAIN_TREE = ForestParams(
+    bootstrap=False, max_depth=2, max_bins=200, min_instances_per_node=5, train_split=0.8
+)
+PLAIN_BOOST = BoostParams(
+    max_iter=3, step_size=0.3, max_depth=1, max_bins=200, min_instances_per_node=5, train_split=0.8
+)
+
+
+def _rounded_metrics(answer: DataFrame) -> DataFrame:
+    return answer.withColumns({"rmse": _r("rmse"), "r2": _r("r2")})
+
+
+def random_forest_plain(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded_metrics(
+        trees.random_forest(
+            frames.readings(spark, sf), "gis_join", PLAIN_FEATURES, "net_price", PLAIN_TREE,
+            id_cols=["l_orderkey", "l_linenumber"],
+        )
+    )
+
+
+def gradient_boost_plain(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded_metrics(
+        trees.gradient_boost(
+            frames.readings(spark, sf), "gis_join", PLAIN_FEATURES, "net_price", PLAIN_BOOST,
+            id_cols=["l_orderkey", "l_linenumber"],
+        )
+    )
+
+
 def _cluster(fit, **options):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         stats = frames.tract_stats(spark, sf)
@@ -498,6 +535,7 @@ QUERIES = {
     "requested_keys": requested_keys,
     "date_range_rows": date_range_rows,
     "timestamp_range_rows": timestamp_range_rows,
+    "parsed_days": parsed_days,
     "drop_null_rows": drop_null_rows,
     "find_rows": find_rows,
     "find_rows_compare": find_rows_compare,
@@ -539,6 +577,8 @@ QUERIES = {
     "per_key_models": per_key_models,
     "random_forest": random_forest,
     "gradient_boost": gradient_boost,
+    "random_forest_plain": random_forest_plain,
+    "gradient_boost_plain": gradient_boost_plain,
     "kmeans": _cluster(clustering.kmeans),
     "bisecting_kmeans": _cluster(clustering.bisecting_kmeans),
     "gaussian_mixture": _cluster(clustering.gaussian_mixture),
