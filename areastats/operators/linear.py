@@ -291,16 +291,19 @@ def _huber(rows: DataFrame, key: str, features, params: LinearParams) -> DataFra
     try:
         sums = rows.groupBy(key).agg(_checked_count(names).alias("n"), *_moments(names))
         started = sums.mapInPandas(_starter(size, settings), _state_schema(sums, key))
+        values = 10 + 5 * size + params.max_iterations
+        sums_values = 5 + (size + 2) ** 2
         open_keys = F.when(~F.col("done"), True)
         state, (keys, left) = checkpoint_counted(started, key, open_keys)
         for _ in range(params.max_iterations):
             if left == 0:
                 break
-            passed = _huber_sums(rows, small(state.filter(~F.col("done")), keys), key, size, params)
-            joined = state.join(small(passed, keys), key, "left")
+            trials = small(state.filter(~F.col("done")).select(key, "centers", "scales", "trial"), keys, values)
+            passed = _huber_sums(rows, trials, key, size, params)
+            joined = state.join(small(passed, keys, sums_values), key, "left")
             stepped = joined.mapInPandas(_stepper(size, settings), state.schema)
             state, (left,) = checkpoint_counted(stepped, open_keys)
-        return _huber_answer(rows, small(state, keys), key, size, params)
+        return _huber_answer(rows, small(state, keys, values), key, size, params)
     finally:
         rows.unpersist()
 
@@ -355,7 +358,7 @@ def _starter(size: int, params: LinearParams):
     return start
 
 
-def _huber_sums(rows: DataFrame, state: DataFrame, key: str, size: int, params) -> DataFrame:
+def _huber_sums(rows: DataFrame, trials: DataFrame, key: str, size: int, params) -> DataFrame:
     """Loss terms and derivative sums of every key at its trial point."""
     features = [name for name in rows.columns if name not in (key, "label")]
     point = F.col("trial")
@@ -365,7 +368,7 @@ def _huber_sums(rows: DataFrame, state: DataFrame, key: str, size: int, params)
         return F.when(scale > 0, (F.col(name) - F.get("centers", F.lit(i))) / scale).otherwise(0.0)
 
     scaled = [standard(i, name) for i, name in enumerate(features)]
-    joined = rows.join(state.select(key, "centers", "scales", "trial"), key).select(
+    joined = rows.join(trials, key).select(
         key,
         *(column.alias(f"_x{i}") for i, column in enumerate(scaled)),
         "label",

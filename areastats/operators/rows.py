@@ -49,7 +49,7 @@ def for_keys(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
     require_columns(df, key)
     request = request_frame(df, key, keys)
     found = df.filter(F.col(key).isin(list(set(keys))))
-    answered = found.join(small(request, len(keys)), key)
+    answered = found.join(small(request, len(keys), 2), key)
     present = found.select(key).distinct()
     empty = request.join(present, key, "left_anti")
     return answered.unionByName(empty, allowMissingColumns=True)

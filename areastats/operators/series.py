@@ -12,6 +12,7 @@ from ..scale import (
     ARRAY_ROWS,
     HOT_ROWS,
     number_rows,
+    partitions_for,
     require_columns,
     small,
     split_hot,
@@ -49,10 +50,10 @@ def moving_average(
         df = df.filter(F.col(key).isin(list(set(keys))))
     order = _order(date, value, tiebreak)
     rows = df.select(*dict.fromkeys([key, date, *tiebreak, value]))
-    even, hot = split_hot(rows, key, hot_rows)
+    split = split_hot(rows, key, hot_rows)
 
     by_key = Window.partitionBy(key).orderBy(*order)
-    result = even.select(
+    result = split.even.select(
         key,
         date,
         F.avg(value).over(by_key.rowsBetween(1 - days, 0)).alias("avg"),
@@ -61,19 +62,24 @@ def moving_average(
     ).filter(F.col("_n") >= days)
     result = result.select(key, date, "avg", F.lit(days).alias("num_days"), "start_date")
 
-    if hot is not None:
-        numbered = number_rows(hot, key, order)
-        blocks = with_chunks(numbered, max(hot_rows, days), days - 1)
+    if split.hot is not None:
+        numbered = number_rows(split.hot, key, order, split.hot_keys, split.hot_rows)
+        blocks = with_chunks(numbered, max(hot_rows, days), days - 1).repartition(
+            partitions_for(df.sparkSession, split.hot_rows), key, "_chunk"
+        )
         in_block = Window.partitionBy(key, "_chunk").orderBy("_pos").rowsBetween(1 - days, 0)
         windowed = (
             blocks.withColumn("avg", F.avg(value).over(in_block))
             .filter(F.col("_own") & (F.col("_pos") >= days - 1))
-            .join(F.broadcast(_starts(numbered, key, date)), key)
+            .join(small(_starts(numbered, key, date), split.hot_keys, 2), key)
         )
         result = result.unionByName(
             windowed.select(key, date, "avg", F.lit(days).alias("num_days"), "start_date")
         )
-    return result if keys is None else _in_request_order(result, key, keys)
+    if keys is None:
+        return result
+    long_enough = rows.groupBy(key).count().filter(F.col("count") >= days).select(key)
+    return _in_request_order(result, long_enough, key, keys)
 
 
 def _order(date: str, value: str, tiebreak: Sequence[str]) -> list[str]:
@@ -85,10 +91,10 @@ def _starts(numbered: DataFrame, key: str, date: str) -> DataFrame:
     return numbered.filter(F.col("_pos") == 0).select(key, F.col(date).alias("start_date"))
 
 
-def _in_request_order(result: DataFrame, key: str, keys: Sequence) -> DataFrame:
+def _in_request_order(result: DataFrame, present: DataFrame, key: str, keys: Sequence) -> DataFrame:
     request = request_frame(result, key, keys)
-    answered = result.join(small(request, len(keys)), key)
-    empty = request.join(result.select(key).distinct(), key, "left_anti")
+    answered = result.join(small(request, len(keys), 2), key)
+    empty = request.join(present, key, "left_anti")
     return answered.unionByName(empty, allowMissingColumns=True)
 
 
@@ -111,7 +117,7 @@ def collect_series(
     require_columns(df, key, date, value, *tiebreak)
     order = _order(date, value, tiebreak)
     rows = df.select(*dict.fromkeys([key, date, *tiebreak, value]))
-    even, hot = split_hot(rows, key, array_rows)
+    split = split_hot(rows, key, array_rows)
 
     def points(*by: str) -> Column:
         item = F.struct(
@@ -122,21 +128,22 @@ def collect_series(
             lambda x: F.struct(x["value"].alias("value"), x["date"].alias("date")),
         )
 
-    series = even.groupBy(key).agg(points(*order).alias("series"))
+    series = split.even.groupBy(key).agg(points(*order).alias("series"))
     series = series.select(
         key,
         F.lit(0).cast("bigint").alias("chunk"),
         elem("series", 0)["date"].alias("start_date"),
         "series",
     )
-    if hot is not None:
-        numbered = number_rows(hot, key, order)
+    if split.hot is not None:
+        numbered = number_rows(split.hot, key, order, split.hot_keys, split.hot_rows)
         cut = (
             with_chunks(numbered, max(array_rows, halo), halo)
+            .repartition(partitions_for(df.sparkSession, split.hot_rows), key, "_chunk")
             .groupBy(key, F.col("_chunk").alias("chunk"))
             .agg(points("_pos").alias("series"), F.max("_own").alias("_any_own"))
             .filter("_any_own")
-            .join(F.broadcast(_starts(numbered, key, date)), key)
+            .join(small(_starts(numbered, key, date), split.hot_keys, 2), key)
         )
         series = series.unionByName(cut.select(key, "chunk", "start_date", "series"))
     return series

@@ -164,7 +164,8 @@ def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap,
         key,
     )
 
-    binned = _with_bins(rows.join(small(per_key, count), key), x, params.max_bins).select(
+    known = small(per_key, count, 3 + len(x) * params.max_bins)
+    binned = _with_bins(rows.join(known, key), x, params.max_bins).select(
         key,
         "_rows",
         "_bins",
@@ -289,7 +290,7 @@ def _histogram(data: _Data, cells: DataFrame, levels: list[_Level], trees, subse
     )
     for level in levels:
         splits = level.nodes.filter("f is not null").selectExpr(named, "tree", "node", "f", "bin")
-        placed = placed.join(small(splits, level.count), [key, "tree", "node"]).selectExpr(
+        placed = placed.join(small(splits, level.count, 5), [key, "tree", "node"]).selectExpr(
             named, "_rows", "_bins", "tree", f"{_CHILD} as node", "n", "y", "yy"
         )
     binned = placed.selectExpr(
@@ -387,7 +388,7 @@ def _predicted(data: _Data, cells: DataFrame, levels: list[_Level], trees: int)
     for depth, level in enumerate(levels):
         nodes = level.nodes if depth == 0 else level.nodes.filter("f is not null")
         stay = "coalesce(value, _value)" if depth == 0 else "_value"
-        found = found.join(small(nodes, level.count), [key, "tree", "node"], "left").selectExpr(
+        found = found.join(small(nodes, level.count, 8), [key, "tree", "node"], "left").selectExpr(
             *columns,
             "tree",
             f"if(f is not null, {_CHILD}, null) as node",

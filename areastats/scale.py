@@ -1,9 +1,10 @@
 """Size checks and skew handling shared by the operators.
 
-Two bounds drive every decision here.  ``HOT_ROWS`` is the number of rows of one key that a
-single task may sort or window; keys above it are split by position.  ``BROADCAST_ROWS`` is
-the number of rows a side may have to be broadcast; a larger side is joined by shuffle, where
-AQE splits skewed partitions.
+``HOT_ROWS`` is the number of rows of one key that a single task may sort or window, and
+``ARRAY_ROWS`` the number that one array may hold, of which an aggregating task keeps many; keys
+above them are split by position.  ``BROADCAST_VALUES`` is the number of values, array items
+included, that a side may have to be broadcast; a larger side is joined by shuffle, where AQE
+splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 20_000_000
-ARRAY_ROWS = 1_000_000
-BROADCAST_ROWS = 500_000
+ARRAY_ROWS = 100_000
+BROADCAST_VALUES = 4_000_000
+# rows of hot keys per shuffle partition
+PARTITION_ROWS = 5_000_000
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -74,41 +78,58 @@ def checkpoint_counted(df: DataFrame, *columns: Column | str) -> tuple[DataFrame
     return written, [seen.get[f"n{i}"] for i in range(len(columns))]
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a side of ``rows`` counted rows for broadcast if it is within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, values: int) -> DataFrame:
+    """Mark a side of ``rows`` counted rows of ``values`` values each for broadcast if it is small."""
+    return F.broadcast(df) if rows * values <= BROADCAST_VALUES else df
 
 
-def split_hot(df: DataFrame, key: str, hot_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Split into rows of ordinary keys and rows of keys with more than ``hot_rows`` rows.
+class Split(NamedTuple):
+    """Rows of ordinary keys, rows of hot keys if there are any, and the numbers of the latter."""
+
+    even: DataFrame
+    hot: DataFrame | None = None
+    hot_keys: int = 0
+    hot_rows: int = 0
+
+
+def split_hot(df: DataFrame, key: str, limit: int | None) -> Split:
+    """Split into rows of ordinary keys and rows of keys with more than ``limit`` rows.
 
     Rows without a key belong to no area and are left out.  The check reads the key column only
-    and aggregates before it shuffles.  At most ``rows / hot_rows`` keys can be hot, so their
-    list is small by arithmetic.  ``hot_rows=None`` skips the check for data known to be even.
+    and aggregates before it shuffles.  ``limit=None`` skips it for data known to be even.
     """
     keyed = df.filter(F.col(key).isNotNull())
-    if hot_rows is None:
-        return keyed, None
-    sizes = keyed.groupBy(key).count().filter(F.col("count") > hot_rows)
-    hot = [row[0] for row in sizes.select(key).collect()]
-    if not hot:
-        return keyed, None
-    return keyed.filter(~F.col(key).isin(hot)), keyed.filter(F.col(key).isin(hot))
+    if limit is None:
+        return Split(keyed)
+    sizes = keyed.groupBy(key).count().filter(F.col("count") > limit)
+    hot_keys, hot_rows = sizes.agg(F.count("*"), F.sum("count")).first()
+    if hot_keys == 0:
+        return Split(keyed)
+    hot = small(checkpoint(sizes.select(key)), hot_keys, 1)
+    return Split(
+        keyed.join(hot, key, "left_anti"), keyed.join(hot, key, "left_semi"), hot_keys, hot_rows
+    )
+
+
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions for that many rows: the session's number, or more where it is too low."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
 
 
-def number_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def number_rows(df: DataFrame, key: str, order: Sequence[str], keys: int, rows: int) -> DataFrame:
     """Add ``_pos``, the 0-based position of a row within its key, for keys of any size.
 
-    Rows are range-partitioned by key and order, so a key that holds a third of the table is
-    spread over a third of the partitions.  A row's position is its place in its partition plus
-    the rows of the same key in earlier partitions; that offset table has at most one row per
-    partition and key start.  The row id is written before it is used, so equal rows are spread
-    too and a lost executor cannot change it.
+    The table of ``keys`` keys and ``rows`` rows is range-partitioned by key and order, so a key
+    that holds a third of it is spread over a third of the partitions.  A row's position is its
+    place in its partition plus the rows of the same key in earlier partitions; that offset table
+    has at most one row per key and partition border.  The row id is written before it is used,
+    so equal rows are spread too and a lost executor cannot change it.
     """
+    partitions = partitions_for(df.sparkSession, rows)
     tagged = checkpoint(df.withColumn("_id", F.monotonically_increasing_id()))
     by = [key, *order, "_id"]
     ranged = checkpoint(
-        tagged.repartitionByRange(*by)
+        tagged.repartitionByRange(partitions, *by)
         .sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.spark_partition_id())
@@ -122,7 +143,7 @@ def number_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         .drop("_n")
     )
     return (
-        ranged.join(F.broadcast(offsets), [key, "_part"])
+        ranged.join(small(offsets, keys + partitions, 4), [key, "_part"])
         .withColumn("_pos", F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_part", "_at", "_first", "_before")
     )

@@ -92,7 +92,7 @@ def test_equal_dates_follow_the_tiebreak(spark):
 
 def test_copies_of_a_row_are_spread(spark):
     copies = spark.range(600).select(F.lit("a").alias("k"), F.lit(DAY).alias("d"), F.lit(1).alias("v"))
-    numbered = scale.number_rows(copies, "k", ["d", "v"])
+    numbered = scale.number_rows(copies, "k", ["d", "v"], 1, 600)
     assert sorted(r["_pos"] for r in numbered.collect()) == list(range(600))
     assert series.moving_average(copies, "k", "d", "v", 5, hot_rows=100).count() == 596
 
