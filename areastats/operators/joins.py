@@ -73,10 +73,10 @@ def merge_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
                 name, F.when(F.col("_matched"), F.col(name)).otherwise(F.col(f"_right_{name}"))
             )
     joined = joined.select(key, *(name for name in left.columns if name != key), *added)
-    if how in ("left", "outer"):
-        joined = joined.unionByName(left.filter(~has_key), allowMissingColumns=True)
-    if how in ("right", "outer"):
-        joined = joined.unionByName(right.filter(~has_key), allowMissingColumns=True)
+    kept = [left] * (how in ("left", "outer")) + [right] * (how in ("right", "outer"))
+    for side in kept:
+        if side.schema[key].nullable:
+            joined = joined.unionByName(side.filter(~has_key), allowMissingColumns=True)
     return joined
 
 

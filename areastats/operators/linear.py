@@ -445,8 +445,7 @@ def _stepper(size: int, params: LinearParams):
         hess[-1, -1] = row["rr"] / (s**3 * n)
         free = np.r_[scales > 0, params.fit_intercept, True]
         move = np.zeros(size + 2)
-        ridge = 1e-12 * np.trace(hess[np.ix_(free, free)]) * np.eye(int(free.sum()))
-        move[free] = -np.linalg.solve(hess[np.ix_(free, free)] + ridge, grad[free])
+        move[free] = -np.linalg.lstsq(hess[np.ix_(free, free)], grad[free], rcond=1e-13)[0]
         if s + move[-1] < 0.1 * s:
             move *= 0.9 * s / -move[-1]
         small_gain = known and row["loss"] - loss <= params.tolerance * max(abs(loss), 1e-12)

@@ -124,7 +124,7 @@ def collect_series(
             F.struct(*by).alias("by"), F.col(value).alias("value"), F.col(date).alias("date")
         )
         return F.transform(
-            F.array_sort(F.collect_list(item)),
+            F.sort_array(F.collect_list(item)),
             lambda x: F.struct(x["value"].alias("value"), x["date"].alias("date")),
         )
 

@@ -522,6 +522,19 @@ def model_summary(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.model_summary(clustering.kmeans(stats, "gisjoin", STAT_FEATURES, 10).model)
 
 
+def model_summary_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    stats = frames.tract_stats(spark, sf)
+    model = clustering.gaussian_mixture(stats, "gisjoin", STAT_FEATURES, 3).model
+    return clustering.model_summary(model)
+
+
+def model_summary_lda(spark: SparkSession, sf: str) -> DataFrame:
+    stats = frames.tract_stats(spark, sf)
+    model = clustering.lda(stats, "gisjoin", STAT_FEATURES, 3).model
+    data = features.clustering_features(stats, "gisjoin", STAT_FEATURES)
+    return clustering.model_summary(model, data)
+
+
 QUERIES = {
     "loaded_collection": loaded_collection,
     "collection_counts": collection_counts,
@@ -584,4 +597,6 @@ QUERIES = {
     "gaussian_mixture": _cluster(clustering.gaussian_mixture),
     "lda": _cluster(clustering.lda),
     "model_summary": model_summary,
+    "model_summary_mixture": model_summary_mixture,
+    "model_summary_lda": model_summary_lda,
 }
