@@ -17,7 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import checkpoint, checkpoint_counted, require_columns, small
+from ..scale import checkpoint, checkpoint_counted, small
 from .features import assemble
 from .metrics import r2_column
 from .params import LinearParams
@@ -298,7 +298,8 @@ def _huber(rows: DataFrame, key: str, features, params: LinearParams) -> DataFra
         for _ in range(params.max_iterations):
             if left == 0:
                 break
-            trials = small(state.filter(~F.col("done")).select(key, "centers", "scales", "trial"), keys, values)
+            trials = state.filter(~F.col("done")).select(key, "centers", "scales", "trial")
+            trials = small(trials, keys, values)
             passed = _huber_sums(rows, trials, key, size, params)
             joined = state.join(small(passed, keys, sums_values), key, "left")
             stepped = joined.mapInPandas(_stepper(size, settings), state.schema)

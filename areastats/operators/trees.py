@@ -1,17 +1,18 @@
 """Random forests and boosted trees, one model per key, grown for all keys together.
 
-A tree split depends on a row only through the bins of its features, so the rows are read once
-and reduced to cells: one row per key and combination of bins, with the sums of every sample
-drawn from it.  With few features a key of any size has a bounded number of cells; in no case
-are there more cells than rows.  Trees then grow level by level, every level one grouped
-aggregation over the cells of all keys, so the number of jobs follows the depth and not the
-number of keys, and a key with many rows is reduced by every map task that reads it.
+A tree split depends on a row only through the bins of its features.  Where the combinations of
+bins are few against the rows, the rows are read once and reduced to cells, one per key and
+combination, with the sums of every sample drawn from them, which bounds a key of any size.
+Where they are many, the binned rows are kept with their sample counts.  Trees then grow level by
+level, every level one grouped aggregation over the cells of all keys, so the number of jobs
+follows the depth and not the number of keys, and a key with many rows is reduced by every map
+task that reads it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,9 @@ from .params import BoostParams, ForestParams
 # a Poisson draw of rate at most 1 exceeds this count with probability below 1e-13
 _MAX_DRAW = 14
 
+# cells must be at least this many times fewer than the rows to be worth a shuffle
+_FEWER = 4
+
 
 def random_forest(
     df: DataFrame,
@@ -44,13 +48,18 @@ def random_forest(
     params = params or ForestParams()
     sampled = params.bootstrap or params.subsampling_rate < 1
     samples = params.num_trees if sampled else 1
-    data = _cells(df, key, features, label, keys, id_cols, params, samples, params.bootstrap, False)
+    data = _cells(df, key, features, label, keys, id_cols, params, samples, params.bootstrap)
     subset = _subset_size(params.feature_subset_strategy, len(features), params.num_trees)
     trees = [(t, t if sampled else 0) for t in range(params.num_trees)]
-    levels = _grow(data, data.cells, trees, subset, params, params.seed)
-    each_tree = _predicted(data, data.cells, levels, params.num_trees)
-    cell = [key, "_bins", "_tn", "_ty", "_tyy"]
-    return _test_metrics(data, each_tree.groupBy(*cell).agg(F.avg("_value").alias("_f")))
+    levels = _grow(data, data.sums_of(range(samples)), trees, subset, params, params.seed)
+    tested = data.test_sums(data.cells)
+    # rows that look alike share a prediction: count them while their trees are averaged
+    forest = (
+        _predicted(data, tested, levels, params.num_trees)
+        .groupBy(*tested.columns)
+        .agg(F.avg("_value").alias("_f"), (F.count("*") / params.num_trees).alias("_alike"))
+    )
+    return _test_metrics(data, forest.selectExpr("*", "_tn * _alike as _n"))
 
 
 def gradient_boost(
@@ -70,29 +79,26 @@ def gradient_boost(
     params = params or BoostParams()
     sampled = params.subsampling_rate < 1
     samples = params.max_iter if sampled else 1
-    by_label = params.loss_type == "absolute"
-    data = _cells(df, key, features, label, keys, id_cols, params, samples, False, by_label)
+    rows_only = params.loss_type == "absolute"  # its gradient differs within a cell
+    data = _cells(df, key, features, label, keys, id_cols, params, samples, False, rows_only)
     subset = _subset_size(params.feature_subset_strategy, len(features), 1)
-    cells = data.cells.withColumn("_f", F.lit(0.0))
+    data.cells = data.cells.withColumn("_f", F.lit(0.0))
     for turn in range(params.max_iter):
         sample = turn if sampled else 0
-        target = cells
-        if turn > 0:
-            target = cells.selectExpr(
-                _quoted(key), "_rows", "_bins", _residual_sums(params.loss_type, sample)
-            )
+        target = data.sums_of([sample], params.loss_type if turn > 0 else None)
         levels = _grow(data, target, [(0, sample)], subset, params, params.seed + turn)
         weight = 1.0 if turn == 0 else params.step_size
+        last = turn == params.max_iter - 1
+        cells = data.test_sums(data.cells, "_f") if last else data.cells
         cells = (
             _predicted(data, cells, levels, 1)
             .withColumn("_f", F.col("_f") + weight * F.col("_value"))
             .drop("_value")
         )
-        if sampled:
-            cells = cells.drop(f"_s{turn}")  # no later tree asks for this sample
-        if turn < params.max_iter - 1:
-            cells = checkpoint(cells)
-    return _test_metrics(data, cells)
+        if last:
+            return _test_metrics(data, cells.withColumn("_n", F.col("_tn")))
+        # no later tree asks for this sample
+        data.cells = checkpoint(cells.drop(f"_s{turn}", f"_w{turn}") if sampled else cells)
 
 
 def _subset_size(strategy: str, features: int, trees: int) -> int:
@@ -123,21 +129,48 @@ def _subset_size(strategy: str, features: int, trees: int) -> int:
 
 @dataclass
 class _Data:
-    """Cells of all keys.
-
-    A cell holds its key's number of training rows, ``_rows``; its ``_bins``; for each sample i
-    a column ``_s{i}`` of the weight and the weighted sums of the label and its square, so that a
-    pass reads the samples it needs; and the count and sums of its test rows, ``_tn``, ``_ty``
-    and ``_tyy``.  Labels are counted from the key's training mean, which keeps the squares small.
+    """Cells or binned rows of all keys.
+
+    Both hold their key's number of training rows, ``_rows``, and their ``_bins``.  A cell has for
+    each sample i a column ``_s{i}`` of the weight and the weighted sums of the label and its
+    square, so that a pass reads the samples it needs, and the same sums of its test rows as
+    ``_tn``, ``_ty`` and ``_tyy``.  A row has its label ``_y``, the times ``_w{i}`` it was drawn
+    and ``_tn``, 1 for a test row.  Labels are counted from the key's training mean, which keeps
+    the squares small.
     """
 
     key: str
     features: int
-    count: int
+    keys: DataFrame
     cells: DataFrame
-
-
-def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap, by_label) -> _Data:
+    is_rows: bool
+
+    def sums_of(self, samples: Iterable[int], loss: str | None = None) -> DataFrame:
+        """Sums ``_s{i}`` of the labels, or of the negative gradient of a loss at ``_f``."""
+
+        def sums(i: int) -> str:
+            if self.is_rows:
+                n, y, yy = f"double(_w{i})", f"_w{i} * _y", f"_w{i} * _y * _y"
+            else:
+                n, y, yy = f"_s{i}.n", f"_s{i}.y", f"_s{i}.yy"
+            if loss == "squared":
+                y, yy = f"2 * ({y} - {n} * _f)", f"4 * ({yy} - 2 * _f * {y} + {n} * _f * _f)"
+            elif loss == "absolute":
+                y, yy = f"{n} * if(_y < _f, -1D, 1D)", n
+            return f"named_struct('n', {n}, 'y', {y}, 'yy', {yy}) as _s{i}"
+
+        return self.cells.selectExpr(_quoted(self.key), "_rows", "_bins", *map(sums, samples))
+
+    def test_sums(self, cells: DataFrame, *more: str) -> DataFrame:
+        """What has test rows, with ``_tn``, ``_ty`` and ``_tyy``."""
+        sums = ("_y as _ty", "_y * _y as _tyy") if self.is_rows else ("_ty", "_tyy")
+        named = _quoted(self.key)
+        return cells.filter("_tn > 0").selectExpr(named, "_bins", "double(_tn) as _tn", *sums, *more)
+
+
+def _cells(
+    df, key, features, label, keys, id_cols, params, samples, bootstrap, rows_only=False
+) -> _Data:
     require_columns(df, key, label, *features, *id_cols)
     if not features:
         raise ValueError("name at least one feature")
@@ -157,12 +190,12 @@ def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap,
     steps = [i / params.max_bins for i in range(1, params.max_bins)] or [0.5]
     accuracy = max(1000, 20 * params.max_bins)
     cuts = F.array(*(F.array_distinct(F.percentile_approx(name, steps, accuracy)) for name in x))
-    per_key, (count,) = checkpoint_counted(
+    per_key = checkpoint(
         rows.filter("_train")
         .groupBy(key)
-        .agg(cuts.alias("_cuts"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows")),
-        key,
+        .agg(cuts.alias("_cuts"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows"))
     )
+    count, train_rows = per_key.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
 
     known = small(per_key, count, 3 + len(x) * params.max_bins)
     binned = _with_bins(rows.join(known, key), x, params.max_bins).select(
@@ -173,23 +206,27 @@ def _cells(df, key, features, label, keys, id_cols, params, samples, bootstrap,
         "_train",
         *(F.rand(params.seed + i).alias(f"_u{i}") for i in range(samples)),
     )
-    y = F.col("_y")
-    sums = []
-    for i in range(samples):
-        w = f"if(_train, {_draw(f'_u{i}', params.subsampling_rate, bootstrap)}, 0D)"
-        sums.append(
-            F.expr(
-                f"named_struct('n', sum({w}), 'y', sum({w} * _y), 'yy', sum({w} * _y * _y)) as _s{i}"
-            )
+    weights = [
+        f"if(_train, {_draw(f'_u{i}', params.subsampling_rate, bootstrap)}, 0)"
+        for i in range(samples)
+    ]
+    is_rows = rows_only or count * params.max_bins ** len(x) * _FEWER > train_rows
+    if is_rows:
+        drawn = (f"tinyint({w}) as _w{i}" for i, w in enumerate(weights))
+        test = "tinyint(if(_train, 0, 1)) as _tn"
+        cells = binned.selectExpr(_quoted(key), "_rows", "_bins", "_y", *drawn, test)
+    else:
+        sums = (
+            f"named_struct('n', sum(double({w})), 'y', sum({w} * _y), 'yy', sum({w} * _y * _y)) as _s{i}"
+            for i, w in enumerate(weights)
         )
-    test = F.when(F.col("_train"), 0.0).otherwise(1.0)
-    cells = binned.groupBy(key, "_rows", "_bins", *(["_y"] if by_label else [])).agg(
-        *sums,
-        F.sum(test).alias("_tn"),
-        F.sum(test * y).alias("_ty"),
-        F.sum(test * y * y).alias("_tyy"),
-    )
-    return _Data(key, len(features), count, checkpoint(cells))
+        tests = (
+            "count_if(not _train) as _tn",
+            "sum(if(_train, 0D, _y)) as _ty",
+            "sum(if(_train, 0D, _y * _y)) as _tyy",
+        )
+        cells = binned.groupBy(key, "_rows", "_bins").agg(*(F.expr(e) for e in (*sums, *tests)))
+    return _Data(key, len(features), per_key.select(key), checkpoint(cells), is_rows)
 
 
 def _present(name: str) -> Column:
@@ -220,25 +257,15 @@ def _with_bins(rows: DataFrame, x: Sequence[str], max_bins: int) -> DataFrame:
 def _draw(u: str, rate: float, bootstrap: bool) -> str:
     """How often a row is drawn, from a uniform number: a Poisson count, or 0/1."""
     if not bootstrap:
-        return "1D" if rate >= 1 else f"double({u} < {rate}D)"
+        return "1" if rate >= 1 else f"int({u} < {rate}D)"
     times, below, term = [], 0.0, math.exp(-rate)
     for k in range(_MAX_DRAW):
         below += term
-        times.append(f"double({u} > {below!r}D)")
+        times.append(f"int({u} > {below!r}D)")
         term *= rate / (k + 1)
     return "(" + " + ".join(times) + ")"
 
 
-def _residual_sums(loss: str, sample: int) -> str:
-    """Sums of the negative gradient; every row of a cell has the prediction ``_f``."""
-    n, y, yy = (f"_s{sample}.{name}" for name in ("n", "y", "yy"))
-    if loss == "squared":
-        y, yy = f"2 * ({y} - {n} * _f)", f"4 * ({yy} - 2 * _f * {y} + {n} * _f * _f)"
-    else:
-        y, yy = f"{n} * if(_y < _f, -1D, 1D)", n
-    return f"named_struct('n', {n}, 'y', {y}, 'yy', {yy}) as _s{sample}"
-
-
 # --- growing --------------------------------------------------------------------------------
 
 
@@ -398,14 +425,14 @@ def _predicted(data: _Data, cells: DataFrame, levels: list[_Level], trees: int)
 
 
 def _test_metrics(data: _Data, cells: DataFrame) -> DataFrame:
-    """Test rmse and r2 from the sums of the cells and their predictions ``_f``."""
-    f, n, y, yy = F.col("_f"), F.col("_tn"), F.col("_ty"), F.col("_tyy")
+    """Test rmse and r2 of every key from the test sums and predictions ``_f``, ``_n`` rows each."""
     sums = cells.groupBy(data.key).agg(
-        F.sum(n).alias("n"),
-        F.sum(y).alias("y"),
-        F.sum(yy).alias("yy"),
-        F.sum(yy - 2 * f * y + n * f * f).alias("sse"),
+        F.expr("sum(_n) as n"),
+        F.expr("sum(_n / _tn * _ty) as y"),
+        F.expr("sum(_n / _tn * _tyy) as yy"),
+        F.expr("sum(_n / _tn * (_tyy - 2 * _f * _ty + _tn * _f * _f)) as sse"),
     )
+    sums = data.keys.join(sums, data.key, "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
     n, y, yy = F.col("n"), F.col("y"), F.col("yy")
     sse = F.greatest(F.col("sse"), F.lit(0.0))
     sst = yy - y * y / F.nullif(n, F.lit(0.0))

@@ -40,7 +40,9 @@ def judged(model, test):
     ]
 
 
-def test_single_tree_equals_mllib(df):
+@pytest.mark.parametrize("fewer", [0, 4], ids=["cells", "rows"])
+def test_single_tree_equals_mllib(df, fewer, monkeypatch):
+    monkeypatch.setattr(trees, "_FEWER", fewer)
     options = {"max_depth": 4, "min_instances_per_node": 3}
     params = ForestParams(bootstrap=False, min_info_gain=0.01, **options)
     got = {r["k"]: r for r in trees.random_forest(df, "k", ["x", "z"], "y", params, id_cols=["k", "i"]).collect()}
@@ -53,8 +55,9 @@ def test_single_tree_equals_mllib(df):
         assert [got[key]["rmse"], got[key]["r2"]] == pytest.approx(judged(model, test), rel=1e-6)
 
 
-@pytest.mark.parametrize("loss", ["squared", "absolute"])
-def test_boosting_equals_mllib(df, loss):
+@pytest.mark.parametrize("loss, fewer", [("squared", 0), ("squared", 4), ("absolute", 4)])
+def test_boosting_equals_mllib(df, loss, fewer, monkeypatch):
+    monkeypatch.setattr(trees, "_FEWER", fewer)
     params = BoostParams(max_depth=3, max_iter=4, step_size=0.3, loss_type=loss)
     got = {r["k"]: r for r in trees.gradient_boost(df, "k", ["x", "z"], "y", params, keys=["a", "hot"], id_cols=["k", "i"]).collect()}
     assert set(got) == {"a", "hot"}
@@ -64,7 +67,9 @@ def test_boosting_equals_mllib(df, loss):
         assert [got[key]["rmse"], got[key]["r2"]] == pytest.approx(judged(model, test), rel=1e-6)
 
 
-def test_bootstrapped_forest_is_as_good_as_mllib(df):
+@pytest.mark.parametrize("fewer", [0, 4], ids=["cells", "rows"])
+def test_bootstrapped_forest_is_as_good_as_mllib(df, fewer, monkeypatch):
+    monkeypatch.setattr(trees, "_FEWER", fewer)
     params = ForestParams(num_trees=12, max_depth=5, subsampling_rate=0.9, feature_subset_strategy="all")
     first = trees.random_forest(df, "k", ["x", "z"], "y", params, id_cols=["k", "i"])
     for r in first.collect():
