@@ -17,7 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import checkpoint, checkpoint_counted, small
+from ..scale import checkpoint, checkpoint_counted, small, spread
 from .features import assemble
 from .metrics import r2_column
 from .params import LinearParams
@@ -287,14 +287,15 @@ def _descend(penalised: np.ndarray, cross: np.ndarray, l1: np.ndarray) -> np.nda
 def _huber(rows: DataFrame, key: str, features, params: LinearParams) -> DataFrame:
     names, size = [*features, "label"], len(features)
     settings = params
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    values = 10 + 5 * size + params.max_iterations
+    sums_values = 5 + (size + 2) ** 2
+    sums = rows.groupBy(key).agg(_checked_count(names).alias("n"), *_moments(names))
+    started = sums.mapInPandas(_starter(size, settings), _state_schema(sums, key))
+    open_keys = F.when(~F.col("done"), True)
+    state, (keys, left) = checkpoint_counted(started, key, open_keys)
+    total = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = spread(rows, total).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sums = rows.groupBy(key).agg(_checked_count(names).alias("n"), *_moments(names))
-        started = sums.mapInPandas(_starter(size, settings), _state_schema(sums, key))
-        values = 10 + 5 * size + params.max_iterations
-        sums_values = 5 + (size + 2) ** 2
-        open_keys = F.when(~F.col("done"), True)
-        state, (keys, left) = checkpoint_counted(started, key, open_keys)
         for _ in range(params.max_iterations):
             if left == 0:
                 break

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import checkpoint, checkpoint_counted, require_columns, small
+from ..scale import checkpoint, checkpoint_counted, require_columns, small, spread
 from .features import split_bucket
 from .metrics import r2_column
 from .params import BoostParams, ForestParams
@@ -198,7 +198,7 @@ def _cells(
     count, train_rows = per_key.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
 
     known = small(per_key, count, 3 + len(x) * params.max_bins)
-    binned = _with_bins(rows.join(known, key), x, params.max_bins).select(
+    binned = _with_bins(spread(rows, train_rows).join(known, key), x, params.max_bins).select(
         key,
         "_rows",
         "_bins",

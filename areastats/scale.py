@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 20_000_000
 ARRAY_ROWS = 100_000
 BROADCAST_VALUES = 4_000_000
-# rows of hot keys per shuffle partition
+# rows that make a fair shuffle partition
 PARTITION_ROWS = 5_000_000
 
 
@@ -116,6 +116,15 @@ def partitions_for(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Give every core a share of a table that many passes will read.
+
+    A table of few rows may come as one split; one of many rows comes in enough splits as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if rows < cores * PARTITION_ROWS else df
+
+
 def number_rows(df: DataFrame, key: str, order: Sequence[str], keys: int, rows: int) -> DataFrame:
     """Add ``_pos``, the 0-based position of a row within its key, for keys of any size.
 
