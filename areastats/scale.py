@@ -66,16 +66,47 @@ def checkpoint_counted(df: DataFrame, *columns: Column | str) -> tuple[DataFrame
     stay as they were.  It also gives the planner the true size: the estimates of an iterative
     plan multiply at every join, and ``DataFrame.checkpoint`` would hand them on.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/areastats-{uuid.uuid4().hex}"
-    if not columns:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), []
-    seen = Observation()
-    counts = [F.count(column).alias(f"n{i}") for i, column in enumerate(columns)]
-    df.observe(seen, *counts).write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    return written, [seen.get[f"n{i}"] for i in range(len(columns))]
+    return Scratch(df.sparkSession).write_counted(df, *[F.count(column) for column in columns])
+
+
+class Scratch:
+    """Tables of one job in a folder of its own in the shared folder.
+
+    ``drop`` deletes a table that no later step reads.  What the job's answer still reads stays
+    until whoever owns the shared folder empties it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_folder(spark).rstrip('/')}/areastats-{uuid.uuid4().hex}"
+        self._paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Write the rows and read them back."""
+        return self.write_counted(df)[0]
+
+    def write_counted(self, df: DataFrame, *aggregates: Column) -> tuple[DataFrame, list]:
+        """Write the rows and read them back; compute the aggregates on the way."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        values: list = []
+        if aggregates:
+            seen = Observation()
+            named = [value.alias(f"n{i}") for i, value in enumerate(aggregates)]
+            df.observe(seen, *named).write.parquet(path)
+            values = [seen.get[f"n{i}"] for i in range(len(aggregates))]
+        else:
+            df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(written)] = path
+        written._scratch = self  # keeps the id taken while the table is known
+        return written, values
+
+    def drop(self, *written: DataFrame) -> None:
+        """Delete tables that this object wrote."""
+        for df in written:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df)))
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            path.getFileSystem(conf).delete(path, True)
 
 
 def small(df: DataFrame, rows: int, values: int) -> DataFrame:
@@ -128,21 +159,21 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
 def number_rows(df: DataFrame, key: str, order: Sequence[str], keys: int, rows: int) -> DataFrame:
     """Add ``_pos``, the 0-based position of a row within its key, for keys of any size.
 
-    The table of ``keys`` keys and ``rows`` rows is range-partitioned by key and order, so a key
-    that holds a third of it is spread over a third of the partitions.  A row's position is its
-    place in its partition plus the rows of the same key in earlier partitions; that offset table
-    has at most one row per key and partition border.  The row id is written before it is used,
-    so equal rows are spread too and a lost executor cannot change it.
+    The table of ``keys`` keys and ``rows`` rows is range-partitioned by key, order and a hash of
+    the row, so a key that holds a third of it is spread over a third of the partitions.  A row's
+    position is its place in its partition plus the rows of the same key in earlier partitions;
+    that offset table has at most one row per key and partition border.  Rows that are equal in
+    every column are interchangeable, so a lost executor cannot change what is written.
     """
     partitions = partitions_for(df.sparkSession, rows)
-    tagged = checkpoint(df.withColumn("_id", F.monotonically_increasing_id()))
-    by = [key, *order, "_id"]
+    by = [key, *order, "_hash"]
     ranged = checkpoint(
-        tagged.repartitionByRange(partitions, *by)
+        df.withColumn("_hash", F.xxhash64(*df.columns))
+        .repartitionByRange(partitions, *by)
         .sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.spark_partition_id())
-        .drop("_id")
+        .drop("_hash")
     )
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
