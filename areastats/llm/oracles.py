@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import LEAST_CHARS
 from .quality import RULES, STOP_WORDS
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -72,11 +73,11 @@ links as (
   from items a join items b on a.item = b.item and a.rep < b.rep
     and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
   group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
-both as (select a, b from links union all select b, a from links),
+ends as (select a, b from links union all select b, a from links),
 reached as (
   select rep as node, rep as other from classes
   union
-  select r.node, t.b from reached r join both t on r.other = t.a),
+  select r.node, t.b from reached r join ends t on r.other = t.a),
 placed as (select node, min(other) as component from reached group by node)
 select s.doc_id, len(s.s) as n_shingles, coalesce(p.component, s.doc_id) as component_id
 from sets s
@@ -114,7 +115,38 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from docs left join hit using (r) left join items using (r)
 """
 
+LINE_DEDUP = rf"""
+with pieces as (select doc_id, string_split(text, chr(10)) as l from documents),
+all_lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from pieces),
+lines as (
+  select doc_id, i, line, doc_id * 1000000 + i as place from all_lines where regexp_matches(line, '{SPACE_WORD}')),
+firsts as (select line, min(place) as first, length(line) as n from lines group by line),
+halves as (
+  select line, first, unnest([
+    ('a', n, left(line, n // 2)), ('b', n, right(line, n // 2)),
+    ('a', n - 1, left(line, (n - 1) // 2)), ('b', n - 1, right(line, (n - 1) // 2))]) as half
+  from firsts where n >= {LEAST_CHARS}),
+near as (
+  select b.line, min(a.first) as near
+  from halves a join halves b on a.half = b.half and a.first < b.first
+  where levenshtein(a.line, b.line) = 1 group by b.line),
+judged as (
+  select doc_id, i, line, first < place as equal, first = place and coalesce(near, place) < place as near
+  from lines join firsts using (line) left join near using (line)),
+counts as (
+  select doc_id, count(*) as n_lines, count(*) filter (equal) as n_equal, count(*) filter (near) as n_near
+  from judged group by doc_id),
+kept as (
+  select a.doc_id, string_agg(a.line, chr(10) order by a.i) as text
+  from all_lines a left join judged j on a.doc_id = j.doc_id and a.i = j.i and (j.equal or j.near)
+  where j.doc_id is null group by a.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_equal, 0) as n_equal, coalesce(n_near, 0) as n_near,
+       case when d.text is not null then md5(coalesce(k.text, '')) end as text_md5
+from documents d left join counts using (doc_id) left join kept k using (doc_id)
+"""
+
 ORACLES = {
+    "op3_line_dedup": LINE_DEDUP,
     "op6_quality_rules": QUALITY,
     "op9_ngram_jaccard_join": jaccard(3, 90),
     "op10_benchmark_decontamination": CONTAMINATION,
