@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import array_mean, elem, int_range, slice0
 from ..scale import (
     ARRAY_ROWS,
     HOT_ROWS,
@@ -38,7 +37,8 @@ def moving_average(
     full windows are answered.  The window counts rows, so gaps between dates are not filled; a
     null value keeps its place and the mean skips it.  Rows with equal dates are ordered by
     ``tiebreak`` and then by value.  With ``keys`` the answers carry ``req_ord``, a repeated key
-    is answered again and a key without a full window gives one row of nulls.
+    is answered again, a key with too few rows for a window gives one row without date and mean, and
+    an unknown key one row of nulls.
 
     Keys of up to ``hot_rows`` rows are windowed after one shuffle on the key.  Larger keys are
     numbered by range and windowed in overlapping blocks of that many rows.
@@ -78,8 +78,8 @@ def moving_average(
         )
     if keys is None:
         return result
-    long_enough = rows.groupBy(key).count().filter(F.col("count") >= days).select(key)
-    return _in_request_order(result, long_enough, key, keys)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(date).alias("start_date"))
+    return _in_request_order(result, sizes, key, keys, days)
 
 
 def _order(date: str, value: str, tiebreak: Sequence[str]) -> list[str]:
@@ -91,10 +91,11 @@ def _starts(numbered: DataFrame, key: str, date: str) -> DataFrame:
     return numbered.filter(F.col("_pos") == 0).select(key, F.col(date).alias("start_date"))
 
 
-def _in_request_order(result: DataFrame, present: DataFrame, key: str, keys: Sequence) -> DataFrame:
+def _in_request_order(result: DataFrame, sizes: DataFrame, key: str, keys: Sequence, days: int) -> DataFrame:
     request = request_frame(result, key, keys)
     answered = result.join(small(request, len(keys), 2), key)
-    empty = request.join(present, key, "left_anti")
+    short = sizes.filter(F.col("_n") < days).select(key, F.lit(days).alias("num_days"), "start_date")
+    empty = request.join(sizes.filter(F.col("_n") >= days).select(key), key, "left_anti").join(short, key, "left")
     return answered.unionByName(empty, allowMissingColumns=True)
 
 
@@ -107,75 +108,108 @@ def collect_series(
     array_rows: int = ARRAY_ROWS,
     halo: int = 0,
 ) -> DataFrame:
-    """Ordered array of ``{value, date}`` per key: ``(key, chunk, start_date, series)``.
+    """Ordered arrays of ``{value, date}``: ``(key, chunk, offset, total, start_date, series)``.
 
     A key of up to ``array_rows`` rows is one array with ``chunk = 0``.  A longer one is cut
     into consecutive arrays of that many points, so no row has to hold an unbounded group; each
     array after the first starts with the ``halo`` points before it, which lets windows of
-    ``halo + 1`` points be taken within one array.
+    ``halo + 1`` points be taken within one array.  ``offset`` is the position in the key of an
+    array's first point, ``total`` the number of points of the whole key; lengths of a key are
+    taken from ``total``, which does not depend on the cuts.
     """
     require_columns(df, key, date, value, *tiebreak)
+    return _collect(df, key, date, value, tiebreak, array_rows, halo, None)
+
+
+def _collect(df, key, date, value, tiebreak, array_rows, halo, days) -> DataFrame:
+    """The arrays of ``collect_series``; with ``days`` also ``moving_averages``.
+
+    The means are taken by a window over the rows, before these become arrays.
+    """
     order = _order(date, value, tiebreak)
     rows = df.select(*dict.fromkeys([key, date, *tiebreak, value]))
     split = split_hot(rows, key, array_rows)
 
-    def points(*by: str) -> Column:
-        item = F.struct(
-            F.struct(*by).alias("by"), F.col(value).alias("value"), F.col(date).alias("date")
-        )
-        return F.transform(
-            F.sort_array(F.collect_list(item)),
-            lambda x: F.struct(x["value"].alias("value"), x["date"].alias("date")),
+    def averaged(rows: DataFrame, by: list[str], order: list[str], position: Column) -> DataFrame:
+        if days is None:
+            return rows.withColumn("_avg", F.lit(None).cast("double")).withColumn("_full", F.lit(False))
+        window = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn("_avg", F.avg(value).over(window.rowsBetween(1 - days, 0))).withColumn(
+            "_full", position.over(window) >= days if by == [key] else position
         )
 
-    series = split.even.groupBy(key).agg(points(*order).alias("series"))
-    series = series.select(
-        key,
-        F.lit(0).cast("bigint").alias("chunk"),
-        elem("series", 0)["date"].alias("start_date"),
-        "series",
+    def collected(*by: str) -> Column:
+        point = F.struct(F.col(value).alias("value"), F.col(date).alias("date"))
+        mean = F.when(F.col("_full"), F.struct(F.col("_avg").alias("avg"), F.col(date).alias("date")))
+        item = F.struct(F.struct(*by).alias("by"), point.alias("point"), mean.alias("mean"))
+        return F.sort_array(F.collect_list(item)).alias("_sorted")
+
+    def answer(arrays: DataFrame) -> DataFrame:
+        columns = [key, "chunk", "offset", "total", "start_date", F.col("_sorted.point").alias("series")]
+        if days is not None:
+            means = F.filter(F.col("_sorted.mean"), lambda mean: mean.isNotNull())
+            columns.append(means.alias("moving_averages"))
+        return arrays.select(*columns)
+
+    result = answer(
+        averaged(split.even, [key], order, F.row_number())
+        .groupBy(key)
+        .agg(collected(*order))
+        .select(
+            key,
+            F.lit(0).cast("bigint").alias("chunk"),
+            F.lit(0).cast("bigint").alias("offset"),
+            F.size("_sorted").cast("bigint").alias("total"),
+            F.col("_sorted")[0]["point"]["date"].alias("start_date"),
+            "_sorted",
+        )
     )
     if split.hot is not None:
         numbered = number_rows(split.hot, key, order, split.hot_keys, split.hot_rows)
+        totals = numbered.groupBy(key).agg(F.count("*").alias("total"))
+        heads = _starts(numbered, key, date).join(totals, key)
+        blocks = with_chunks(numbered, max(array_rows, halo), halo).repartition(
+            partitions_for(df.sparkSession, split.hot_rows), key, "_chunk"
+        )
+        full = F.col("_own") & (F.col("_pos") >= (days or 1) - 1)
         cut = (
-            with_chunks(numbered, max(array_rows, halo), halo)
-            .repartition(partitions_for(df.sparkSession, split.hot_rows), key, "_chunk")
+            averaged(blocks, [key, "_chunk"], ["_pos"], full)
             .groupBy(key, F.col("_chunk").alias("chunk"))
-            .agg(points("_pos").alias("series"), F.max("_own").alias("_any_own"))
+            .agg(collected("_pos"), F.min("_pos").alias("offset"), F.max("_own").alias("_any_own"))
             .filter("_any_own")
-            .join(small(_starts(numbered, key, date), split.hot_keys, 2), key)
+            .join(small(heads, split.hot_keys, 3), key)
         )
-        series = series.unionByName(cut.select(key, "chunk", "start_date", "series"))
-    return series
+        result = result.unionByName(answer(cut))
+    return result
 
 
 def with_series_info(series: DataFrame, days: int) -> DataFrame:
-    """Add ``num_days``, the window length, and ``num_windows``, the full windows of the array."""
-    windows = F.greatest(F.size("series") - (days - 1), F.lit(0))
+    """Add ``num_days``, the window length, and ``num_windows``, the full windows of the key."""
+    windows = F.greatest(F.col("total") - (days - 1), F.lit(0)).cast("int")
     return series.withColumns({"num_days": F.lit(days), "num_windows": windows})
 
 
-def moving_average_array(series: DataFrame, days: int) -> DataFrame:
-    """Trailing means within the arrays of ``collect_series(..., halo=days - 1)``.
+def moving_average_array(
+    df: DataFrame,
+    key: str,
+    date: str,
+    value: str,
+    days: int,
+    tiebreak: Sequence[str] = (),
+    array_rows: int = ARRAY_ROWS,
+) -> DataFrame:
+    """Trailing means as arrays of ``{avg, date}``: ``collect_series`` with ``moving_averages``.
 
-    Adds ``moving_averages``, an array of ``{avg, date}``; it is empty for a series shorter than
-    the window.  ``moving_average`` gives the same rows faster; this form answers one document
-    per series.
+    Also gives ``num_days`` and ``num_windows``.  The arrays of a long key overlap by
+    ``days - 1`` points, so together they hold every full window once; a series shorter than the
+    window has an empty array.  ``moving_average`` gives the same rows faster; this form answers
+    documents.
     """
     if days < 1:
         raise ValueError("a window covers at least one row")
-    points = F.col("series")
-
-    def window(start: Column) -> Column:
-        return F.struct(
-            array_mean(slice0(points.getField("value"), start, days)).alias("avg"),
-            elem(points.getField("date"), start + (days - 1)).alias("date"),
-        )
-
-    starts = int_range(0, F.size(points) - (days - 1))
-    return with_series_info(series, days).withColumn(
-        "moving_averages", F.transform(starts, window)
-    )
+    require_columns(df, key, date, value, *tiebreak)
+    arrays = _collect(df, key, date, value, tiebreak, array_rows, days - 1, days)
+    return with_series_info(arrays, days)
 
 
 def date_range_mean(df: DataFrame, key: str, value, date: str, column: str, start, end):

@@ -330,6 +330,16 @@ ORACLES = {
                  row_number() over (partition by event_type order by ts, event_id) as rn
           from events
         ) where rn >= 7""",
+    "moving_average_array_split": """
+        select event_type, cast(n - 6 as integer) as num_windows,
+               strftime(ts, '%Y-%m-%d %H:%M:%S') as second, round(a, 6) as avg from (
+          select event_type, ts,
+                 avg(value) over (partition by event_type order by ts, event_id
+                                  rows between 6 preceding and current row) as a,
+                 row_number() over (partition by event_type order by ts, event_id) as rn,
+                 count(*) over (partition by event_type) as n
+          from events
+        ) where rn >= 7""",
     "moving_average_array": f"""
         select gisjoin, start_date, num_days, num_windows, formatted_date as date, avg from (
           select *, cast(count(*) over (partition by gisjoin) as integer) as num_windows

@@ -288,10 +288,9 @@ def moving_average_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def moving_average_array(spark: SparkSession, sf: str) -> DataFrame:
-    collected = series.collect_series(
-        frames.daily(spark, sf), "gisjoin", "formatted_date", "cases", halo=6
+    averaged = series.moving_average_array(
+        frames.daily(spark, sf), "gisjoin", "formatted_date", "cases", 7
     )
-    averaged = series.moving_average_array(collected, 7)
     return averaged.select(
         "gisjoin", "start_date", "num_days", "num_windows", F.explode("moving_averages").alias("m")
     ).select(
@@ -304,6 +303,19 @@ def moving_average_array(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def moving_average_array_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw events in arrays far shorter than the series; no window may be lost at their borders."""
+    averaged = series.moving_average_array(
+        load(spark, sf, "events"), "event_type", "ts", "value", 7, ["event_id"], array_rows=50
+    )
+    return averaged.select("event_type", "num_windows", F.explode("moving_averages").alias("m")).select(
+        "event_type",
+        "num_windows",
+        F.date_format("m.date", "yyyy-MM-dd HH:mm:ss").alias("second"),
+        _r("m.avg").alias("avg"),
+    )
+
+
 def array_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Each array function on the daily series of a key."""
     collected = series.collect_series(
@@ -334,7 +346,7 @@ def direct_pipeline(spark: SparkSession, sf: str) -> DataFrame:
         pipeline.group(["user_id", "day"], total=F.count("*")),
         pipeline.group_push("user_id", "day", "total"),
         pipeline.add_fields(
-            {"num_days": F.size("series"), "last": elem("series", F.size("series") - 1)["date"]}
+            {"num_days": F.col("total").cast("int"), "last": elem("series", F.size("series") - 1)["date"]}
         ),
         pipeline.select("user_id", "start_date", "num_days", "last"),
         pipeline.sort("user_id"),
@@ -570,6 +582,7 @@ QUERIES = {
     "moving_average_requested": moving_average_requested,
     "moving_average_split": moving_average_split,
     "moving_average_array": moving_average_array,
+    "moving_average_array_split": moving_average_array_split,
     "array_functions": array_functions,
     "direct_pipeline": direct_pipeline,
     "assembled_features": assembled_features,

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,10 +58,10 @@ def test_moving_average(df, data, days, hot_rows):
 
 @pytest.mark.parametrize("array_rows", [10_000, 50])
 def test_array_form_equals_window_form(df, data, array_rows):
-    arrays = series.collect_series(df, "k", "d", "v", array_rows=array_rows, halo=6)
-    form = series.moving_average_array(arrays, 7).select(
-        "k", "start_date", F.explode("moving_averages").alias("m")
-    )
+    arrays = series.moving_average_array(df, "k", "d", "v", 7, array_rows=array_rows)
+    lengths = {(r["k"], r["total"], r["num_windows"]) for r in arrays.collect()}
+    assert lengths == {(k, len(points), max(0, len(points) - 6)) for k, points in data.items()}
+    form = arrays.select("k", "start_date", F.explode("moving_averages").alias("m"))
     got = form.select("k", F.col("m.date").alias("d"), F.col("m.avg").alias("avg"), "start_date")
     expected = sorted((k, *row) for k, points in data.items() for row in trailing(points, 7))
     assert answers(got) == expected
@@ -75,6 +76,21 @@ def test_series_is_ordered_and_whole(df, data):
     assert joined == data
 
 
+def test_long_arrays_take_linear_time(spark):
+    long = spark.range(100_000).select(F.lit("a").alias("k"), F.col("id").alias("d"), F.col("id").alias("v"))
+    start = time.perf_counter()
+    averages = series.moving_average_array(long, "k", "d", "v", 7)
+    row = averages.select(F.size("moving_averages").alias("n"), F.col("moving_averages")[99_993]["avg"].alias("last")).first()
+    assert (row["n"], row["last"]) == (99_994, 99_996.0)
+    assert time.perf_counter() - start < 60
+
+
+def test_requested_short_series(df, data):
+    got = series.moving_average(df, "k", "d", "v", 7, keys=["short", "nosuch"]).collect()
+    rows = {r["k"]: (r["d"], r["avg"], r["num_days"], r["start_date"]) for r in got}
+    assert rows == {"short": (None, None, 7, data["short"][0][0]), "nosuch": (None, None, None, None)}
+
+
 def test_requested_keys(df):
     got = series.moving_average(df, "k", "d", "v", 7, keys=["short", "warm", "nosuch", "warm"])
     counts = {r["req_ord"]: (r["k"], r["n"]) for r in got.groupBy("req_ord", "k").agg(F.count("avg").alias("n")).collect()}
