@@ -8,13 +8,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import Scratch, small
 from .components import components
 from .hashing import letter_table, shingle_set, word_hashes
-from .segments import Threshold, signatures, sketch
+from .segments import Threshold, matches_of, signatures, sketch
 from .tables import id_and_text, only_ids
 
 #: In one batch of texts, a signature of so many of them is hot: its rows are dealt by batch.
@@ -92,12 +92,13 @@ def _sign(length: int, threshold: Threshold, common: np.ndarray):
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
+                    pa.array([matches_of(n, threshold) for n in sizes], pa.int32()),
                     pa.array(sketches, pa.list_(pa.int64())),
                     _lists(flat, owner, plain, len(signed)),
                     _lists(flat, owner, hot, len(signed)),
                     pa.array([part] * len(signed), pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch", "signs", "hot", "part"],
+                names=["doc_id", "n_shingles", "digest", "matches", "sketch", "signs", "hot", "part"],
             )
 
     return run
@@ -137,10 +138,11 @@ def _compare(length: int, threshold: Threshold):
 class ShingleJoin:
     """The links of one table of texts.
 
-    ``pairs`` of set representatives are found in two rounds.  In the first, every bucket of equal
+    Pairs of set representatives are found in two rounds.  In the first, every bucket of equal
     signatures compares its least member with each other one.  Where that leaves a bucket in one
-    component nothing is left to find there.  The second round compares the rest: pairs of an
-    unsettled bucket whose components differ.  So no round lists all pairs of a group of copies.
+    component nothing is left to find there.  The second round compares the rest: pairs whose
+    components differ and that share enough buckets, all of which are unsettled.  So no round
+    lists all pairs of a group of copies.
     """
 
     def __init__(self, docs: DataFrame, length: int, percent: int):
@@ -153,21 +155,21 @@ class ShingleJoin:
         signed = scratch.write(
             self.docs.mapInArrow(
                 _sign(self.length, self.threshold, common_shingles(self.docs, self.length)),
-                f"doc_id {kind}, n_shingles long, digest binary, sketch array<long>, signs array<long>, hot array<long>, part long",
+                f"doc_id {kind}, n_shingles long, digest binary, matches int, sketch array<long>, signs array<long>, hot array<long>, part long",
             )
         )
         rep = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
         members = scratch.write(
-            signed.select("doc_id", "n_shingles", "digest", "sketch")
+            signed.select("doc_id", "n_shingles", "digest", "matches", "sketch")
             .join(rep, "digest", "left")
-            .select("doc_id", "n_shingles", "sketch", F.coalesce("rep", "doc_id").alias("rep"))
+            .select("doc_id", "n_shingles", "matches", "sketch", F.coalesce("rep", "doc_id").alias("rep"))
         )
         buckets = scratch.write(self._buckets(signed))
         scratch.drop(signed)
         nodes = members.filter("doc_id is not null").groupBy("doc_id").agg(
-            F.min("rep").alias("rep"), F.max(F.struct("n_shingles", "sketch")).alias("set")
+            F.min("rep").alias("rep"), F.max(F.struct("n_shingles", "matches", "sketch")).alias("set")
         )
-        stars = scratch.write(buckets.select("doc_id", "least").distinct())
+        stars = scratch.write(buckets.groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("shared")))
         first = self._verify(self._as_pairs(stars, nodes))
         links = first.filter("linked")
         found = components(links, "a", "b", scratch)
@@ -197,18 +199,27 @@ class ShingleJoin:
         """Distinct pairs of representatives whose sizes allow a link, the pivot first."""
         sized = stars.join(nodes, "doc_id").withColumnRenamed("rep", "b").withColumnRenamed("set", "set_b")
         pivot = nodes.select(F.col("doc_id").alias("least"), F.col("rep").alias("a"), F.col("set").alias("set_a"))
-        return self._possible(sized.join(pivot, "least"))
+        # a text may share the rest of its signatures with another pivot; what is left out here is
+        # counted in full in the second round
+        return self._possible(sized.join(pivot, "least").filter("a <> b"), F.max("shared") * 2)
 
-    def _possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that size and sketch allow: bits that differ are differences the sets have."""
+    def _possible(self, pairs: DataFrame, shared: Column) -> DataFrame:
+        """Pairs that size, sketch and the count of shared signatures allow.
+
+        Bits of the sketches that differ are differences the sets have.
+        """
         percent = self.threshold.percent
         enough = f"least(set_a.n_shingles, set_b.n_shingles) * 100 >= greatest(set_a.n_shingles, set_b.n_shingles) * {percent}"
         bits = " + ".join(f"bit_count(set_a.sketch[{i}] ^ set_b.sketch[{i}])" for i in range(8))
         near = f"({bits}) * {100 + percent} <= (set_a.n_shingles + set_b.n_shingles) * {100 - percent}"
+        need = F.expr("if(set_a.n_shingles <= set_b.n_shingles, set_a.matches, set_b.matches)")
         return (
-            pairs.filter(f"a <> b and {enough} and {near}")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
+            pairs.filter(f"{enough} and {near}")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need"), "shared")
+            .groupBy("a", "b")
+            .agg(F.max("need").alias("need"), shared.alias("shared"))
+            .filter("shared >= need")
+            .select("a", "b")
         )
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
@@ -257,7 +268,8 @@ class ShingleJoin:
         left = rows.filter("c <> main").select("sign", F.col("rep").alias("a"), F.col("set").alias("set_a"), F.col("c").alias("c_a"))
         right = rows.select("sign", F.col("rep").alias("b"), F.col("set").alias("set_b"), F.col("c").alias("c_b"), "main")
         across = left.join(right, "sign").filter("c_a <> c_b and (a < b or c_b = main)")
-        return self._possible(across).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        across = across.withColumn("shared", F.lit(1))
+        return self._possible(across, F.sum("shared")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def shingle_components(

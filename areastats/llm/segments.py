@@ -15,6 +15,9 @@ each set signs only the most telling ones: those with the most items that are no
 the fullest.  That keeps every pair, as the order is the same for all sets: if q segments of a pair
 are equal, a set that leaves out at most q - 1 segments, the last ones in that order, still signs
 the first of the equal ones.  Any table of common items keeps every pair; a good one saves partners.
+
+Sets with many segments sign some more of them than one equal segment needs.  By the same count
+every pair then shares at least ``matches`` signatures, and partners with fewer are not compared.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .hashing import mix
 _SEGMENT, _BAND, _COUNT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 #: Signatures that a spurious partner, to be compared and refused, is worth.
 PARTNER_COST = 50.0
+#: One more signature is signed and asked of a partner for so many that are needed.
+MATCH_SHARE = 10
 
 
 class Threshold(NamedTuple):
@@ -56,6 +61,7 @@ class Band(NamedTuple):
     exact: int
     deletion: int
     number: int
+    matches: int  # signatures that a pair shares at least, its smaller set being of this band
 
     @property
     def segments(self) -> int:
@@ -78,16 +84,18 @@ def allocate(number: int, low: int, high: int, threshold: Threshold) -> Band:
     size = (low + high) / 2
     best = None
     for deletion in {0, 1, *(need * k // 8 for k in range(1, 5))}:
-        if 2 * deletion > need + 1:
+        # a neighbourhood hides how many segments are equal, which larger bands count
+        if 2 * deletion > need + 1 or (deletion and need >= 2 * MATCH_SHARE):
             continue
-        must = max(0, need - 2 * deletion)
+        matches = 1 if deletion else 1 + need // MATCH_SHARE
+        must = max(0, need - 2 * deletion) + matches - 1
         for spare in {0, *(-(-must * k // 4) for k in (1, 2))} if must else {0}:
             unit = size / (must + spare + 2 * deletion)
             cost = must + deletion * (1 + 2 * unit)
             # of the spare segments the emptiest are not signed
             cost += PARTNER_COST * (max(0.0, (must + spare) * weak(unit, 1) - spare) + deletion * weak(2 * unit, 2))
             if best is None or (cost, deletion, spare) < best[0]:
-                best = ((cost, deletion, spare), Band(low, high, must + spare, deletion, number))
+                best = ((cost, deletion, spare), Band(low, high, must + spare, deletion, number, matches))
     return best[1]
 
 
@@ -111,6 +119,11 @@ def bands_of(n: int, threshold: Threshold) -> list[tuple[Band, int]]:
     return found
 
 
+def matches_of(n: int, threshold: Threshold) -> int:
+    """Signatures that a set of n items shares at least with a similar set that is not smaller."""
+    return bands_of(n, threshold)[0][0].matches if n else 0
+
+
 SKETCH_BITS = 512
 
 
@@ -161,7 +174,7 @@ def _band_signatures(
         mine = segment < band.deletion
         which = segment[mine].astype(np.int64)
         found.append(mix((whole[which] - scattered[mine]) ^ salt[which]))
-    wanted = min(band.exact, max(0, differences - 2 * band.deletion + 1))
+    wanted = min(band.exact, max(0, differences - 2 * band.deletion + band.matches))
     if wanted:
         exact = present >= band.deletion
         signed = mix((sums[exact] ^ salt[present[exact].astype(np.int64)]) + counts[exact].astype(np.uint64) * _COUNT)
