@@ -24,7 +24,7 @@ REMEMBERED = 500_000
 #: Classes of evidence: class 0 has none, the others split the log odds at these values.
 CLASSES = (1.5, 2.5, 3.5, 4.5)
 #: Tokens around a word of evidence that training looks at, and sequences it looks at, at most.
-REACH, SEQUENCES = 6, 20_000
+REACH, SEQUENCES = 6, 4_000
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -159,14 +159,15 @@ def _sequences(readings: list[tuple[Reading, int]]) -> tuple[np.ndarray, np.ndar
             stop = min(reading.tokens, end + REACH + 1)
             classes.append([by_place.get(j, 0) for j in range(start, stop)])
             tags.append([int(toxic and c > 0) for c in classes[-1]])
-    classes, tags = classes[:SEQUENCES], tags[:SEQUENCES]
+    every = max(1, -(-len(classes) // SEQUENCES))  # the readings are sorted, so this draws all lengths alike
+    classes, tags = classes[::every], tags[::every]
     lengths = np.array([len(x) for x in classes], int)
     width = int(lengths.max(initial=1))
     pad = lambda rows: np.array([row + [0] * (width - len(row)) for row in rows], int).reshape(-1, width)
     return pad(classes), pad(tags), lengths
 
 
-def fit_chain(readings: list[tuple[Reading, int]], rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit_chain(readings: list[tuple[Reading, int]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Emission and transition weights by gradient ascent on the conditional likelihood."""
     n_classes = len(CLASSES) + 1
     emission, transition = np.zeros((3, n_classes)), np.zeros((2, 2))
@@ -178,13 +179,17 @@ def fit_chain(readings: list[tuple[Reading, int]], rounds: int = 150) -> tuple[n
     inside = np.arange(width) < lengths[:, None]
     left = np.pad(classes, ((0, 0), (1, 0)))[:, :-1]
     right = np.pad(classes, ((0, 0), (0, 1)))[:, 1:] * np.pad(inside, ((0, 0), (0, 1)))[:, 1:]
-    hot = [np.eye(n_classes)[x] * inside[..., None] for x in (classes, left, right)]
-    seen = np.stack([(h * tags[..., None]).sum((0, 1)) for h in hot])
+    views = (classes, left, right)
+
+    def counted(weights: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(x[inside], weights[inside], n_classes) for x in views])
+
+    seen = counted(tags.astype(float))
     pairs = inside[:, 1:]
     moved = np.array([[((tags[:, :-1] == a) & (tags[:, 1:] == b) & pairs).sum() for b in (0, 1)] for a in (0, 1)], float)
     mean_e, mean_t = [np.zeros_like(emission), np.zeros_like(emission)], [np.zeros((2, 2)), np.zeros((2, 2))]
     for turn in range(1, rounds + 1):
-        score = sum(h @ emission[k] for k, h in enumerate(hot))
+        score = sum(emission[k][x] for k, x in enumerate(views)) * inside
         weight = np.stack([np.ones_like(score), np.exp(np.clip(score, -30, 30))], -1)
         step = np.exp(transition)
         forward, backward = np.empty((n, width, 2)), np.ones((n, width, 2))
@@ -203,7 +208,7 @@ def fit_chain(readings: list[tuple[Reading, int]], rounds: int = 150) -> tuple[n
         posterior = forward * backward
         toxic = posterior[..., 1] / posterior.sum(-1)
         gradients = (
-            (seen - np.stack([(h * toxic[..., None]).sum((0, 1)) for h in hot]) - 0.5 * emission) / n,
+            (seen - counted(toxic) - 0.5 * emission) / n,
             (moved - expected - 0.5 * transition) / n,
         )
         for value, gradient, means in ((emission, gradients[0], mean_e), (transition, gradients[1], mean_t)):
