@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,35 +61,52 @@ def turn_costs(role: int) -> np.ndarray:
     return costs
 
 
-COSTS = np.stack([turn_costs(role) for role in range(STATES)])
+#: By role; the last one, for places after the end of a block, leaves every state as it is.
+COSTS = np.stack([*(turn_costs(role) for role in range(STATES)), np.where(np.eye(STATES, dtype=bool), 0.0, np.inf)])
+PADDING = STATES
+#: Blocks that are searched at once.
+TOGETHER = 512
+
+
+def _padded(roles: list[list[int]]) -> np.ndarray:
+    width = max(map(len, roles), default=0)
+    return np.array([row + [PADDING] * (width - len(row)) for row in roles], np.int8).reshape(-1, width)
 
 
 def block_costs(roles: np.ndarray) -> np.ndarray:
-    """Least cost from each state before the block to each state after it."""
-    total = np.where(np.eye(STATES, dtype=bool), 0.0, np.inf)
-    for role in roles:
-        total = (total[:, :, None] + COSTS[role][None]).min(axis=1)
+    """Least cost from each state before a block to each state after it, for padded blocks."""
+    total = np.repeat(COSTS[PADDING][None], len(roles), axis=0)
+    for role in roles.T:
+        total = (total[:, :, :, None] + COSTS[role][:, None]).min(axis=2)
     return total
 
 
-def best_path(roles: np.ndarray, before: int, after: int) -> list[int]:
-    """States after each turn on the cheapest way through the block; ties go to the lower state."""
-    costs = np.full((len(roles) + 1, STATES), np.inf)
-    costs[0, before] = 0.0
-    back = np.zeros((len(roles), STATES), int)
-    for t, role in enumerate(roles):
-        ways = costs[t][:, None] + COSTS[role]
-        back[t] = ways.argmin(axis=0)
-        costs[t + 1] = ways.min(axis=0)
-    path = [after]
-    for t in range(len(roles) - 1, 0, -1):
-        path.append(int(back[t][path[-1]]))
-    return path[::-1]
+def best_paths(roles: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """States after each turn on the cheapest way through each padded block; ties go to the lower state."""
+    n, width = roles.shape
+    costs = np.full((n, STATES), np.inf)
+    costs[np.arange(n), before] = 0.0
+    back = np.zeros((width, n, STATES), np.int8)
+    for t, role in enumerate(roles.T):
+        ways = costs[:, :, None] + COSTS[role]
+        back[t] = ways.argmin(axis=1)
+        costs = ways.min(axis=1)
+    path, state = np.zeros((n, width), np.int8), np.asarray(after)
+    for t in range(width - 1, -1, -1):
+        path[:, t] = state
+        state = back[t, np.arange(n), state]
+    return path
 
 
-def _block_matrix(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    costs = block_costs(frame.sort_values("_pos")["role_id"].to_numpy())
-    return pd.DataFrame({"conv": [key[0]], "block": [key[1]], "costs": [costs.ravel().tolist()]})
+def _block_matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, TOGETHER):
+            batch = whole.slice(at, TOGETHER)
+            costs = block_costs(_padded(batch.column(2).to_pylist())).reshape(-1, STATES * STATES)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(costs.tolist(), pa.list_(pa.float64()))],
+                names=["conv", "block", "costs"],
+            )
 
 
 def _chain_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,15 +145,29 @@ def _choose_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _walk_block(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("_pos").reset_index(drop=True)
-    path = best_path(frame["role_id"].to_numpy(), int(frame["before"][0]), int(frame["after"][0]))
-    ways = {step[:2]: step for step in STEPS}
-    chosen = [ways[pair] for pair in zip([int(frame["before"][0]), *path], path)]
-    frame["state"] = path
-    frame["merged"] = [step[2] == 1 for step in chosen]
-    frame["inserted"] = [step[3] for step in chosen]
-    return frame[["conv", "_pos", "state", "merged", "inserted"]]
+MERGED, INSERTED = np.zeros((STATES, STATES), bool), np.zeros((STATES, STATES), np.int32)
+for _before, _after, _merged, _between, _ in STEPS:
+    MERGED[_before, _after], INSERTED[_before, _after] = _merged, _between
+
+
+def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States after the turns of each block, and what was done at each turn."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, TOGETHER):
+            batch = whole.slice(at, TOGETHER)
+            roles = batch.column(2).to_pylist()
+            before, after = (np.array(batch.column(k).to_pylist(), int) for k in (3, 4))
+            paths = best_paths(_padded(roles), before, after)
+            earlier = np.concatenate((before[:, None], paths[:, :-1]), axis=1)
+            found = [
+                pa.array([row[: len(mine)] for row, mine in zip(values.tolist(), roles)], pa.list_(kind))
+                for values, kind in (
+                    (paths, pa.int32()), (MERGED[earlier, paths], pa.bool_()), (INSERTED[earlier, paths], pa.int32())
+                )
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *found], names=["conv", "block", "state", "merged", "inserted"]
+            )
 
 
 def repair(
@@ -171,10 +201,14 @@ def repair(
     counts = rows.agg(F.countDistinct("conv"), F.count(F.lit(1))).first()
     numbered = number_rows(rows, "conv", ["turn", "role", "text"], max(counts[0], 1), counts[1])
     numbered = scratch.write(numbered.withColumn("block", F.floor(F.col("_pos") / BLOCK_TURNS)))
-    narrow = numbered.select("conv", "block", "_pos", "role_id")
-    matrices = narrow.groupBy("conv", "block").applyInPandas(
-        _block_matrix, "conv string, block long, costs array<double>"
+    # a block has BLOCK_TURNS turns at most
+    blocks, (n_blocks,) = scratch.write_counted(
+        numbered.groupBy("conv", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("_pos", "role_id"))).alias("turns"))
+        .select("conv", "block", F.col("turns.role_id").alias("roles")),
+        F.count(F.lit(1)),
     )
+    matrices = blocks.mapInArrow(_block_matrices, "conv string, block long, costs array<double>")
     ahead = scratch.write(
         matrices.repartition("conv")
         .sortWithinPartitions("conv", "block")
@@ -186,12 +220,25 @@ def repair(
         .sortWithinPartitions("conv", F.desc("block"))
         .mapInArrow(_choose_ends, "conv string, block long, before int, after int")
     )
-    ends, (blocks,) = scratch.write_counted(ends, F.count(F.lit(1)))
-    walked = (
-        narrow.join(small(ends, blocks, 4), ["conv", "block"])
-        .groupBy("conv", "block")
-        .applyInPandas(_walk_block, "conv string, _pos long, state int, merged boolean, inserted int")
+    ends = scratch.write(ends)
+    walked = scratch.write(
+        blocks.join(small(ends, n_blocks, 4), ["conv", "block"]).mapInArrow(
+            _walk_blocks, "conv string, block long, state array<int>, merged array<boolean>, inserted array<int>"
+        )
+    )
+    # whether the turn after is merged; the one after a block's last turn is the first of the next block
+    following = F.lead(F.get("merged", F.lit(0))).over(earlier)
+    steps = walked.withColumn("_following", following).select(
+        "conv",
+        "block",
+        F.posexplode(
+            F.arrays_zip(
+                "state", "merged", "inserted",
+                F.concat(F.expr("slice(merged, 2, size(merged))"), F.array("_following")).alias("_next"),
+            )
+        ).alias("_at", "_step"),
     )
+    joined = steps.select("conv", (F.col("block") * BLOCK_TURNS + F.col("_at")).alias("_pos"), "_step.*")
     name = F.array(F.lit(None).cast("string"), *[F.lit(role) for role in ROLES])
     head = F.concat(F.lit("<|"), F.col("repaired_role"), F.lit("|>\n"))
     empty = F.coalesce(F.concat(F.lit("<|"), F.col("inserted_role"), F.lit("|>\n<|end|>\n")), F.lit(""))
@@ -200,8 +247,6 @@ def repair(
     last = F.when(F.col("_next").isNull(), F.lit("\n<|end|>")).otherwise(
         F.when(F.col("_next"), F.lit("")).otherwise(F.lit("\n"))
     )
-    following = Window.partitionBy("conv").orderBy("_pos")
-    joined = walked.withColumn("_next", F.lead("merged").over(following))
     return (
         numbered.join(joined, ["conv", "_pos"])
         .withColumn("repaired_role", F.element_at(name, F.col("state") + 1))

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing names."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -168,7 +169,6 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_chain_marginals_equal_all_paths():
-    import itertools
     import math
 
     import numpy as np
@@ -202,3 +202,24 @@ def test_chat(spark):
     b = sorted((r for r in rows if r["conv_id"] == "b"), key=lambda r: r["position"])
     assert "".join(r["rendered"] for r in b) == "<|system|>\ns\n<|end|>\n<|user|>\nq\n<|end|>"
     assert chat.repair(table.limit(0)).count() == 0
+
+
+def test_chat_blocks(spark, monkeypatch):
+    """The same repair in one block and in many, and no cheaper one among all paths."""
+    rng = random.Random(5)
+    names = ["system", "user", "assistant", "other", None]
+    turns = [(f"c{c}", t, rng.choice(names), f"{c}.{t}") for c in range(12) for t in range(rng.randint(1, 9))]
+    table = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
+    key = lambda row: (row["conv_id"], row["position"])
+    whole = sorted(chat.repair(table).collect(), key=key)
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 2)
+    assert sorted(chat.repair(table).collect(), key=key) == whole
+    for conv in {turn[0] for turn in turns}:
+        roles = [chat.ROLES.index(role) + 1 if role in chat.ROLES else 0 for c, _, role, _ in turns if c == conv]
+        mine = [chat.ROLES.index(row["repaired_role"]) + 1 for row in whole if row["conv_id"] == conv]
+        cost = lambda path: sum(
+            chat.turn_costs(role)[a, b] for role, a, b in zip(roles, [chat.START, *path], path)
+        )
+        if len(roles) <= 7:
+            assert cost(mine) == min(map(cost, itertools.product(range(1, chat.STATES), repeat=len(roles))))
+        assert cost(mine) < float("inf")
