@@ -5,101 +5,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import Scratch
+from ..scale import Scratch, small
 from .tables import id_and_text
 
 #: Lines of fewer characters are only compared as equal; one edit would change too much of them.
 LEAST_CHARS = 16
 #: Characters by which two lines may differ: one inserted, deleted or exchanged.
 EDITS = 1
+#: Lines whose lengths lie in one band of so many characters sign with halves of the same length.
+BAND = 8
+#: Pieces of a line of which one edit changes one; variants are emitted of that piece only.
+PIECES = 16
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Rows of (row, doc_id, line_no, line) of every line that is not blank."""
+    """Rows of (row, doc_id, line_no, line, h, c) of every line that is not blank."""
     return (
         docs.filter("text is not null")
         .select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+        .select("row", "doc_id", "line_no", "line", F.xxhash64("line").alias("h"), F.crc32("line").alias("c"))
     )
 
 
 def _half_keys() -> Column:
-    """Keys of which two lines within one edit share one: the first or the last half is intact.
+    """Keys of which two lines within one edit share one: their first or last half is intact.
 
-    Lines of n and n + 1 characters must agree on how long a half is, so every line signs with
-    the halves of its own length and of one less.
+    A half is half of the least length in the band.  A line of that least length may be near one
+    of the band below, so it signs there as well.  Null for lines that are compared as equal only.
     """
-    half = "cast(floor((n - {0}) / 2) as int)"
-    keys = []
-    for less in (0, 1):
-        h = half.format(less)
-        total = f"n - {less}"
-        keys.append(f"xxhash64('first', {total}, left(line, {h}))")
-        keys.append(f"xxhash64('last', {total}, right(line, {h}))")
-    # a line of n + 1 characters meets one of n at the halves for n, and so do two of n
-    return F.expr(f"array_distinct(array({', '.join(keys)}))")
-
-
-def near_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """All lines, and for each repeated or near line the earliest one within an edit.
-
-    Returns lines (row, line_no, key) and, per ``key``, the first place ``first`` and the earliest
-    place ``earliest`` of an equal or near line.  A place is (doc_id, row, line_no).
-    """
-    place = F.struct("doc_id", "row", "line_no")
-    lines = _lines(docs).select("row", "doc_id", "line_no", "line", F.xxhash64("line").alias("h"), F.crc32("line").alias("c"))
-    # equal lines meet in one row; a very frequent line is combined before the shuffle
-    distinct = scratch.write(
-        lines.groupBy("h", "c").agg(F.min(place).alias("first"), F.min("line").alias("line"))
-    )
-    long_lines = distinct.withColumn("n", F.length("line")).filter(F.col("n") >= LEAST_CHARS)
-    halves = long_lines.select("h", "c", F.explode(_half_keys()).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    meeting = scratch.write(halves.join(shared, "half").select("h", "c").distinct())
-    candidates = scratch.write(long_lines.join(meeting, ["h", "c"], "left_semi"))
-    # Lines that lose a character at the same place and are then equal differ in that character;
-    # a line that is equal to another one without a character lacks it.
-    variants = candidates.select(
-        "h", "c", "first", "line",
-        F.expr("transform(sequence(1, n), i -> struct(i as at, xxhash64(left(line, i - 1), '|', substring(line, i + 1)) as exchanged, xxhash64(concat(left(line, i - 1), substring(line, i + 1))) as shorter))").alias("v"),
+    n, band = "length(line)", f"length(line) div {BAND}"
+    keys = lambda b: f"array(xxhash64(0, {b}, left(line, int(({b}) * {BAND // 2}))), xxhash64(1, {b}, right(line, int(({b}) * {BAND // 2}))))"
+    return F.expr(
+        f"if({n} >= {LEAST_CHARS}, if({n} % {BAND} = 0, concat({keys(band)}, {keys(band + ' - 1')}), {keys(band)}), null)"
     )
-    exchanged = variants.select("h", "c", "first", "line", F.explode("v").alias("v")).select(
-        "h", "c", "first", "line", F.xxhash64("v.at", "v.exchanged").alias("variant"), F.lit(0).alias("whole")
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """Every line with each of its pieces: ``at`` 0 to ``2 * PIECES - 1``, ``around``, ``piece``.
+
+    Two lines of one length that differ in a piece agree on ``around``, the hash of all else.  A
+    line of n + 1 characters meets one of n where it is cut for n characters, the piece longer by
+    one; these cuts follow in the second half of ``at``.
+    """
+    cut = lambda k: f"int(total * ({k}) div {PIECES})"
+    return (
+        lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * PIECES - 1))).alias("at"))
+        .selectExpr("*", f"at div {PIECES} = 1 as longer", f"int(at % {PIECES}) as k", f"int(length(line) - at div {PIECES}) as total")
+        .selectExpr("*", f"{cut('k')} as before", f"total - {cut('k + 1')} as after")
+        .withColumn("around", F.expr("xxhash64(total, k, left(line, before), right(line, after))"))
+        .withColumn("piece", F.expr("substring(line, before + 1, length(line) - before - after)"))
+        .drop("k", "total", "before", "after")
     )
-    shorter = variants.select("h", "c", "first", "line", F.explode(F.array_distinct("v.shorter")).alias("variant")).select(
-        "h", "c", "first", "line", "variant", F.lit(2).alias("whole")
+
+
+def _meeting(keys: DataFrame, key: str) -> DataFrame:
+    """Rows of (h, ``key``) whose key two different lines hold; no key's lines are held together."""
+    shared = keys.groupBy(key).agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select(key)
+    return keys.join(shared, key, "left_semi")
+
+
+def _variants(pieces: DataFrame) -> DataFrame:
+    """Rows of (h, c, first, variant, kind): kind 1 a piece as it is, 0 and 2 one less a character.
+
+    Pieces that lose a character at the same place and are then equal differ in that character
+    (kind 0); a piece that is equal to a longer one without a character lacks it (1 and 2).
+    """
+    less = "concat(left(piece, p - 1), substring(piece, p + 1))"
+    places = "if(length(piece) > 0, sequence(1, length(piece)), cast(array() as array<int>))"
+    same = f"transform({places}, p -> struct(xxhash64(around, p, {less}) as variant, 0 as kind))"
+    whole = "array(struct(xxhash64(around, 0, piece) as variant, 1 as kind))"
+    shorter = f"array_distinct(transform({places}, p -> struct(xxhash64(around, 0, {less}) as variant, 2 as kind)))"
+    return pieces.select("h", "c", "first", F.expr(f"inline(if(longer, {shorter}, concat({whole}, {same})))"))
+
+
+def near_lines(lines: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, c, near) of each line with an earlier one within an edit; ``near`` is the earliest place.
+
+    Lines are first reduced to those that share a half with another line, then to their pieces
+    around which all else is shared; only these pieces emit their variants.
+    """
+    place = F.struct("doc_id", "row", "line_no")
+    halves = keyed.select("h", "c", F.explode("halves").alias("half"))
+    meeting, (many,) = scratch.write_counted(_meeting(halves, "half").select("h", "c").distinct(), F.count(F.lit(1)))
+    candidates = scratch.write(
+        lines.join(small(meeting, many, 2), ["h", "c"]).groupBy("h", "c").agg(F.min(place).alias("first"), F.min("line").alias("line"))
     )
-    whole = candidates.select("h", "c", "first", "line", F.xxhash64("line").alias("variant"), F.lit(1).alias("whole"))
-    keyed = exchanged.unionByName(shorter).unionByName(whole)
-    narrow = keyed.drop("line")
-    # the earliest of each bucket: among exchanged ones, and between a whole line and the longer ones
+    shared = _meeting(_pieces(candidates).select("h", "c", "at", "around"), "around")
+    where = shared.groupBy("h", "c").agg(F.collect_set("at").alias("shared"))
+    pieces = _pieces(candidates.join(where, ["h", "c"])).filter(F.array_contains("shared", F.col("at")))
+    variants = scratch.write(_variants(pieces))
+    # The earliest of each bucket: among exchanged ones, and between a whole piece and longer ones.
+    mine = F.struct("first", "h", "c")
     least = (
-        narrow.groupBy("variant", (F.col("whole") > 0).alias("sizes"))
+        variants.groupBy("variant")
         .agg(
-            F.min(F.when(F.col("whole") != 2, F.struct("first", "h", "c"))).alias("of_whole"),
-            F.min(F.when(F.col("whole") == 2, F.struct("first", "h", "c"))).alias("of_longer"),
-            F.count(F.lit(1)).alias("many"),
+            F.min(F.when(F.col("kind") != 2, mine)).alias("of_whole"),
+            F.min(F.when(F.col("kind") == 2, mine)).alias("of_longer"),
+            F.min("h").alias("a"),
+            F.max("h").alias("b"),
         )
-        .filter("many > 1")
+        .filter("a < b")
+        .drop("a", "b")
     )
-    met = narrow.withColumn("sizes", F.col("whole") > 0).join(least, ["variant", "sizes"])
-    other = F.when(F.col("whole") == 1, F.col("of_longer")).otherwise(F.col("of_whole"))
+    other = F.when(F.col("kind") == 1, F.col("of_longer")).otherwise(F.col("of_whole"))
     pairs = (
-        met.select("h", "c", "first", other.alias("other"))
+        variants.join(least, "variant")
+        .select("h", "c", "first", other.alias("other"))
         .filter("other.first < first")
-        .groupBy("h", "c", "other")
-        .agg(F.first("first").alias("first"))
+        .select("h", "c", "other")
+        .distinct()
     )
     text = candidates.select(F.col("h").alias("oh"), F.col("c").alias("oc"), F.col("line").alias("other_line"))
-    proven = (
+    near = scratch.write(
         pairs.join(candidates.select("h", "c", "line"), ["h", "c"])
         .join(text, (F.col("other.h") == F.col("oh")) & (F.col("other.c") == F.col("oc")))
         .filter(F.levenshtein("line", "other_line", EDITS) >= 0)
         .groupBy("h", "c")
         .agg(F.min("other.first").alias("near"))
     )
-    places = distinct.select("h", "c", "first").join(proven, ["h", "c"], "left")
-    return lines.drop("line"), places.withColumn("earliest", F.least("first", F.coalesce("near", "first")))
+    scratch.drop(meeting, candidates, variants)
+    return near
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,27 +140,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scratch = Scratch(docs.sparkSession)
     numbered = scratch.write(id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    lines, places = near_lines(numbered, scratch)
+    lines = _lines(numbered)
+    keyed = scratch.write(lines.withColumn("halves", _half_keys()).drop("line"))
+    near = near_lines(lines, keyed, scratch)
     mine = F.struct("doc_id", "row", "line_no")
-    # Only the first of the equal lines may stay; the rows of a frequent line are few columns wide.
-    judged = (
-        lines.join(places, ["h", "c"])
+    # Only the first of equal lines may stay.  Lines that are alone and near none need no join.
+    firsts = keyed.groupBy("h", "c").agg(F.min(mine).alias("first"), F.count(F.lit(1)).alias("many"))
+    places = firsts.join(near, ["h", "c"], "left").filter("many > 1 or near is not null").drop("many")
+    gone = (
+        keyed.drop("halves")
+        .join(places, ["h", "c"])
         .withColumn("equal", F.col("first") < mine)
-        .withColumn("near", ~F.col("equal") & (F.col("earliest") < mine))
-    )
-    per_row = judged.groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if("equal").alias("n_equal"),
-        F.count_if("near").alias("n_near"),
-        F.collect_set(F.when(F.col("equal") | F.col("near"), F.col("line_no"))).alias("gone"),
+        .filter("equal or near is not null")
+        .groupBy("row")
+        .agg(
+            F.count_if("equal").alias("n_equal"),
+            F.count_if(~F.col("equal")).alias("n_near"),
+            F.collect_list("line_no").alias("gone"),
+        )
     )
+    # all_lines is named twice, so that the optimizer leaves it a column: written into the lambda,
+    # the text would be split once per line
     kept = F.expr(
-        "if(size(gone) > 0, array_join(transform(array_except(sequence(0, size(split(text, '\\n')) - 1), gone), "
-        "i -> all_lines[i]), '\\n'), text)"
+        "array_join(transform(array_except(sequence(0, size(all_lines) - 1), gone), i -> all_lines[i]), '\\n')"
     )
-    zero = [F.coalesce(name, F.lit(0)).alias(name) for name in ("n_lines", "n_equal", "n_near")]
+    n_lines = F.size(F.filter("all_lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     return (
-        numbered.join(per_row, "row", "left")
+        numbered.join(gone, "row", "left")
         .withColumn("all_lines", F.split("text", "\n"))
-        .select("doc_id", *zero, F.when(F.col("text").isNotNull(), F.coalesce(kept, "text")).alias("text"))
+        .select(
+            "doc_id",
+            F.when(F.col("text").isNotNull(), n_lines).otherwise(0).cast("long").alias("n_lines"),
+            *[F.coalesce(name, F.lit(0)).alias(name) for name in ("n_equal", "n_near")],
+            F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text")).alias("text"),
+        )
     )

@@ -223,3 +223,42 @@ def test_chat_blocks(spark, monkeypatch):
         if len(roles) <= 7:
             assert cost(mine) == min(map(cost, itertools.product(range(1, chat.STATES), repeat=len(roles))))
         assert cost(mine) < float("inf")
+
+
+def _within_one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else len(a) + 1 == len(b) and a[at:] == b[at + 1 :]
+
+
+def test_lines_equal_a_comparison_of_all(spark):
+    """Lengths on both sides of every band and cut, edits anywhere, characters of several bytes."""
+    rng, texts = random.Random(3), []
+    for n in [*range(14, 50), 200]:
+        base = "".join(rng.choice("abcdé ") for _ in range(n - 1)) + "x"
+        near = [base, base[1:], base[:-1], "q" + base, base + "q"]
+        for _ in range(8):
+            p, new = rng.randrange(n + 1), rng.choice("abcdé")
+            near.append(rng.choice([base[:p] + new + base[p:], base[:p] + new + base[p + 1 :], base[:p] + base[p + 1 :]]))
+        rng.shuffle(near)
+        texts += ["\n".join(near[k : k + 3]) for k in range(0, len(near), 3)]
+    rng.shuffle(texts)
+    firsts, want = [], {}
+    for i, text in enumerate(texts):
+        kept, equal, close = [], 0, 0
+        for line in text.split("\n"):
+            if line in firsts:
+                equal += 1
+                continue
+            if len(line) >= line_dedup.LEAST_CHARS and any(
+                len(x) >= line_dedup.LEAST_CHARS and _within_one_edit(x, line) for x in firsts
+            ):
+                close += 1
+            else:
+                kept.append(line)
+            firsts.append(line)
+        want[i] = (equal, close, "\n".join(kept))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_equal"], r["n_near"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 200
