@@ -144,9 +144,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = scratch.write(lines.withColumn("halves", _half_keys()).drop("line"))
     near = near_lines(lines, keyed, scratch)
     mine = F.struct("doc_id", "row", "line_no")
-    # Only the first of equal lines may stay.  Lines that are alone and near none need no join.
+    # Only the first of equal lines may stay.  Lines that are alone and near none need no join; the
+    # others are written, so that the rows of a frequent line are dealt by a join of its own.
     firsts = keyed.groupBy("h", "c").agg(F.min(mine).alias("first"), F.count(F.lit(1)).alias("many"))
-    places = firsts.join(near, ["h", "c"], "left").filter("many > 1 or near is not null").drop("many")
+    places = scratch.write(firsts.join(near, ["h", "c"], "left").filter("many > 1 or near is not null").drop("many"))
     gone = (
         keyed.drop("halves")
         .join(places, ["h", "c"])
