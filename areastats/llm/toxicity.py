@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scale import Scratch
 from .tables import id_and_text, only_ids
 
 #: Labelled documents that the model is fitted on, drawn by the hash of their ids, at most.
@@ -39,12 +41,12 @@ class Model(NamedTuple):
 
 
 class Reading(NamedTuple):
-    """A text's tokens, where those with evidence stand among them, their classes and their places."""
+    """A text's tokens, where those with evidence stand among them, their classes and, once read, their places."""
 
     tokens: int
     at: list[int]
     classes: list[int]
-    places: list[tuple[int, int]]
+    places: list[tuple[int, int]] = []
 
 
 def keys_of(word: str) -> list[str]:
@@ -69,16 +71,24 @@ class Reader:
     def read(self, text: str) -> Reading:
         classes = [*map(self.class_of, TOKEN.findall(text))]
         at = [i for i, c in enumerate(classes) if c]
-        if not at:
-            return Reading(len(classes), [], [], [])
-        wanted = set(at)
-        places = [match.span() for i, match in enumerate(TOKEN.finditer(text)) if i in wanted]
-        return Reading(len(classes), at, [classes[i] for i in at], places)
+        return Reading(len(classes), at, [classes[i] for i in at])
+
+
+def with_places(reading: Reading, text: str) -> Reading:
+    """The reading with places, which cost a second pass that few texts need."""
+    wanted = set(reading.at)
+    return reading._replace(places=[match.span() for i, match in enumerate(TOKEN.finditer(text)) if i in wanted])
 
 
 def _power(matrix: np.ndarray, exponent: int) -> np.ndarray:
     """A power of a positive matrix, scaled to a largest entry of 1."""
-    result, base = np.eye(2), matrix / matrix.max()
+    return _remembered_power(matrix.tobytes(), exponent)
+
+
+@lru_cache(50_000)
+def _remembered_power(matrix: bytes, exponent: int) -> np.ndarray:
+    base = np.frombuffer(matrix).reshape(2, 2)
+    result, base = np.eye(2), base / base.max()
     while exponent:
         if exponent & 1:
             result = result @ base
@@ -106,12 +116,9 @@ def marginals(reading: Reading, model: Model) -> dict[int, float]:
         j: np.array([1.0, math.exp(sum(model.emission[k, classes.get(j + d, 0)] for k, d in enumerate((0, -1, 1))))])
         for j in active
     }
-    powers: dict[int, np.ndarray] = {}
 
     def between(gap: int) -> np.ndarray:
-        if gap not in powers:
-            powers[gap] = _power(run, gap)
-        return powers[gap]
+        return _power(run, gap)
 
     forward, state, last = [], np.ones(2), -1
     for j in active:
@@ -246,7 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     texts = only_ids(docs.filter("text is not null"), drawn, FIT_DOCUMENTS)
-    sample = (
+    scratch = Scratch(docs.sparkSession)
+    # written, so that all documents are read once for it
+    sample = scratch.write(
         texts.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").join(F.broadcast(drawn), "doc_id")
     )
     counts = sample.groupBy("toxic").count().collect()
@@ -271,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     evidence = {row.word: int(np.searchsorted(CLASSES, row.odds)) for row in words}
     rows = sample.mapInArrow(_read_sample(evidence), "toxic int, tokens long, at array<long>, classes array<long>").toArrow()
     readings = [
-        (Reading(tokens, at, classes, []), toxic)
+        (Reading(tokens, at, classes), toxic)
         for toxic, tokens, at, classes in zip(*(rows.column(k).to_pylist() for k in range(4)))
     ]
     readings.sort(key=lambda x: (x[0], x[1]))  # the order of rows decides nothing
@@ -318,16 +327,13 @@ def _score(model: Model):
         for batch in batches:
             scores, spans = [], []
             for text in batch.column(1):
-                reading = reader.read(text.as_py() or "")
+                whole = text.as_py() or ""
+                reading = reader.read(whole)
                 found = marginals(reading, model)
                 scores.append(float(_sigmoid(document_features(reading, found) @ model.document)))
-                spans.append(
-                    [
-                        {"start": a, "end": b}
-                        for j, (a, b) in zip(reading.at, reading.places)
-                        if found[j] >= 0.5
-                    ]
-                )
+                if any(found[j] >= 0.5 for j in reading.at):
+                    reading = with_places(reading, whole)
+                spans.append([{"start": a, "end": b} for j, (a, b) in zip(reading.at, reading.places) if found[j] >= 0.5])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, SPANS)],
                 names=["doc_id", "score", "spans"],
