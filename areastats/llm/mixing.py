@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, Window
+import math
+from array import array
+from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from functools import reduce
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import Scratch, number_rows, small
@@ -12,79 +19,117 @@ from .tables import null_key, require_columns
 
 #: Documents of one block.
 BLOCK_ROWS = 16
-#: Slots of one period.  Weights are whole numbers of slots, so they are exact to 1 / PERIOD.
-PERIOD = 1_000
+#: Rows of the schedule that are handed from the driver to a table at once.
+SCHEDULE_ROWS = 4_000_000
 #: A target weight is the source's share of the documents to this power, brought to a sum of 1.
 TEMPERATURE = 0.9
 
 
 def source_weights(
-    sources: DataFrame, period: int = PERIOD, temperature: float = TEMPERATURE, targets: Mapping[str, float] | None = None
-) -> DataFrame:
-    """``sources`` (source_key, n) with ``slots`` of ``period``, by largest remainders, 1 at least.
+    sizes: Mapping[str, int],
+    period: int | None = None,
+    temperature: float = TEMPERATURE,
+    targets: Mapping[str, float] | None = None,
+) -> dict[str, int]:
+    """Weights of the sources (key, rows) as whole numbers in the exact ratio of the targets.
 
-    ``targets`` gives weights per source (missing ones count 0 before the least of 1 slot);
-    without it the weights follow the sizes.
+    ``targets`` gives weights per source; without it the weights follow the sizes.  A double is a
+    fraction of whole numbers, so nothing is rounded.  A source of no weight could never come and
+    is an error.  With a ``period`` the weights are slots of it by largest remainders, 1 at least.
     """
-    raw: Column = F.pow(F.col("n").cast("double"), F.lit(temperature))
-    if targets is not None:
-        raw = F.lit(0.0)
-        for name, weight in targets.items():
-            raw = F.when(F.col("source_key") == f"={name}", F.lit(float(weight))).otherwise(raw)
-    everything = Window.partitionBy()  # one row per source, at most ``period`` of them
-    weighed = sources.withColumn("_raw", raw).withColumn("_sum", F.sum("_raw").over(everything))
-    count = F.count(F.lit(1)).over(everything)
-    # one slot each, the others by weight
-    exact = weighed.withColumn("_rest", F.lit(period) - count).withColumn(
-        "_exact", F.when(F.col("_sum") > 0, F.col("_raw") / F.col("_sum") * F.col("_rest")).otherwise(0.0)
-    )
-    floors = exact.withColumn("_floor", F.floor("_exact")).withColumn(
-        "_left", F.col("_rest") - F.sum("_floor").over(everything)
-    )
-    order = Window.orderBy(F.desc(F.col("_exact") - F.col("_floor")), "source_key")
-    return floors.select(
-        "source_key",
-        "n",
-        (1 + F.col("_floor") + (F.row_number().over(order) <= F.col("_left")).cast("long")).alias("slots"),
-    )
-
-
-def period_pattern(weights: DataFrame) -> DataFrame:
-    """The slots of one period that each source gets, in order: ``source_key``, ``at`` array.
-
-    Block i of a source with weight w is released at slot floor(i / w) and due before slot
-    ceil((i + 1) / w).  Every slot goes to the released block that is due first, ties to the
-    heavier source, then to the first key.  All windows begin anew with a period, as weights are
-    whole slots of it, so one period gives the whole schedule.
+    if targets is None:
+        raw = {key: float(n) ** temperature for key, n in sizes.items()}
+    else:
+        raw = {key: float(targets.get(key[1:], 0.0)) if key.startswith("=") else 0.0 for key in sizes}
+    if not all(0 <= weight < math.inf for weight in raw.values()):
+        raise ValueError("weights must be finite and 0 or more")
+    exact = {key: Fraction(weight) for key, weight in raw.items()}
+    if period is None:
+        without = sorted(key for key, weight in exact.items() if weight == 0)
+        if without:
+            raise ValueError(f"sources without a target weight: {without[:10]}")
+        common = math.lcm(*(weight.denominator for weight in exact.values()))
+        return {key: int(weight * common) for key, weight in exact.items()}
+    if len(sizes) > period:
+        raise ValueError(f"{len(sizes)} sources need a period of as many slots at least")
+    rest, total = period - len(sizes), sum(exact.values())
+    shares = {key: weight * rest / total if total else Fraction(0) for key, weight in exact.items()}
+    left = rest - sum(math.floor(share) for share in shares.values())
+    order = sorted(shares, key=lambda key: (math.floor(shares[key]) - shares[key], key))
+    more = set(order[: int(left)])
+    return {key: 1 + math.floor(share) + (key in more) for key, share in shares.items()}
+
+
+def earliest_due(weights: Sequence[int], blocks: Sequence[int], end: int) -> array | None:
+    """The source of each slot up to ``end``, or None where some block would miss its window.
+
+    With total W of the weights, block i of a source with weight w is released at slot
+    floor(i W / w) and due before slot ceil((i + 1) W / w), and before ``end`` if it is one of
+    the first ``blocks``.  Every slot goes to the released block that is due first, ties to the
+    heavier source, then to the first.
     """
-    listed = weights.groupBy().agg(
-        F.sort_array(F.collect_list(F.struct("source_key", "slots"))).alias("s"), F.sum("slots").alias("period")
-    )
-    schedule = F.expr(
-        """
-        aggregate(
-          sequence(0L, period - 1),
-          named_struct('next', transform(s, x -> 0L), 'order', cast(array() as array<int>)),
-          (state, t) -> transform(
-            array(array_min(transform(s, (x, i) -> if(
-              state.next[i] < x.slots and (state.next[i] * period) div x.slots <= t,
-              named_struct('due', -((-(state.next[i] + 1) * period) div x.slots)
-                                  + if(((state.next[i] + 1) * period) % x.slots = 0, 0, 1),
-                           'light', -x.slots, 'i', i),
-              null))).i),
-            pick -> named_struct(
-              'next', transform(state.next, (n, i) -> n + if(i = pick, 1L, 0L)),
-              'order', concat(state.order, array(pick))))[0],
-          state -> state.order)
-        """
-    )
-    picks = listed.filter(F.size("s") > 0).select("s", schedule.alias("picks"))
-    slots = picks.select("s", F.posexplode("picks").alias("slot", "i"))
-    return (
-        slots.select(F.expr("s[i].source_key").alias("source_key"), F.col("slot").cast("long"))
-        .groupBy("source_key")
-        .agg(F.sort_array(F.collect_list("slot")).alias("at"))
-    )
+    total = sum(weights)
+    release = lambda s, i: i * total // weights[s]
+    due = lambda s, i: min(-(-(i + 1) * total // weights[s]), end if i < blocks[s] else math.inf)
+    had = [0] * len(weights)
+    ready, waiting = [(due(s, 0), -weights[s], s) for s in range(len(weights))], []
+    heapify(ready)
+    picks = array("i")
+    for t in range(end):
+        while waiting and waiting[0][0] <= t:
+            s = heappop(waiting)[1]
+            heappush(ready, (due(s, had[s]), -weights[s], s))
+        before, _, s = heappop(ready)
+        if before <= t:
+            return None
+        picks.append(s)
+        had[s] += 1
+        heappush(waiting, (release(s, had[s]), s))
+    whole = all(n >= max(least, w * end // total) for n, least, w in zip(had, blocks, weights))
+    return picks if whole else None
+
+
+def schedule(weights: Sequence[int], blocks: Sequence[int]) -> array:
+    """The source of each slot of the mixture, up to the slot by which every block has come.
+
+    Every block lies in its window, so before any slot t each source has had its weight times t
+    blocks, give or take less than one.  The end is the first one tried that leaves no source a
+    block short; at the last due slot of all, which is tried last, no block misses its window.
+    """
+    if not weights:
+        return array("i")
+    total = sum(weights)
+    last = max(-(-b * total // w) for w, b in zip(weights, blocks))
+    end = max((b - 1) * total // w + 1 for w, b in zip(weights, blocks))
+    while (need := sum(max(w * end // total, b) for w, b in zip(weights, blocks))) > end:
+        end = need
+    while (picks := earliest_due(weights, blocks, end)) is None:
+        if end >= last:
+            raise AssertionError("a block misses its window in a whole schedule")
+        end = min(last, end + max(1, end // 16))
+    return picks
+
+
+def schedule_table(keys: Sequence[str], picks: array, blocks: Sequence[int], scratch: Scratch) -> DataFrame:
+    """Written rows of (source_key, block, epoch, slot)."""
+    which = np.frombuffer(picks, np.int32) if len(picks) else np.empty(0, np.int32)
+    counts = np.bincount(which, minlength=len(keys))
+    turn = np.empty(len(which), np.int64)
+    turn[np.argsort(which, kind="stable")] = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    per_epoch = np.asarray(blocks, np.int64)
+    parts = []
+    for at in range(0, max(len(which), 1), SCHEDULE_ROWS):
+        cut = slice(at, at + SCHEDULE_ROWS)
+        table = pa.table(
+            {
+                "source_key": pa.DictionaryArray.from_arrays(which[cut], pa.array(keys, pa.string())).cast(pa.string()),
+                "block": turn[cut] % per_epoch[which[cut]],
+                "epoch": turn[cut] // per_epoch[which[cut]],
+                "slot": np.arange(at, at + len(which[cut]), dtype=np.int64),
+            }
+        )
+        parts.append(scratch.write(scratch.spark.createDataFrame(table)))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def mix_sources(
@@ -92,7 +137,7 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     temperature: float = TEMPERATURE,
     targets: Mapping[str, float] | None = None,
 ) -> DataFrame:
@@ -100,47 +145,35 @@ def mix_sources(
 
     A source's rows, in the order of a hash of their ids, form blocks of ``block_rows``; a slot
     of the mixture is one block.  Before any slot t each source has had its weight times t blocks,
-    give or take less than one.  The mixture ends when the source that lasts longest has had every
-    block; the others start over as epoch 1, 2 ... to keep their weights, so every row comes once
-    at least.  ``place`` is the row's place in its block; a source's last block may be short.  Null
-    is a source of its own, rows without id and repeated rows are rows like others, and an empty
-    table gives an empty mixture.  More sources than slots of a period are an error.
+    give or take less than one; weights are the exact targets (see ``source_weights``).  The mixture
+    ends when the source that lasts longest has had every block; the others start over as epoch
+    1, 2 ... to keep their weights, so every row comes once at least.  ``place`` is the row's place
+    in its block; a source's last block may be short.  Null is a source of its own, rows without
+    id and repeated rows are rows like others, and an empty table gives an empty mixture.
+
+    The driver holds one row per source and 20 bytes per slot while it deals the slots, one after
+    the other as each depends on those before.  With a ``period`` weights are whole slots of it,
+    and more sources than slots are an error.
     """
     require_columns(docs, id_col, source_col)
-    if block_rows < 1 or period < 1:
+    if block_rows < 1 or (period is not None and period < 1):
         raise ValueError("block_rows and period must be 1 or more")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(
         docs[id_col].alias("doc_id"), docs[source_col].alias("source")
     ).withColumn("source_key", null_key("source")).withColumn("_draw", F.xxhash64("doc_id"))
-    sources, (n_sources, n_rows) = scratch.write_counted(
-        rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")), F.count(F.lit(1)), F.sum("n")
-    )
-    if n_sources > period:
-        raise ValueError(f"{n_sources} sources need a period of as many slots at least")
-    weights = scratch.write(source_weights(sources, period, temperature, targets))
-    plan = (
-        weights.join(period_pattern(weights), "source_key")
-        .withColumn("blocks", F.ceil(F.col("n") / block_rows))
-        .withColumn("last", F.expr(f"((blocks - 1) div slots) * {period} + at[cast((blocks - 1) % slots as int)]"))
-    )
-    end = plan.agg(F.max("last").alias("end"))
-    plan = plan.crossJoin(F.broadcast(end)).withColumn(
-        # blocks of the source up to the end of the mixture
-        "turns", F.expr(f"(end div {period}) * slots + size(filter(at, x -> x <= end % {period}))")
-    )
-    plan = scratch.write(plan.select("source_key", "slots", "at", "blocks", "turns"))
-    numbered = number_rows(rows, "source_key", ["_draw", "doc_id"], max(n_sources, 1), n_rows or 0)
+    sizes = {row.source_key: row.n for row in rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = source_weights(sizes, period, temperature, targets)
+    keys = sorted(sizes)
+    blocks_of = [-(-sizes[key] // block_rows) for key in keys]
+    picks = schedule([weights[key] for key in keys], blocks_of)
+    plan = schedule_table(keys, picks, blocks_of, scratch)
+    numbered = number_rows(rows, "source_key", ["_draw", "doc_id"], max(len(sizes), 1), sum(sizes.values()))
     blocks = numbered.withColumn("block", F.floor(F.col("_pos") / block_rows)).withColumn(
         "place", F.col("_pos") % block_rows
     )
-    # one row for each of at most ``period`` sources, with that many slots in all
-    return (
-        blocks.join(small(plan, n_sources * 4 + period, 1), "source_key")
-        .withColumn("epoch", F.explode(F.expr("sequence(0L, (turns - 1 - block) div blocks)")))
-        .withColumn("_i", F.expr("epoch * blocks + block"))
-        .withColumn("slot", F.expr(f"(_i div slots) * {period} + at[cast(_i % slots as int)]"))
-        .select("doc_id", "source", "block", "epoch", "slot", "place")
+    return blocks.join(small(plan, len(picks), 4), ["source_key", "block"]).select(
+        "doc_id", "source", "block", "epoch", "slot", "place"
     )
 
 
