@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from ..scale import Scratch, small
 from .tables import id_and_text
 
 #: Lines of fewer characters are only compared as equal; one edit would change too much of them.
+#: This and the next are defaults of ``dedup_lines``, and what the SQL of op3 takes.
 LEAST_CHARS = 16
-#: Characters by which two lines may differ: one inserted, deleted or exchanged.
+#: Characters by which two lines may differ: inserted, deleted or exchanged.
 EDITS = 1
 #: Lines whose lengths lie in one band of so many characters sign with halves of the same length.
 BAND = 8
@@ -28,7 +31,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _half_keys() -> Column:
+def _half_keys(least_chars: int) -> Column:
     """Keys of which two lines within one edit share one: their first or last half is intact.
 
     A half is half of the least length in the band.  A line of that least length may be near one
@@ -37,7 +40,7 @@ def _half_keys() -> Column:
     n, band = "length(line)", f"length(line) div {BAND}"
     keys = lambda b: f"array(xxhash64(0, {b}, left(line, int(({b}) * {BAND // 2}))), xxhash64(1, {b}, right(line, int(({b}) * {BAND // 2}))))"
     return F.expr(
-        f"if({n} >= {LEAST_CHARS}, if({n} % {BAND} = 0, concat({keys(band)}, {keys(band + ' - 1')}), {keys(band)}), null)"
+        f"if({n} >= {least_chars}, if({n} % {BAND} = 0, concat({keys(band)}, {keys(band + ' - 1')}), {keys(band)}), null)"
     )
 
 
@@ -120,7 +123,7 @@ def near_lines(lines: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFram
     near = scratch.write(
         pairs.join(candidates.select("h", "c", "line"), ["h", "c"])
         .join(text, (F.col("other.h") == F.col("oh")) & (F.col("other.c") == F.col("oc")))
-        .filter(F.levenshtein("line", "other_line", EDITS) >= 0)
+        .filter(F.levenshtein("line", "other_line", 1) >= 0)
         .groupBy("h", "c")
         .agg(F.min("other.first").alias("near"))
     )
@@ -128,21 +131,96 @@ def near_lines(lines: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFram
     return near
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row without the lines that repeat an earlier one within one edit.
+def _part_keys(edits: int) -> Column:
+    """Keys (key, own) of which two lines within ``edits`` share one, own to one of them.
+
+    A line is cut into ``edits + 1`` parts, of which so many edits leave one intact; the other
+    line holds that part up to ``edits`` places off, whatever the first one's length.
+    """
+    cut = lambda k: f"int(total * ({k}) div {edits + 1})"
+    part = lambda at: f"xxhash64(total, k, substring(line, {cut('k')} + 1 + {at}, {cut('k + 1')} - {cut('k')}))"
+    own = f"transform(sequence(0, {edits}), k -> struct({part('0').replace('total', 'length(line)')} as key, true as own))"
+    others = (
+        f"flatten(flatten(transform(sequence(greatest(1, length(line) - {edits}), length(line) + {edits}), total -> "
+        f"transform(sequence(0, {edits}), k -> transform(filter(sequence(-{edits}, {edits}), d -> {cut('k')} + d >= 0), "
+        f"d -> struct({part('d')} as key, false as own))))))"
+    )
+    return F.expr(f"array_distinct(concat({own}, {others}))")
+
+
+def _gapped(lines: DataFrame, edits: int) -> DataFrame:
+    """Rows of (h, c, first, variant): the line with up to ``edits`` gaps, each of no or one character.
+
+    Two lines share a variant of k gaps where k edits at most make one of the other.  A line holds
+    no line feed, which marks a gap.
+    """
+    mark = "concat(left(v, p - 1), '\n', substring(v, p + {}))"
+    step = (
+        "inline(flatten(transform(sequence(at, length(v) + 1), p -> if(p > length(v), "
+        f"array(struct({mark.format(0)} as v, p + 1 as at)), "
+        f"array(struct({mark.format(0)} as v, p + 1 as at), struct({mark.format(1)} as v, p + 1 as at))))))"
+    )
+    grown, rows = lines.select("h", "c", "first", F.col("line").alias("v"), F.lit(1).alias("at")), []
+    for gaps in range(1, edits + 1):
+        grown = grown.select("h", "c", "first", F.expr(step))
+        rows.append(grown.select("h", "c", "first", F.xxhash64(F.lit(gaps), "v").alias("variant")))
+    return reduce(DataFrame.unionAll, rows).distinct()
+
+
+def near_lines_within(lines: DataFrame, edits: int, least_chars: int, scratch: Scratch) -> DataFrame:
+    """(h, c, near) of each line with an earlier one within any number of ``edits``, as ``near_lines``.
+
+    Only lines that share an intact part with another emit variants, about (2 n) ** edits / edits!
+    of a line of n characters.
+    """
+    firsts = scratch.write(
+        lines.filter(F.length("line") >= least_chars)
+        .groupBy("h", "c")
+        .agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.min("line").alias("line"))
+    )
+    keys = firsts.select("h", "c", F.inline(_part_keys(edits)))
+    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("own").alias("own"))
+    meeting = keys.join(shared.filter("a < b and own").select("key"), "key", "left_semi").select("h", "c").distinct()
+    candidates = scratch.write(firsts.join(meeting, ["h", "c"]))
+    variants = scratch.write(_gapped(candidates, edits))
+    mine = F.struct("first", "h", "c")
+    least = variants.groupBy("variant").agg(F.min(mine).alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pairs = variants.join(least, "variant").filter("other.first < first").select("h", "c", "other").distinct()
+    text = candidates.select(F.col("h").alias("oh"), F.col("c").alias("oc"), F.col("line").alias("other_line"))
+    near = scratch.write(
+        pairs.join(candidates.select("h", "c", "line"), ["h", "c"])
+        .join(text, (F.col("other.h") == F.col("oh")) & (F.col("other.c") == F.col("oc")))
+        .filter(F.levenshtein("line", "other_line", edits) >= 0)
+        .groupBy("h", "c")
+        .agg(F.min("other.first").alias("near"))
+    )
+    scratch.drop(firsts, candidates, variants)
+    return near
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS
+) -> DataFrame:
+    """Every row without the lines that repeat an earlier one within ``edits``, one by default.
 
     Earlier is a smaller id, then a smaller place in the table, then an earlier line of the text.
-    A line goes when an equal line, or one that differs by one character inserted, deleted or
-    exchanged, is earlier, whether or not that one stays.  Lines of fewer than ``LEAST_CHARS``
-    characters go for equal ones only; blank lines stay.  Columns: doc_id, n_lines (with a word),
+    A line goes when an equal line, or one that differs by so many characters inserted, deleted or
+    exchanged, is earlier, whether or not that one stays.  Lines of fewer than ``least_chars``
+    characters go for equal ones only; blank lines stay.  More than one edit costs far more, see
+    ``near_lines_within``.  Columns: doc_id, n_lines (with a word),
     n_equal and n_near (lines that went), text.  A null text stays null; repeated rows and null
     ids (earliest of all) are rows like others.
     """
+    if edits < 1 or least_chars < 1:
+        raise ValueError("edits and least_chars must be 1 or more")
     scratch = Scratch(docs.sparkSession)
     numbered = scratch.write(id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     lines = _lines(numbered)
-    keyed = scratch.write(lines.withColumn("halves", _half_keys()).drop("line"))
-    near = near_lines(lines, keyed, scratch)
+    keyed = scratch.write(lines.withColumn("halves", _half_keys(least_chars)).drop("line"))
+    if edits == 1:
+        near = near_lines(lines, keyed, scratch)
+    else:
+        near = near_lines_within(lines, edits, least_chars, scratch)
     mine = F.struct("doc_id", "row", "line_no")
     # Only the first of equal lines may stay.  Lines that are alone and near none need no join; the
     # others are written, so that the rows of a frequent line are dealt by a join of its own.
