@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -72,15 +73,18 @@ def _sign(length: int, threshold: Threshold, common: np.ndarray):
             part += 1
             texts = as_bytes(batch.column(1))
             sizes, digests, sketches, signed, seen = [], [], [], [], set()
-            for text in texts:
+            has_id = pa.compute.is_valid(batch.column(0)).to_pylist()
+            for text, named in zip(texts, has_id):
                 items = shingles(text.as_py() or b"", length)
                 digest = xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None
                 sizes.append(len(items))
                 digests.append(digest)
                 sketches.append(sketch(items))
-                # equal sets of a batch need one signer
-                signed.append(np.empty(0, np.uint64) if digest in seen else signatures(items, threshold, common))
-                seen.add(digest)
+                # equal sets of a batch need one signer; a row without id has no links
+                signs = named and digest not in seen
+                signed.append(signatures(items, threshold, common) if signs else np.empty(0, np.uint64))
+                if named:
+                    seen.add(digest)
             flat = np.concatenate([np.empty(0, np.uint64), *signed])
             owner = np.repeat(np.arange(len(signed)), [len(x) for x in signed])
             values, first, which, counts = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
