@@ -261,19 +261,26 @@ def _solve_many(mean: np.ndarray, cov: np.ndarray, params: LinearParams) -> pd.D
     )
 
 
+# sweeps of coordinate descent before a batch counts as unsettled
+_SWEEPS = 10_000
+
+
 def _descend(penalised: np.ndarray, cross: np.ndarray, l1: np.ndarray) -> np.ndarray:
-    """Coordinate descent on the covariances of a batch of keys."""
+    """Coordinate descent on the covariances of a batch of keys; keys that do not settle are an error."""
     beta = np.zeros_like(cross)
-    for _ in range(10_000):
+    for _ in range(_SWEEPS):
         before = beta.copy()
         for j in range(beta.shape[1]):
             own = penalised[:, j, j]
             rest = cross[:, j] - np.einsum("ki,ki->k", penalised[:, j], beta) + own * beta[:, j]
             shrunk = np.sign(rest) * np.maximum(np.abs(rest) - l1[:, j], 0)
             beta[:, j] = np.divide(shrunk, own, out=np.zeros_like(own), where=own > 0)
-        if np.abs(beta - before).max(initial=0) < 1e-13:
-            break
-    return beta
+        moved = np.abs(beta - before).max(axis=1, initial=0)
+        # a step that rounding alone can make counts as none
+        if (moved < 1e-13 * np.maximum(1, np.abs(beta).max(axis=1, initial=0))).all():
+            return beta
+    open_keys = int((moved >= 1e-13).sum())
+    raise ValueError(f"{open_keys} key(s) did not settle in {_SWEEPS} sweeps: their features are almost collinear")
 
 
 # --- Huber loss -----------------------------------------------------------------------------

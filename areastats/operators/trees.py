@@ -23,8 +23,8 @@ from .features import split_bucket
 from .metrics import r2_column
 from .params import BoostParams, ForestParams
 
-# a Poisson draw of rate at most 1 exceeds this count with probability below 1e-13
-_MAX_DRAW = 14
+# the largest uniform number that a row can draw
+_LARGEST = 1 - 2.0**-53
 
 # cells must be at least this many times fewer than the rows to be worth a shuffle
 _FEWER = 4
@@ -42,7 +42,8 @@ def random_forest(
     """Fit a forest per key on its training rows: ``(key, rmse, r2)`` of the test rows.
 
     Rows are split by ``train_test_split``'s hash of ``id_cols`` (key, features and label by
-    default).  Keys without training rows are skipped; both metrics are null for a key without
+    default) and drawn into samples by another hash of them, so rows with equal ids are drawn
+    alike.  Keys without training rows are skipped; both metrics are null for a key without
     test rows.  A null feature or label is an error.
     """
     params = params or ForestParams()
@@ -184,17 +185,23 @@ def _cells(
         *(_present(name).alias(alias) for name, alias in zip(features, x)),
         _present(label).alias("_y"),
         (split_bucket(ids, params.seed) < round(params.train_split * 10000)).alias("_train"),
+        F.xxhash64(*(F.coalesce(F.col(name).cast("string"), F.lit("")) for name in ids)).alias("_id"),
     )
 
     # ranks are right to a twentieth of a bin
     steps = [i / params.max_bins for i in range(1, params.max_bins)] or [0.5]
     accuracy = max(1000, 20 * params.max_bins)
     cuts = F.array(*(F.array_distinct(F.percentile_approx(name, steps, accuracy)) for name in x))
+    # an estimate with room to spare: what it lets through is counted exactly
+    few = F.array(*(F.approx_count_distinct(name) <= 2 * params.max_bins for name in x))
     per_key = checkpoint(
         rows.filter("_train")
         .groupBy(key)
-        .agg(cuts.alias("_cuts"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows"))
+        .agg(
+            cuts.alias("_cuts"), few.alias("_few"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows")
+        )
     )
+    per_key = checkpoint(_with_midpoints(rows.filter("_train"), per_key, key, x, params.max_bins))
     count, train_rows = per_key.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
 
     known = small(per_key, count, 3 + len(x) * params.max_bins)
@@ -204,7 +211,7 @@ def _cells(
         "_bins",
         (F.col("_y") - F.col("_mean")).alias("_y"),
         "_train",
-        *(F.rand(params.seed + i).alias(f"_u{i}") for i in range(samples)),
+        *(_uniform("_id", params.seed + i).alias(f"_u{i}") for i in range(samples)),
     )
     weights = [
         f"if(_train, {_draw(f'_u{i}', params.subsampling_rate, bootstrap)}, 0)"
@@ -229,6 +236,34 @@ def _cells(
     return _Data(key, len(features), per_key.select(key), checkpoint(cells), is_rows)
 
 
+def _with_midpoints(train: DataFrame, per_key: DataFrame, key: str, x, max_bins: int) -> DataFrame:
+    """Cut a feature of at most ``max_bins`` values of a key between all of them, however rare."""
+    held = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(name).alias("v")) for i, name in enumerate(x))))
+    values = (
+        train.join(per_key.filter("exists(_few, f -> f)").select(key, "_few"), key)
+        .select(key, "_few", held.alias("_held"))
+        .filter("_few[_held.i]")
+        .select(key, "_held.i", "_held.v")
+        .distinct()
+    )
+    middle = "transform(slice(v, 1, size(v) - 1), (a, j) -> a + (v[j + 1] - a) / 2)"
+    exact = (
+        values.groupBy(key, "i")
+        .agg(F.sort_array(F.collect_list("v")).alias("v"))
+        .filter(F.size("v") <= max_bins)
+        .select(key, "i", F.expr(middle).alias("m"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("_exact"))
+    )
+    cuts = F.expr("transform(_cuts, (c, i) -> coalesce(_exact[i], c))")
+    return per_key.join(exact, key, "left").select(key, cuts.alias("_cuts"), "_mean", "_rows")
+
+
+def _uniform(id: str, seed: int) -> Column:
+    """A number from 0 to below 1 that a row's id and the seed decide, whatever the file layout."""
+    return F.expr(f"shiftrightunsigned(xxhash64({id}, {seed}L), 11) * {2.0**-53!r}D")
+
+
 def _present(name: str) -> Column:
     message = F.lit(f"null in {name!r}; drop such rows first")
     return F.coalesce(F.col(name).cast("double"), F.raise_error(message).cast("double"))
@@ -259,10 +294,10 @@ def _draw(u: str, rate: float, bootstrap: bool) -> str:
     if not bootstrap:
         return "1" if rate >= 1 else f"int({u} < {rate}D)"
     times, below, term = [], 0.0, math.exp(-rate)
-    for k in range(_MAX_DRAW):
+    while below + term > below and below < _LARGEST:  # until a double tells no further count apart
         below += term
         times.append(f"int({u} > {below!r}D)")
-        term *= rate / (k + 1)
+        term *= rate / len(times)
     return "(" + " + ".join(times) + ")"
 
 
