@@ -9,11 +9,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, sharding, token_counts, toxicity
+from . import chat, decontaminate, line_dedup, mixing, ngram_join, pii, piece_bpe, quality, sharding, token_counts, toxicity, whitening
 from .tables import read
 
 #: The vocabulary that op5 counts with, a file of each machine's tokenizer package.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The model that op13 encodes with, from the same package.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +96,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read(spark, sf, "embeddings")
+    whitened = whitening.whiten(vectors, whitening.fit(vectors))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_piece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all texts and what they spell, as digests."""
+    model = Path(PIECE_MODEL).read_bytes()
+    spelled = piece_bpe.decode(piece_bpe.encode(read(spark, sf, "documents"), model), model)
+    return spelled.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -105,4 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_piece_round_trip": op13_piece_round_trip,
 }
