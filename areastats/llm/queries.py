@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, ngram_join, pii, piece_bpe, quality, sharding, token_counts, toxicity, whitening
+from . import chat, decontaminate, line_dedup, mixing, ngram_join, pii, piece_bpe, quality, sharding, spelling, token_counts, toxicity, whitening
 from .tables import read
 
 #: The vocabulary that op5 counts with, a file of each machine's tokenizer package.
@@ -96,6 +96,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of the words of all texts, one in 97 of which is given a slip of one letter."""
+    runs = spelling.letter_runs(read(spark, sf, "documents"))
+    written = runs.select(spelling.slipped(F.col("doc_id"), F.col("run"), 97).alias("word"))
+    return spelling.group_variants(spelling.count_words(written, "word"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read(spark, sf, "embeddings")
     whitened = whitening.whiten(vectors, whitening.fit(vectors))
@@ -125,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_piece_round_trip": op13_piece_round_trip,
 }
