@@ -84,7 +84,8 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
         for kind in pii.BASE
     ]
     return found.select(
-        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["rank"] < 0)).alias("n_added"),
     )
 
 
