@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ from .tables import id_and_text, only_ids
 #: In one batch of texts, a signature of so many of them is hot: its rows are dealt by batch.
 HOT_IN_BATCH = 64
 
+#: Buckets of the second round with more texts are compared by rare shingles instead of pair by pair.
+CROWDED = 64
+#: Size classes of the partners that a threshold allows a set.
+SIZE_CLASSES = 4
 
 #: Texts that are looked at for common shingles, the texts of these that make one common, and how
 #: many are kept.  They bound the table that every task gets and decide no answer.
@@ -139,6 +145,54 @@ def _compare(length: int, threshold: Threshold):
     return run
 
 
+@lru_cache(8)
+def _class_edges(threshold: Threshold, top: int = 1 << 40) -> np.ndarray:
+    """Least size of each class: every size a class of its own, then steps of a share of the threshold."""
+    step = (100 / threshold.percent) ** (1 / SIZE_CLASSES)
+    edges = [1]
+    while edges[-1] < top:
+        edges.append(max(edges[-1] + 1, math.floor(edges[-1] * step)))
+    return np.array(edges)
+
+
+def prefix_lengths(n: int, threshold: Threshold) -> tuple[int, int, list[tuple[int, int]]]:
+    """Class and prefix of a set of n items as the smaller of a pair, then both per class of smaller partners.
+
+    Order all items in any one way.  Sets of a and b items that are similar have at least
+    c = threshold.overlap(a, b) in common, so the first a - c + 1 items of the one and the first
+    b - c + 1 of the other have one in common.
+    """
+    edges = _class_edges(threshold)
+    of = lambda size: int(np.searchsorted(edges, size, side="right")) - 1
+    least = max(1, threshold.smallest(n))
+    larger = []
+    for k in range(of(least), of(n) + 1):
+        partner = max(least, int(edges[k]))
+        larger.append((k, n - threshold.overlap(partner, n) + 1))
+    return of(n), n - threshold.overlap(n, n) + 1, larger
+
+
+def _list_sets(length: int, threshold: Threshold):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("class", pa.int32()), ("prefix", pa.int32())]))
+        for batch in batches:
+            for row, text in enumerate(as_bytes(batch.column(1))):
+                items = shingles(text.as_py(), length)
+                own, prefix, larger = prefix_lengths(len(items), threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(row, 1),
+                        pa.array([len(items)], pa.int32()),
+                        pa.array([items.view(np.int64)], pa.list_(pa.int64())),
+                        pa.array([[{"class": own, "prefix": prefix}]], kind),
+                        pa.array([[{"class": k, "prefix": n} for k, n in larger]], kind),
+                    ],
+                    names=["rep", "size", "items", "smaller", "larger"],
+                )
+
+    return run
+
+
 class ShingleJoin:
     """The links of one table of texts.
 
@@ -146,7 +200,9 @@ class ShingleJoin:
     signatures compares its least member with each other one.  Where that leaves a bucket in one
     component nothing is left to find there.  The second round compares the rest: pairs whose
     components differ and that share enough buckets, all of which are unsettled.  So no round
-    lists all pairs of a group of copies.
+    lists all pairs of a group of copies.  Nor does it list all pairs of many unlike texts that
+    share a passage and so a bucket: texts of a crowded bucket meet where they share one of their
+    rarest shingles.
     """
 
     def __init__(self, docs: DataFrame, length: int, percent: int):
@@ -229,11 +285,7 @@ class ShingleJoin:
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs with ``linked`` by the exact similarity of their shingle sets."""
         pairs, (count,) = self.scratch.write_counted(pairs, F.count(F.lit(1)))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = only_ids(self.docs.filter("doc_id is not null"), ids, 2 * count)
-        # one text where an id is repeated
-        one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        texts = texts.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * count)
         # the members' texts move first: a pivot of many pairs joins them in a join that splits skew
         joined = (
             pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -246,6 +298,12 @@ class ShingleJoin:
         self.scratch.drop(pairs)
         return checked
 
+    def _texts(self, ids: DataFrame, count: int) -> DataFrame:
+        """The texts of counted ids; one text where an id is repeated."""
+        texts = only_ids(self.docs.filter("doc_id is not null"), ids, count)
+        one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        return texts.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+
     def _unsettled(
         self, buckets: DataFrame, stars: DataFrame, nodes: DataFrame, found: DataFrame, checked: DataFrame
     ) -> DataFrame | None:
@@ -263,17 +321,87 @@ class ShingleJoin:
         )
         if not count:
             return None
-        signs = buckets.join(small(apart, count, 2), ["doc_id", "least"]).select("sign").distinct()
+        # written before the join, which can then split a frequent signature
+        signs, (many,) = scratch.write_counted(
+            buckets.join(small(apart, count, 2), ["doc_id", "least"]).select("sign").distinct(), F.count(F.lit(1))
+        )
         rows = scratch.write(
-            buckets.join(signs, "sign").select("sign", "doc_id").join(placed, "doc_id").select("sign", "rep", "set", "c").distinct()
+            buckets.join(small(signs, many, 1), "sign").select("sign", "doc_id").join(placed, "doc_id").select("sign", "rep", "set", "c").distinct()
+        )
+        crowded, (crowds,) = scratch.write_counted(
+            rows.groupBy("sign").count().filter(F.col("count") > CROWDED).select("sign"), F.count(F.lit(1))
         )
-        main = rows.groupBy("sign", "c").count().groupBy("sign").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-        rows = rows.join(main, "sign")
-        left = rows.filter("c <> main").select("sign", F.col("rep").alias("a"), F.col("set").alias("set_a"), F.col("c").alias("c_a"))
-        right = rows.select("sign", F.col("rep").alias("b"), F.col("set").alias("set_b"), F.col("c").alias("c_b"), "main")
-        across = left.join(right, "sign").filter("c_a <> c_b and (a < b or c_b = main)")
-        across = across.withColumn("shared", F.lit(1))
-        return self._possible(across, F.sum("shared")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        crowded = small(crowded, crowds, 1)
+        few = rows.join(crowded, "sign", "left_anti")
+        main = few.groupBy("sign", "c").count().groupBy("sign").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+        few = few.join(main, "sign")
+        left = few.filter("c <> main").selectExpr("sign", *_side("a"))
+        across = left.join(few.selectExpr("sign", "main", *_side("b")), "sign").filter("c_a <> c_b and (a < b or c_b = main)")
+        pairs = self._possible(across.withColumn("shared", F.lit(1)), F.sum("shared"))
+        if crowds:
+            many, (count,) = scratch.write_counted(
+                rows.join(crowded, "sign", "left_semi").select("rep", "set", "c").distinct(), F.count(F.lit(1))
+            )
+            # such a pair shares a rare shingle, whatever signatures it shares
+            rare = self._by_rare_shingles(many, count).withColumn("shared", F.lit(None).cast("long"))
+            pairs = pairs.unionByName(self._possible(rare, F.max(F.coalesce("shared", F.lit(1 << 40))))).distinct()
+        return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+    def _by_rare_shingles(self, texts: DataFrame, count: int) -> DataFrame:
+        """Pairs of texts (rep, set, c) of different components that share a shingle of their prefixes.
+
+        Shingles are ordered by the texts that hold them, the rarest first.  Those of one text
+        only come first of all and join nothing, so texts that have enough of their own beside a
+        passage that all share have no partner.
+        """
+        scratch, kind = self.scratch, self.docs.schema["doc_id"].dataType.simpleString()
+        roles = "array<struct<class:int,prefix:int>>"
+        sets = scratch.write(
+            self._texts(texts.select(F.col("rep").alias("doc_id")), count).mapInArrow(
+                _list_sets(self.length, self.threshold),
+                f"rep {kind}, size int, items array<long>, smaller {roles}, larger {roles}",
+            )
+        )
+        listed = sets.select("rep", F.explode("items").alias("item"))
+        counts, (items,) = scratch.write_counted(
+            listed.groupBy("item").count().filter("count > 1"), F.count(F.lit(1))
+        )
+        shared = (
+            listed.join(small(counts, items, 2), "item")
+            .groupBy("rep")
+            .agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("shared"))
+        )
+        own = F.expr("size - size(shared)")
+        ordered = scratch.write(
+            sets.drop("items").join(shared, "rep").withColumn("own", own).join(texts, "rep")
+        )
+
+        def keyed(role: str, name: str) -> DataFrame:
+            each = ordered.select("rep", "set", "c", "own", "shared", F.explode(role).alias("role")).filter("role.prefix > own")
+            items = F.explode(F.expr("slice(shared, 1, role.prefix - own)")).alias("held")
+            return each.select(F.col("role.class").alias("class"), "rep", "set", "c", items).selectExpr(
+                "xxhash64(held.item, class) as key", *_side(name)
+            )
+
+        smaller, larger = scratch.write(keyed("smaller", "a")), scratch.write(keyed("larger", "b"))
+        each = smaller.selectExpr("key", "c_a as c").unionByName(larger.selectExpr("key", "c_b as c")).groupBy("key", "c").count()
+        keys, (open_keys,) = scratch.write_counted(
+            each.groupBy("key")
+            .agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("n"))
+            .filter("n > 1")
+            .select("key", "main"),
+            F.count(F.lit(1)),
+        )
+        keys = small(keys, open_keys, 2)
+        smaller = smaller.join(keys, "key")
+        beside = smaller.filter("c_a <> main").join(larger, "key").unionByName(
+            smaller.filter("c_a = main").join(larger, "key").filter("c_b <> main")
+        )
+        return beside.filter("c_a <> c_b and (set_a.n_shingles < set_b.n_shingles or set_a.n_shingles = set_b.n_shingles and a < b)")
+
+
+def _side(name: str) -> list[str]:
+    return [f"rep as {name}", f"set as set_{name}", f"c as c_{name}"]
 
 
 def shingle_components(

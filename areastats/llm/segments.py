@@ -51,6 +51,10 @@ class Threshold(NamedTuple):
     def smallest(self, n: int) -> int:
         return -(-n * self.percent // 100)
 
+    def overlap(self, a: int, b: int) -> int:
+        """What similar sets of these sizes have in common at least."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
     def similar(self, common: int, a: int, b: int) -> bool:
         return 100 * common >= self.percent * (a + b - common)
 
