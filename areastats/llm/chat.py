@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +21,42 @@ STATES = 4
 #: Turns a legal chat may have after each state: one system turn at first, then user and assistant
 #: in turn.
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-#: What a repair costs: joining a turn to the one before, another role, an empty turn between.
-MERGE, RELABEL, INSERT = 1.0, 2.5, 4.0
+
+
+class Costs(NamedTuple):
+    """What a repair costs: joining a turn to the one before, another role, an empty turn between.
+
+    By default turns of one role in a row are merged, a turn that lacks the one it answers gets an
+    empty one, and a role that has no place gives way to another.
+    """
+
+    merge: float = 1.0
+    relabel: float = 2.5
+    insert: float = 2.0
+
+
 #: Turns of one block; blocks of a conversation are searched apart and joined by their costs.
 BLOCK_TURNS = 2_048
 
 OTHER_ROLES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant"}
 
 
-def _steps() -> list[tuple[int, int, int, int, float]]:
+def ways(costs: Costs) -> list[tuple[int, int, int, int, float]]:
     """Ways from state to state over a turn: (before, after, merged, inserted role or 0, cost).
 
     The cost is without that of another role.
     """
+    if not all(0 <= cost < math.inf for cost in costs):
+        raise ValueError("costs must be finite and 0 or more")
     found = []
     for before in range(STATES):
         if before != START:
-            found.append((before, before, 1, 0, MERGE))
+            found.append((before, before, 1, 0, costs.merge))
         for after in LEGAL[before]:
             found.append((before, after, 0, 0, 0.0))
         for between in LEGAL[before]:
             for after in LEGAL[between]:
-                found.append((before, after, 0, between, INSERT))
+                found.append((before, after, 0, between, costs.insert))
     # the cheaper way, then the one listed first, where two join the same states
     best: dict[tuple[int, int], tuple] = {}
     for step in found:
@@ -50,19 +66,26 @@ def _steps() -> list[tuple[int, int, int, int, float]]:
     return sorted(best.values())
 
 
-STEPS = _steps()
+def turn_costs(role: int, costs: Costs) -> np.ndarray:
+    """Cost from each state to each state over a turn of that role (0: a role unknown)."""
+    table = np.full((STATES, STATES), np.inf)
+    for before, after, _, _, cost in ways(costs):
+        table[before, after] = cost + (0.0 if role in (0, after) else costs.relabel)
+    return table
 
 
-def turn_costs(role: int) -> np.ndarray:
-    """Cost from each state to each state over a turn of that role (0: a role unknown)."""
-    costs = np.full((STATES, STATES), np.inf)
-    for before, after, _, _, cost in STEPS:
-        costs[before, after] = cost + (0.0 if role in (0, after) else RELABEL)
-    return costs
+class Automaton:
+    """Costs from state to state by role, and what was done on the cheapest way."""
+
+    def __init__(self, costs: Costs):
+        # the last role, for places after the end of a block, leaves every state as it is
+        stay = np.where(np.eye(STATES, dtype=bool), 0.0, np.inf)
+        self.costs = np.stack([*(turn_costs(role, costs) for role in range(STATES)), stay])
+        self.merged, self.inserted = np.zeros((STATES, STATES), bool), np.zeros((STATES, STATES), np.int32)
+        for before, after, merged, between, _ in ways(costs):
+            self.merged[before, after], self.inserted[before, after] = merged, between
 
 
-#: By role; the last one, for places after the end of a block, leaves every state as it is.
-COSTS = np.stack([*(turn_costs(role) for role in range(STATES)), np.where(np.eye(STATES, dtype=bool), 0.0, np.inf)])
 PADDING = STATES
 #: Blocks that are searched at once.
 TOGETHER = 512
@@ -73,24 +96,24 @@ def _padded(roles: list[list[int]]) -> np.ndarray:
     return np.array([row + [PADDING] * (width - len(row)) for row in roles], np.int8).reshape(-1, width)
 
 
-def block_costs(roles: np.ndarray) -> np.ndarray:
+def block_costs(roles: np.ndarray, automaton: Automaton) -> np.ndarray:
     """Least cost from each state before a block to each state after it, for padded blocks."""
-    total = np.repeat(COSTS[PADDING][None], len(roles), axis=0)
+    total = np.repeat(automaton.costs[PADDING][None], len(roles), axis=0)
     for role in roles.T:
-        total = (total[:, :, :, None] + COSTS[role][:, None]).min(axis=2)
+        total = (total[:, :, :, None] + automaton.costs[role][:, None]).min(axis=2)
     return total
 
 
-def best_paths(roles: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+def best_paths(roles: np.ndarray, before: np.ndarray, after: np.ndarray, automaton: Automaton) -> np.ndarray:
     """States after each turn on the cheapest way through each padded block; ties go to the lower state."""
     n, width = roles.shape
     costs = np.full((n, STATES), np.inf)
     costs[np.arange(n), before] = 0.0
     back = np.zeros((width, n, STATES), np.int8)
     for t, role in enumerate(roles.T):
-        ways = costs[:, :, None] + COSTS[role]
-        back[t] = ways.argmin(axis=1)
-        costs = ways.min(axis=1)
+        steps = costs[:, :, None] + automaton.costs[role]
+        back[t] = steps.argmin(axis=1)
+        costs = steps.min(axis=1)
     path, state = np.zeros((n, width), np.int8), np.asarray(after)
     for t in range(width - 1, -1, -1):
         path[:, t] = state
@@ -98,15 +121,19 @@ def best_paths(roles: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.n
     return path
 
 
-def _block_matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, TOGETHER):
-            batch = whole.slice(at, TOGETHER)
-            costs = block_costs(_padded(batch.column(2).to_pylist())).reshape(-1, STATES * STATES)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(costs.tolist(), pa.list_(pa.float64()))],
-                names=["conv", "block", "costs"],
-            )
+def _block_matrices(costs: Costs):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(costs)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                found = block_costs(_padded(batch.column(2).to_pylist()), automaton).reshape(-1, STATES * STATES)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(found.tolist(), pa.list_(pa.float64()))],
+                    names=["conv", "block", "costs"],
+                )
+
+    return run
 
 
 def _chain_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,39 +172,46 @@ def _choose_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-MERGED, INSERTED = np.zeros((STATES, STATES), bool), np.zeros((STATES, STATES), np.int32)
-for _before, _after, _merged, _between, _ in STEPS:
-    MERGED[_before, _after], INSERTED[_before, _after] = _merged, _between
-
-
-def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk_blocks(costs: Costs):
     """States after the turns of each block, and what was done at each turn."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, TOGETHER):
-            batch = whole.slice(at, TOGETHER)
-            roles = batch.column(2).to_pylist()
-            before, after = (np.array(batch.column(k).to_pylist(), int) for k in (3, 4))
-            paths = best_paths(_padded(roles), before, after)
-            earlier = np.concatenate((before[:, None], paths[:, :-1]), axis=1)
-            found = [
-                pa.array([row[: len(mine)] for row, mine in zip(values.tolist(), roles)], pa.list_(kind))
-                for values, kind in (
-                    (paths, pa.int32()), (MERGED[earlier, paths], pa.bool_()), (INSERTED[earlier, paths], pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(costs)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                roles = batch.column(2).to_pylist()
+                before, after = (np.array(batch.column(k).to_pylist(), int) for k in (3, 4))
+                paths = best_paths(_padded(roles), before, after, automaton)
+                earlier = np.concatenate((before[:, None], paths[:, :-1]), axis=1)
+                found = [
+                    pa.array([row[: len(mine)] for row, mine in zip(values.tolist(), roles)], pa.list_(kind))
+                    for values, kind in (
+                        (paths, pa.int32()),
+                        (automaton.merged[earlier, paths], pa.bool_()),
+                        (automaton.inserted[earlier, paths], pa.int32()),
+                    )
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), *found], names=["conv", "block", "state", "merged", "inserted"]
                 )
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *found], names=["conv", "block", "state", "merged", "inserted"]
-            )
+
+    return run
 
 
 def repair(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    turns: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    costs: Costs = Costs(),
 ) -> DataFrame:
     """One row per turn: the repaired role, what was done, and the rendered piece of the chat.
 
     A legal chat has an optional system turn, then user and assistant turns in alternation from a
     user turn on.  The repair of least total cost merges a turn with the one before, gives it
-    another role or puts an empty turn before it; among equals the lower state (system, user,
+    another role or puts an empty turn before it, at the given costs; among equals the lower state (system, user,
     assistant) is taken.  Columns: conv_id, turn, ``position`` in the chat, ``repaired_role``,
     ``merged``, ``relabelled``, ``inserted_role`` (an empty turn before this one, or null) and
     ``rendered``: the pieces of a chat in order of position are its text.
@@ -208,7 +242,7 @@ def repair(
         .select("conv", "block", F.col("turns.role_id").alias("roles")),
         F.count(F.lit(1)),
     )
-    matrices = blocks.mapInArrow(_block_matrices, "conv string, block long, costs array<double>")
+    matrices = blocks.mapInArrow(_block_matrices(costs), "conv string, block long, costs array<double>")
     ahead = scratch.write(
         matrices.repartition("conv")
         .sortWithinPartitions("conv", "block")
@@ -223,7 +257,7 @@ def repair(
     ends = scratch.write(ends)
     walked = scratch.write(
         blocks.join(small(ends, n_blocks, 4), ["conv", "block"]).mapInArrow(
-            _walk_blocks, "conv string, block long, state array<int>, merged array<boolean>, inserted array<int>"
+            _walk_blocks(costs), "conv string, block long, state array<int>, merged array<boolean>, inserted array<int>"
         )
     )
     # whether the turn after is merged; the one after a block's last turn is the first of the next block

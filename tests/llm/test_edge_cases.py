@@ -218,7 +218,7 @@ def test_chat_blocks(spark, monkeypatch):
         roles = [chat.ROLES.index(role) + 1 if role in chat.ROLES else 0 for c, _, role, _ in turns if c == conv]
         mine = [chat.ROLES.index(row["repaired_role"]) + 1 for row in whole if row["conv_id"] == conv]
         cost = lambda path: sum(
-            chat.turn_costs(role)[a, b] for role, a, b in zip(roles, [chat.START, *path], path)
+            chat.turn_costs(role, chat.Costs())[a, b] for role, a, b in zip(roles, [chat.START, *path], path)
         )
         if len(roles) <= 7:
             assert cost(mine) == min(map(cost, itertools.product(range(1, chat.STATES), repeat=len(roles))))
