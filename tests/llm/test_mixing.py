@@ -1,6 +1,8 @@
 """The whole mixture against its exact target weights."""
 
 import math
+import random
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -57,6 +59,68 @@ def test_targets_are_exact_and_must_name_every_source(spark):
 def test_more_sources_than_any_period(spark):
     sizes = {f"s{i}": 1 + i % 5 for i in range(1200)}
     weights = {name: Fraction(float(n) ** mixing.TEMPERATURE) for name, n in sizes.items()}
-    picks = mixing.schedule([1] * 3 + [5], [1, 1, 1, 5])
-    assert Counter(picks) == {0: 1, 1: 1, 2: 1, 3: 5}
+    spans = mixing.schedule([1] * 3 + [5], [1, 1, 1, 5], lambda picks: picks)
+    assert Counter(s for picks in spans for s in picks) == {0: 1, 1: 1, 2: 1, 3: 5}
     check(mixing.mix_sources(table(spark, sizes), block_rows=1).collect(), sizes, weights, 1)
+
+
+def plain_schedule(weights, blocks):
+    """Slot by slot, the released block that is due first, by looking at every source."""
+    total = sum(weights)
+    for end in mixing.ends(weights, blocks):
+        had, picks = [0] * len(weights), []
+        for t in range(end):
+            due = []
+            for s, w in enumerate(weights):
+                if had[s] * total // w <= t:
+                    last = -(-(had[s] + 1) * total // w)
+                    due.append((min(last, end) if had[s] < blocks[s] else last, -w, s))
+            before, _, s = min(due)
+            if before <= t:
+                break
+            picks.append(s)
+            had[s] += 1
+        else:
+            if all(n >= max(b, w * end // total) for n, b, w in zip(had, blocks, weights)):
+                return picks
+
+
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_slots_equal_a_plain_schedule(monkeypatch, span):
+    monkeypatch.setattr(mixing, "SPAN_SLOTS", span)
+    rng = random.Random(span)
+    for _ in range(60):
+        weights = [rng.randint(1, 40) for _ in range(rng.randint(1, 6))]
+        blocks = [rng.randint(1, 30) for _ in weights]
+        kept = mixing.schedule(weights, blocks, lambda picks: picks)
+        assert [s for picks in kept if picks is not None for s in picks] == plain_schedule(weights, blocks)
+
+
+@pytest.mark.parametrize("span", [3, 50])
+def test_spans_make_one_mixture(spark, monkeypatch, span):
+    sizes = {"a": 300, "b": 41, "c": 9, None: 5}
+    docs = table(spark, sizes)
+    whole = {tuple(r) for r in mixing.mix_sources(docs).collect()}
+    monkeypatch.setattr(mixing, "SPAN_SLOTS", span)
+    assert {tuple(r) for r in mixing.mix_sources(docs).collect()} == whole
+
+
+def test_driver_holds_one_span(monkeypatch):
+    """Two million slots pass through a span of ten thousand."""
+    monkeypatch.setattr(mixing, "SPAN_SLOTS", 10_000)
+    weights, blocks = [7, 5, 3, 1], [875_000, 625_000, 375_000, 125_000]
+    tracemalloc.start()
+    counts = Counter()
+    spans = mixing.schedule(weights, blocks, lambda picks: counts.update(picks))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) == 200 and counts == dict(enumerate(blocks))
+    assert peak < 2_000_000
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 10)
+    sizes = {"a": 500, "b": 100}
+    rows = mixing.mix_sources(table(spark, sizes)).collect()
+    weights = {name: Fraction(float(n) ** mixing.TEMPERATURE) for name, n in sizes.items()}
+    check(rows, sizes, weights, 60)
