@@ -15,16 +15,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .hashing import mix
 from .tables import id_and_text
 
 SPACE = "▁"
 #: Characters of texts that are cut into words at once; a longer text is taken whole.
-CHUNK_CHARS = 1 << 20
-#: Symbols of known words that a Python worker keeps; beyond them it starts anew.
-KNOWN_SYMBOLS = 1 << 20
+CHUNK_CHARS = 1 << 19
+#: Letters and ids of known words that a Python worker keeps; beyond them it starts anew.
+KNOWN_SYMBOLS = 1 << 22
+#: Lists of ids that are spelled at once.
+DECODED_ROWS = 64
 NO_PAIR = np.int32(2**31 - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Factors of places in a word.
+_PLACE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 # The kinds of pieces and the model kind of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -38,7 +45,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         value = shift = 0
         while True:
             byte = data[at]
-            value |= (byte & 127) << shift
+            value |= (byte & 127)     <<     shift
             at, shift = at + 1, shift + 7
             if byte < 128:
                 return value, at
@@ -105,8 +112,18 @@ class Vocabulary:
                 self.bytes_of[i] = b""
             elif kinds[i] == UNKNOWN:
                 self.bytes_of[i] = self.unknown_surface
+        self._tables(kinds)
+        self.salt = 0
         self._forget()
 
+    def _tables(self, kinds: list[int]) -> None:
+        """What ids spell, as one run of bytes; ids that a text may end with but not hold; first letters."""
+        self.width_of = np.array([len(b) for b in self.bytes_of])
+        self.place_of = np.cumsum(self.width_of) - self.width_of
+        self.spelled = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.is_control = np.array(kinds) == CONTROL
+        self.spaced = np.array([self.dummy_prefix and k == NORMAL and p[0] == SPACE for k, p in zip(kinds, self.pieces)])
+
     def _letter_symbols(self, letters: list[str], symbols: dict, normal: list[int]) -> None:
         """Symbol of every code point, -1 where no piece has it, and which letters may follow which."""
         self.symbol_of = np.full(0x110000, -1, np.int32)
@@ -119,7 +136,7 @@ class Vocabulary:
         self.follows[[number[a] * self.width + number[b] for i in normal for a, b in zip(self.pieces[i], self.pieces[i][1:])]] = True
 
     def _pairs(self, symbols: dict, normal: list[int], scores: np.ndarray) -> None:
-        """Sorted keys of the pairs that make a piece, the piece and its rank; equal scores rank equal."""
+        """A hash table of the pairs that make a piece, the piece and its rank; equal scores rank equal."""
         self.radix = len(self.pieces) + len(symbols) + 1
         rank_of = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         made = {}
@@ -129,9 +146,18 @@ class Vocabulary:
                 left, right = symbols.get(piece[:k]), symbols.get(piece[k:])
                 if left is not None and right is not None:
                     made[left * self.radix + right] = i
-        self.keys = np.array(sorted(made), np.int64)
-        self.merged = np.array([made[k] for k in self.keys.tolist()], np.int32)
-        self.ranks = rank_of[self.merged]
+        self.bits = max(4, (4 * len(made)).bit_length())
+        self.keys = np.full(1     <<     self.bits, -1, np.int64)
+        self.merged = np.full(1     <<     self.bits, -1, np.int32)
+        self.ranks = np.full(1     <<     self.bits, NO_PAIR, np.int32)
+        keys = np.array(sorted(made), np.int64)
+        for key, slot in zip(keys.tolist(), self._slot(keys).tolist()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1     <<     self.bits) - 1)
+            self.keys[slot], self.merged[slot], self.ranks[slot] = key, made[key], rank_of[made[key]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _space_run(self, scores: list[float], symbols: dict) -> None:
         """The longest run of spaces that is a piece, if longer runs fall into such from the left.
@@ -151,16 +177,24 @@ class Vocabulary:
                 break
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Known words: their number by hash, letters and ids one after the other, and where they lie."""
+        self.known: dict[int, int] = {}
+        self.letters, self.flat = np.empty(0, np.uint32), np.empty(0, np.int32)
+        # starts and counts of letters, then of ids
+        self.lies = np.empty((4, 0), np.int64)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece and rank of each pair; ``NO_PAIR`` where it makes no piece."""
         key = np.where((left >= 0) & (right >= 0), left * np.int64(self.radix) + right, -1)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        return np.where(hit, self.merged[at], -1), np.where(hit, self.ranks[at], NO_PAIR)
+        slot = self._slot(key)
+        slot[key < 0] = 0
+        search = np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] >= 0))
+        while len(search):  # slots that another pair has taken
+            slot[search] = (slot[search] + 1) & ((1     <<     self.bits) - 1)
+            held = self.keys[slot[search]]
+            search = search[(held != key[search]) & (held >= 0)]
+        hit = (self.keys[slot] == key) & (key >= 0)
+        return np.where(hit, self.merged[slot], -1), np.where(hit, self.ranks[slot], NO_PAIR)
 
     def _ranked(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece and rank of each symbol with the next one of its word."""
@@ -264,14 +298,43 @@ class Vocabulary:
             starts |= space & (place > run) & ((place - run) % self.space_run == 0)
         return np.flatnonzero(starts)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, hashes: list[int], words: list[str], points: np.ndarray) -> None:
         symbol, counts = self._merge(words)
         ids, counts = self._ids(symbol, counts)
-        for word in words:
-            self.known[word] = len(self.known)
-        starts = len(self.flat) + np.cumsum(counts) - counts
-        self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
-        self.starts, self.counts = np.append(self.starts, starts), np.append(self.counts, counts)
+        for h in hashes:
+            self.known[h] = len(self.known)
+        sizes = np.array([len(w) for w in words], np.int64)
+        lies = [len(self.letters) + np.cumsum(sizes) - sizes, sizes, len(self.flat) + np.cumsum(counts) - counts, counts]
+        self.letters, self.flat = np.append(self.letters, points), np.append(self.flat, ids.astype(np.int32))
+        self.lies = np.concatenate((self.lies, lies), axis=1)
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        place = (np.arange(len(points)) - np.repeat(starts, sizes)) & 255
+        scattered = mix(points.astype(np.uint64) + np.uint64(self.salt) * _ODD) * _PLACE[place]
+        return mix(np.add.reduceat(scattered, starts) + sizes.astype(np.uint64))
+
+    def _numbers(self, joined: str, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each word among the known ones, which all of them are then.
+
+        Words are told apart by a hash and compared letter by letter with the known one; where
+        two words share a hash, all is begun anew with another salt.
+        """
+        if len(self.flat) + len(self.letters) > KNOWN_SYMBOLS:
+            self._forget()
+        while True:
+            hashes, first, which = np.unique(self._hashes(points, starts, sizes), return_index=True, return_inverse=True)
+            hashes = hashes.tolist()
+            fresh = [k for k, h in enumerate(hashes) if h not in self.known]
+            if fresh:
+                at, n = starts[first[fresh]], sizes[first[fresh]]
+                words = [joined[a:b] for a, b in zip(at.tolist(), (at + n).tolist())]
+                self._learn([hashes[k] for k in fresh], words, points[_ranges(at, n)])
+            numbers = np.fromiter(map(self.known.__getitem__, hashes), np.int64, len(hashes))[which]
+            if (self.lies[1][numbers] == sizes).all():
+                if (self.letters[_ranges(self.lies[0][numbers], sizes)] == points).all():
+                    return numbers
+            self.salt += 1
+            self._forget()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, without an end id, and how many each text has."""
@@ -283,19 +346,33 @@ class Vocabulary:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = self._cuts(points, edges)
-        ends = np.append(starts[1:], len(points))
-        words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        if len(self.flat) > KNOWN_SYMBOLS:
-            self._forget()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        if fresh:
-            self._learn(fresh)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.counts[which]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        numbers = self._numbers(joined, points, starts, np.diff(np.append(starts, len(points))))
+        counts = self.lies[3][numbers]
+        ids = self.flat[_ranges(self.lies[2][numbers], counts)]
         text_of = np.searchsorted(edges, starts, side="right") - 1
-        return ids, np.bincount(text_of, weights=sizes, minlength=len(texts)).astype(np.int64)
+        return ids, np.bincount(text_of, weights=counts, minlength=len(texts)).astype(np.int64)
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of lists of ids that lie one after the other."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.pieces):
+            raise ValueError(f"ids {ids.min()} to {ids.max()} in a vocabulary of {len(self.pieces)}")
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        inside = self.is_control[ids]
+        inside[ends[counts > 0] - 1] = False  # the end id says nothing more
+        held = np.concatenate(([0], np.cumsum(inside)))
+        plain = held[ends] == held[starts]
+        widths = self.width_of[ids]
+        raw = self.spelled[_ranges(self.place_of[ids], widths)].tobytes()
+        at = np.concatenate(([0], np.cumsum(widths)))
+        cut = [bool(n and self.spaced[ids[k]]) for k, n in zip(starts.tolist(), counts.tolist())]
+        texts = []
+        for k, (a, b) in enumerate(zip(at[starts].tolist(), at[ends].tolist())):
+            if plain[k]:
+                texts.append(_decode_bytes(raw[a + cut[k] : b]))
+            else:
+                texts.append(self.decode(ids[starts[k] : ends[k]].tolist()))
+        return texts
 
     def decode(self, ids: list[int]) -> str:
         """The text of a list of ids; bytes that are no UTF-8 become one replacement character each."""
@@ -313,6 +390,12 @@ class Vocabulary:
         return text[1:] if strip else text
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _one_by_one(error: UnicodeError) -> tuple[str, int]:
     return "\ufffd", error.start + 1
 
@@ -377,10 +460,16 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model)
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
-                texts = [words.decode([i for i in ids or () if i is not None]) for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            for row in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(row, DECODED_ROWS)
+                lists = part.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                if flat.null_count:
+                    owner = np.repeat(np.arange(len(sizes)), sizes)[np.asarray(flat.is_valid())]
+                    flat, sizes = flat.drop_null(), np.bincount(owner, minlength=len(sizes))
+                texts = words.decode_all(flat.to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = named.schema["doc_id"].dataType.simpleString()
     return named.mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

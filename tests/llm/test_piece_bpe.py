@@ -4,6 +4,7 @@ import hashlib
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -65,6 +66,8 @@ def test_long_random_word():
 @given(st.lists(st.one_of(st.integers(0, 31_999), st.integers(0, 3), st.integers(120, 258)), max_size=12))
 def test_any_ids(ids):
     assert VOCABULARY.decode(ids) == LIBRARY.decode(ids)
+    both = np.array([*ids, 2, *ids], np.int64)
+    assert VOCABULARY.decode_all(both, np.array([len(ids) + 1, 0, len(ids)])) == [LIBRARY.decode(ids), "", LIBRARY.decode(ids)]
 
 
 def test_unknown_ids_are_an_error():
@@ -82,6 +85,15 @@ def test_known_words_are_forgotten(monkeypatch):
         assert fresh.encode([text])[0].tolist() == LIBRARY.encode(text)
 
 
+def test_words_of_one_hash(monkeypatch):
+    """Two words that share a hash under the first salt are told apart under the next."""
+    fresh = piece_bpe.Vocabulary(MODEL)
+    real = fresh._hashes
+    monkeypatch.setattr(fresh, "_hashes", lambda *a: real(*a) % (5 if fresh.salt == 0 else 2**64 - 1))
+    text = "many different words of many lengths"
+    assert fresh.encode([text])[0].tolist() == LIBRARY.encode(text) and fresh.salt == 1
+
+
 def test_chunks_hold_every_text(monkeypatch):
     monkeypatch.setattr(piece_bpe, "CHUNK_CHARS", 5)
     assert list(piece_bpe._chunks(["ab", "cde", "f", "", "ghijklmn", "o"])) == [["ab", "cde"], ["f", ""], ["ghijklmn"], ["o"]]
