@@ -22,7 +22,7 @@ from .features import assemble
 from .metrics import r2_column
 from .params import LinearParams
 from .per_key import per_key
-from .rows import project
+from .rows import in_request_order, key_list_rows, project
 
 _ANSWER = (
     "total_iterations int, rmse double, r2 double, intercept double, "
@@ -48,8 +48,9 @@ def linear_regression(
 
     With squared loss the solution is exact; ``total_iterations`` is 0 and the history ``[0.0]``
     where no L1 penalty is set, and both are null with one.  An iterative solver
-    (``solver="l-bfgs"``) runs MLlib for each of the listed keys, which it then needs, and adds
-    ``req_ord``.
+    (``solver="l-bfgs"``) runs MLlib for each of the listed keys, which it then needs.  With
+    ``keys`` the answers have ``req_ord`` first: one row for each place of the list, a repeated
+    key again.
     """
     params = params or LinearParams()
     if not features:
@@ -70,7 +71,7 @@ def linear_regression(
         {name: F.col(name).cast("double") for name in dict.fromkeys([*features, "label"])}
     )
     if keys is not None:
-        rows = rows.filter(F.col(key).isin(list(set(keys))))
+        rows = key_list_rows(rows, key, keys)
     if nulls == "drop":
         rows = rows.na.drop()
     if params.solver == "l-bfgs":
@@ -78,10 +79,12 @@ def linear_regression(
             raise ValueError("an iterative solver runs one job per key: list the keys")
         return _mllib(rows, key, features, params, keys)
     if params.loss == "huber":
-        return _huber(rows, key, features, params)
-    if len(features) == 1:
-        return _one_feature(rows, key, features[0], params)
-    return _many_features(rows, key, features, params)
+        fitted = _huber(rows, key, features, params)
+    elif len(features) == 1:
+        fitted = _one_feature(rows, key, features[0], params)
+    else:
+        fitted = _many_features(rows, key, features, params)
+    return fitted if keys is None else in_request_order(fitted, key, keys)
 
 
 def _mllib(rows: DataFrame, key: str, features, params: LinearParams, keys) -> DataFrame:

@@ -16,6 +16,10 @@ from ..scale import require_columns, small
 _COMPARE = {"=": eq, ">": gt, "<": lt, ">=": ge, "<=": le}
 
 
+#: Keys that a filter lists one by one; more of them are joined.
+LITERAL_KEYS = 300
+
+
 def project(
     df: DataFrame, key: str, features: Sequence[str], label: str | None = None
 ) -> DataFrame:
@@ -40,6 +44,29 @@ def request_frame(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
     return df.sparkSession.createDataFrame(list(enumerate(keys)), schema)
 
 
+def key_list_rows(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
+    """Rows of the listed keys.
+
+    A short list is part of the filter and so reaches the scan; a long one is a table, whose join
+    is broadcast only while it is small.
+    """
+    distinct = list(dict.fromkeys(keys))
+    if len(distinct) <= LITERAL_KEYS:
+        return df.filter(F.col(key).isin(distinct))
+    wanted = request_frame(df, key, distinct).drop("req_ord")
+    return df.join(small(wanted, len(distinct), 1), key, "left_semi")
+
+
+def in_request_order(answers: DataFrame, key: str, keys: Sequence) -> DataFrame:
+    """The answers, one row per key, as ``(req_ord, ...)``: one for each place of the request.
+
+    A repeated key is answered again; a key without an answer is skipped.
+    """
+    request = small(request_frame(answers, key, keys), len(keys), 2)
+    columns = [answers[name] for name in answers.columns]
+    return request.join(answers, request[key].eqNullSafe(answers[key])).select("req_ord", *columns)
+
+
 def for_keys(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
     """Rows of each requested key with its place in the request as ``req_ord``.
 
@@ -48,7 +75,7 @@ def for_keys(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
     """
     require_columns(df, key)
     request = request_frame(df, key, keys)
-    found = df.filter(F.col(key).isin(list(set(keys))))
+    found = key_list_rows(df, key, keys)
     answered = found.join(small(request, len(keys), 2), key)
     present = found.select(key).distinct()
     empty = request.join(present, key, "left_anti")

@@ -1,27 +1,33 @@
 """Random forests and boosted trees, one model per key, grown for all keys together.
 
 A tree split depends on a row only through the bins of its features.  Where the combinations of
-bins are few against the rows, the rows are read once and reduced to cells, one per key and
-combination, with the sums of every sample drawn from them, which bounds a key of any size.
-Where they are many, the binned rows are kept with their sample counts.  Trees then grow level by
-level, every level one grouped aggregation over the cells of all keys, so the number of jobs
-follows the depth and not the number of keys, and a key with many rows is reduced by every map
-task that reads it.
+bins are few against the rows, the rows are first reduced to cells, one per key and combination,
+with the sums of every sample drawn from them; elsewhere the binned rows are kept with their
+sample counts.  Either way the records of a key are packed once into slices of bounded size.
+
+Trees grow level by level: one pass over the slices per depth joins each with its key's trees so
+far, walks its records down them, and sums histograms of the nodes to be split.  A key of one
+slice has its splits at once; the histograms of the others are added up by node first.  So the
+number of jobs follows the depth and not the number of keys, a key with many rows is spread over
+many tasks, and no pass writes the rows again.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import checkpoint, checkpoint_counted, require_columns, small, spread
+from ..scale import Scratch, partitions_for, require_columns, small, spread
 from .features import split_bucket
 from .metrics import r2_column
 from .params import BoostParams, ForestParams
+from .rows import in_request_order, key_list_rows
 
 # the largest uniform number that a row can draw
 _LARGEST = 1 - 2.0**-53
@@ -29,6 +35,15 @@ _LARGEST = 1 - 2.0**-53
 # cells must be at least this many times fewer than the rows to be worth a shuffle
 _FEWER = 4
 
+# records of one slice, which one task holds in memory
+_SLICE_RECORDS = 50_000
+
+# records times trees that are walked at once, and histogram places that are judged at once
+_WALKED, _JUDGED = 1 << 20, 1 << 20
+
+# node numbers below a tree's in one code
+_NODE_BITS = 31
+
 
 def random_forest(
     df: DataFrame,
@@ -44,23 +59,17 @@ def random_forest(
     Rows are split by ``train_test_split``'s hash of ``id_cols`` (key, features and label by
     default) and drawn into samples by another hash of them, so rows with equal ids are drawn
     alike.  Keys without training rows are skipped; both metrics are null for a key without
-    test rows.  A null feature or label is an error.
+    test rows.  A null feature or label is an error.  With ``keys`` only these are fitted, and
+    answered as ``(req_ord, key, rmse, r2)`` in the order of the list, a repeated key again.
     """
     params = params or ForestParams()
     sampled = params.bootstrap or params.subsampling_rate < 1
     samples = params.num_trees if sampled else 1
-    data = _cells(df, key, features, label, keys, id_cols, params, samples, params.bootstrap)
+    data = _packed(df, key, features, label, keys, id_cols, params, samples, params.bootstrap)
     subset = _subset_size(params.feature_subset_strategy, len(features), params.num_trees)
     trees = [(t, t if sampled else 0) for t in range(params.num_trees)]
-    levels = _grow(data, data.sums_of(range(samples)), trees, subset, params, params.seed)
-    tested = data.test_sums(data.cells)
-    # rows that look alike share a prediction: count them while their trees are averaged
-    forest = (
-        _predicted(data, tested, levels, params.num_trees)
-        .groupBy(*tested.columns)
-        .agg(F.avg("_value").alias("_f"), (F.count("*") / params.num_trees).alias("_alike"))
-    )
-    return _test_metrics(data, forest.selectExpr("*", "_tn * _alike as _n"))
+    _grow(data, trees, subset, params, params.seed)
+    return _answers(_test_metrics(data, [1 / params.num_trees] * params.num_trees), key, keys)
 
 
 def gradient_boost(
@@ -75,31 +84,23 @@ def gradient_boost(
     """Fit boosted trees per key on its training rows: ``(key, rmse, r2)`` of the test rows.
 
     The first tree fits the label, each later one the negative gradient of the loss, added with
-    weight ``step_size``.  Rows, splits and empty sides are as in ``random_forest``.
+    weight ``step_size``.  Rows, splits, empty sides and ``keys`` are as in ``random_forest``.
     """
     params = params or BoostParams()
     sampled = params.subsampling_rate < 1
     samples = params.max_iter if sampled else 1
     rows_only = params.loss_type == "absolute"  # its gradient differs within a cell
-    data = _cells(df, key, features, label, keys, id_cols, params, samples, False, rows_only)
+    data = _packed(df, key, features, label, keys, id_cols, params, samples, False, rows_only)
     subset = _subset_size(params.feature_subset_strategy, len(features), 1)
-    data.cells = data.cells.withColumn("_f", F.lit(0.0))
+    weights = [1.0] + [params.step_size] * (params.max_iter - 1)
     for turn in range(params.max_iter):
-        sample = turn if sampled else 0
-        target = data.sums_of([sample], params.loss_type if turn > 0 else None)
-        levels = _grow(data, target, [(0, sample)], subset, params, params.seed + turn)
-        weight = 1.0 if turn == 0 else params.step_size
-        last = turn == params.max_iter - 1
-        cells = data.test_sums(data.cells, "_f") if last else data.cells
-        cells = (
-            _predicted(data, cells, levels, 1)
-            .withColumn("_f", F.col("_f") + weight * F.col("_value"))
-            .drop("_value")
-        )
-        if last:
-            return _test_metrics(data, cells.withColumn("_n", F.col("_tn")))
-        # no later tree asks for this sample
-        data.cells = checkpoint(cells.drop(f"_s{turn}", f"_w{turn}") if sampled else cells)
+        before = _Before(weights[:turn], params.loss_type)
+        _grow(data, [(turn, turn if sampled else 0)], subset, params, params.seed + turn, before)
+    return _answers(_test_metrics(data, weights), key, keys)
+
+
+def _answers(metrics: DataFrame, key: str, keys: Sequence | None) -> DataFrame:
+    return metrics if keys is None else in_request_order(metrics, key, keys)
 
 
 def _subset_size(strategy: str, features: int, trees: int) -> int:
@@ -125,60 +126,75 @@ def _subset_size(strategy: str, features: int, trees: int) -> int:
     raise ValueError(f"unknown feature subset strategy {strategy!r}")
 
 
-# --- rows to cells --------------------------------------------------------------------------
+# --- rows to slices -------------------------------------------------------------------------
 
 
 @dataclass
 class _Data:
-    """Cells or binned rows of all keys.
+    """Slices of the records of all keys, and the trees grown so far.
 
-    Both hold their key's number of training rows, ``_rows``, and their ``_bins``.  A cell has for
-    each sample i a column ``_s{i}`` of the weight and the weighted sums of the label and its
-    square, so that a pass reads the samples it needs, and the same sums of its test rows as
-    ``_tn``, ``_ty`` and ``_tyy``.  A row has its label ``_y``, the times ``_w{i}`` it was drawn
+    A slice has its key, a hash of it, the key's number of training rows, ``_rows``, and of
+    slices, ``_slices``, and the list ``_records``.  A record has its bins ``_b0``, ``_b1`` ... .
+    That of a cell has for each sample i its weight ``_n{i}`` and the weighted sums of the label
+    and its square, ``_y{i}`` and ``_yy{i}``, and the same sums of its test rows as ``_tn``,
+    ``_ty`` and ``_tyy``.  That of a row has its label ``_y``, the times ``_w{i}`` it was drawn
     and ``_tn``, 1 for a test row.  Labels are counted from the key's training mean, which keeps
-    the squares small.
+    the squares small.  ``levels`` are tables (key, tree, node, value, f, bin, left, right): the
+    children of node i are 2i+1 and 2i+2, ``value`` is the mean label, ``f`` the feature to split
+    by, null for a leaf, ``bin`` the last bin that goes left, ``left`` and ``right`` the mean
+    labels of the children.
     """
 
     key: str
     features: int
     keys: DataFrame
-    cells: DataFrame
+    slices: DataFrame
     is_rows: bool
-
-    def sums_of(self, samples: Iterable[int], loss: str | None = None) -> DataFrame:
-        """Sums ``_s{i}`` of the labels, or of the negative gradient of a loss at ``_f``."""
-
-        def sums(i: int) -> str:
-            if self.is_rows:
-                n, y, yy = f"double(_w{i})", f"_w{i} * _y", f"_w{i} * _y * _y"
-            else:
-                n, y, yy = f"_s{i}.n", f"_s{i}.y", f"_s{i}.yy"
-            if loss == "squared":
-                y, yy = f"2 * ({y} - {n} * _f)", f"4 * ({yy} - 2 * _f * {y} + {n} * _f * _f)"
-            elif loss == "absolute":
-                y, yy = f"{n} * if(_y < _f, -1D, 1D)", n
-            return f"named_struct('n', {n}, 'y', {y}, 'yy', {yy}) as _s{i}"
-
-        return self.cells.selectExpr(_quoted(self.key), "_rows", "_bins", *map(sums, samples))
-
-    def test_sums(self, cells: DataFrame, *more: str) -> DataFrame:
-        """What has test rows, with ``_tn``, ``_ty`` and ``_tyy``."""
-        sums = ("_y as _ty", "_y * _y as _tyy") if self.is_rows else ("_ty", "_tyy")
+    draws: _Draws
+    many_slices: bool
+    scratch: Scratch
+    levels: list[DataFrame] = field(default_factory=list)
+    nodes: int = 0
+
+    def with_trees(self, fields: Sequence[str]) -> DataFrame:
+        """The slices with the fields of their records and, by one join, the trees of their keys."""
         named = _quoted(self.key)
-        return cells.filter("_tn > 0").selectExpr(named, "_bins", "double(_tn) as _tn", *sums, *more)
+        read = self.slices.selectExpr(
+            named, "_hash", "_rows", "_slices", *(f"_records.{name} as {name}" for name in fields)
+        )
+        if not self.levels:
+            none = [f"cast(array() as array<{kind}>) as _m_{name}" for name, kind in _MODEL]
+            return read.selectExpr("*", *none)
+        grown = self.levels[0]
+        for level in self.levels[1:]:
+            grown = grown.unionByName(level)
+        kept = grown.filter("node = 0 or f is not null")
+        model = kept.groupBy(self.key).agg(F.collect_list(F.struct(*(name for name, _ in _MODEL))).alias("_m"))
+        arrays = [f"_m.{name} as _m_{name}" for name, _ in _MODEL]
+        return (
+            read.join(small(model, self.nodes, len(_MODEL)), self.key)
+            .selectExpr(named, "_hash", "_rows", "_slices", *fields, *arrays)
+        )
+
 
+_MODEL = (
+    ("tree", "int"), ("node", "bigint"), ("value", "double"), ("f", "int"), ("bin", "int"),
+    ("left", "double"), ("right", "double"),
+)
 
-def _cells(
+
+def _packed(
     df, key, features, label, keys, id_cols, params, samples, bootstrap, rows_only=False
 ) -> _Data:
     require_columns(df, key, label, *features, *id_cols)
     if not features:
         raise ValueError("name at least one feature")
+    if params.max_depth >= _NODE_BITS:
+        raise ValueError(f"trees have {_NODE_BITS - 1} levels at most")
     ids = list(id_cols) or [key, *features, label]
     rows = df.filter(F.col(key).isNotNull())
     if keys is not None:
-        rows = rows.filter(F.col(key).isin(list(set(keys))))
+        rows = key_list_rows(rows, key, keys)
     x = [f"_x{i}" for i in range(len(features))]
     rows = rows.select(
         key,
@@ -191,72 +207,82 @@ def _cells(
     # ranks are right to a twentieth of a bin
     steps = [i / params.max_bins for i in range(1, params.max_bins)] or [0.5]
     accuracy = max(1000, 20 * params.max_bins)
-    cuts = F.array(*(F.array_distinct(F.percentile_approx(name, steps, accuracy)) for name in x))
-    # an estimate with room to spare: what it lets through is counted exactly
-    few = F.array(*(F.approx_count_distinct(name) <= 2 * params.max_bins for name in x))
-    per_key = checkpoint(
+    cuts = F.array(
+        *(
+            F.coalesce(_midpoints(name, params.max_bins), F.array_distinct(F.percentile_approx(name, steps, accuracy)))
+            for name in x
+        )
+    )
+    scratch = Scratch(df.sparkSession)
+    by_rows, by_cells = F.col("_rows") / params.train_split, F.lit(float(params.max_bins) ** len(x))
+    per_key, (count, train_rows) = scratch.write_counted(
         rows.filter("_train")
         .groupBy(key)
-        .agg(
-            cuts.alias("_cuts"), few.alias("_few"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows")
-        )
+        .agg(cuts.alias("_cuts"), F.avg("_y").alias("_mean"), F.count("*").alias("_rows"))
+        .withColumn("_by_rows", F.ceil(by_rows / _SLICE_RECORDS).cast("int"))
+        .withColumn("_by_cells", F.ceil(F.least(by_rows, by_cells) / _SLICE_RECORDS).cast("int")),
+        F.count("*"),
+        F.coalesce(F.sum("_rows"), F.lit(0)),
     )
-    per_key = checkpoint(_with_midpoints(rows.filter("_train"), per_key, key, x, params.max_bins))
-    count, train_rows = per_key.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
 
-    known = small(per_key, count, 3 + len(x) * params.max_bins)
+    is_rows = rows_only or count * params.max_bins ** len(x) * _FEWER > train_rows
+    known = small(per_key, count, 5 + len(x) * params.max_bins)
+    bins = [f"_b{i}" for i in range(len(x))]
     binned = _with_bins(spread(rows, train_rows).join(known, key), x, params.max_bins).select(
         key,
         "_rows",
-        "_bins",
+        F.col("_by_rows" if is_rows else "_by_cells").alias("_slices"),
+        *bins,
         (F.col("_y") - F.col("_mean")).alias("_y"),
         "_train",
-        *(_uniform("_id", params.seed + i).alias(f"_u{i}") for i in range(samples)),
+        "_id",
     )
-    weights = [
-        f"if(_train, {_draw(f'_u{i}', params.subsampling_rate, bootstrap)}, 0)"
-        for i in range(samples)
-    ]
-    is_rows = rows_only or count * params.max_bins ** len(x) * _FEWER > train_rows
+    named = _quoted(key)
+    draws = _Draws(params.subsampling_rate, bootstrap, params.seed)
     if is_rows:
-        drawn = (f"tinyint({w}) as _w{i}" for i, w in enumerate(weights))
         test = "tinyint(if(_train, 0, 1)) as _tn"
-        cells = binned.selectExpr(_quoted(key), "_rows", "_bins", "_y", *drawn, test)
+        # equal ids of one file part stay together: a slice is no larger than such a part
+        place = "pmod(xxhash64(_id, spark_partition_id()), _slices) as _slice"
+        records = binned.selectExpr(named, "_rows", "_slices", place, *bins, "_y", "_id", test)
     else:
+        drawn = [_uniform("_id", params.seed + i).alias(f"_u{i}") for i in range(samples)]
+        weights = [f"if(_train, {draws.sql(f'_u{i}')}, 0)" for i in range(samples)]
+        binned = binned.select(*binned.columns, *drawn)
         sums = (
-            f"named_struct('n', sum(double({w})), 'y', sum({w} * _y), 'yy', sum({w} * _y * _y)) as _s{i}"
+            f"{value} as {name}{i}"
             for i, w in enumerate(weights)
+            for name, value in (("_n", f"sum(double({w}))"), ("_y", f"sum({w} * _y)"), ("_yy", f"sum({w} * _y * _y)"))
         )
         tests = (
-            "count_if(not _train) as _tn",
+            "double(count_if(not _train)) as _tn",
             "sum(if(_train, 0D, _y)) as _ty",
             "sum(if(_train, 0D, _y * _y)) as _tyy",
         )
-        cells = binned.groupBy(key, "_rows", "_bins").agg(*(F.expr(e) for e in (*sums, *tests)))
-    return _Data(key, len(features), per_key.select(key), checkpoint(cells), is_rows)
-
-
-def _with_midpoints(train: DataFrame, per_key: DataFrame, key: str, x, max_bins: int) -> DataFrame:
-    """Cut a feature of at most ``max_bins`` values of a key between all of them, however rare."""
-    held = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(name).alias("v")) for i, name in enumerate(x))))
-    values = (
-        train.join(per_key.filter("exists(_few, f -> f)").select(key, "_few"), key)
-        .select(key, "_few", held.alias("_held"))
-        .filter("_few[_held.i]")
-        .select(key, "_held.i", "_held.v")
-        .distinct()
+        cells = binned.groupBy(key, "_rows", "_slices", *bins).agg(*(F.expr(e) for e in (*sums, *tests)))
+        records = cells.withColumn("_slice", F.expr(f"pmod(xxhash64({', '.join(bins)}), _slices)"))
+    fields = [name for name in records.columns if name not in (key, "_rows", "_slices", "_slice")]
+    slices, (most,) = scratch.write_counted(
+        records.repartition(partitions_for(df.sparkSession, train_rows), key, "_slice")
+        .groupBy(key, "_slice", "_rows", "_slices")
+        .agg(F.collect_list(F.struct(*fields)).alias("_records"))
+        .withColumn("_hash", F.xxhash64(key)),
+        F.max("_slices"),
     )
+    return _Data(key, len(features), per_key.select(key), slices, is_rows, draws, (most or 0) > 1, scratch)
+
+
+def _midpoints(name: str, max_bins: int) -> Column:
+    """Places between all values of a feature that has at most ``max_bins`` of them, however rare; else null.
+
+    The aggregate that lists the values counts exactly while it has room for all, so it has room
+    for many more than the estimate of their number lets pass.
+    """
+    listed = f"transform(approx_top_k({name}, {max_bins + 1}, {8 * max_bins + 8}), v -> v.item)"
     middle = "transform(slice(v, 1, size(v) - 1), (a, j) -> a + (v[j + 1] - a) / 2)"
-    exact = (
-        values.groupBy(key, "i")
-        .agg(F.sort_array(F.collect_list("v")).alias("v"))
-        .filter(F.size("v") <= max_bins)
-        .select(key, "i", F.expr(middle).alias("m"))
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("_exact"))
+    return F.expr(
+        f"if(approx_count_distinct({name}) <= {2 * max_bins}, "
+        f"element_at(transform(array(array_sort({listed})), v -> if(size(v) <= {max_bins}, {middle}, null)), 1), null)"
     )
-    cuts = F.expr("transform(_cuts, (c, i) -> coalesce(_exact[i], c))")
-    return per_key.join(exact, key, "left").select(key, cuts.alias("_cuts"), "_mean", "_rows")
 
 
 def _uniform(id: str, seed: int) -> Column:
@@ -270,203 +296,506 @@ def _present(name: str) -> Column:
 
 
 def _with_bins(rows: DataFrame, x: Sequence[str], max_bins: int) -> DataFrame:
-    """Add ``_bins``, for each feature the number of its cuts below the row's value.
+    """Add ``_b0``, ``_b1`` ..., for each feature the number of its cuts below the row's value.
 
     The cuts ascend, so a few halving steps place a value, all within generated code.
     """
-    rows = rows.selectExpr("*", *(f"0 as _bin{i}" for i in range(len(x))))
+    rows = rows.selectExpr("*", *(f"0 as _b{i}" for i in range(len(x))))
     step = 1 << (max_bins - 1).bit_length()
     while step:
         rows = rows.withColumns(
             {
-                f"_bin{i}": F.expr(
-                    f"_bin{i} + if(get(get(_cuts, {i}), _bin{i} + {step - 1}) < {name}, {step}, 0)"
+                f"_b{i}": F.expr(
+                    f"_b{i} + if(get(get(_cuts, {i}), _b{i} + {step - 1}) < {name}, {step}, 0)"
                 )
                 for i, name in enumerate(x)
             }
         )
         step //= 2
-    return rows.withColumn("_bins", F.array(*(f"_bin{i}" for i in range(len(x)))))
-
-
-def _draw(u: str, rate: float, bootstrap: bool) -> str:
-    """How often a row is drawn, from a uniform number: a Poisson count, or 0/1."""
-    if not bootstrap:
-        return "1" if rate >= 1 else f"int({u} < {rate}D)"
-    times, below, term = [], 0.0, math.exp(-rate)
-    while below + term > below and below < _LARGEST:  # until a double tells no further count apart
-        below += term
-        times.append(f"int({u} > {below!r}D)")
-        term *= rate / len(times)
-    return "(" + " + ".join(times) + ")"
+    return rows
+
+
+@dataclass(frozen=True)
+class _Draws:
+    """How often the samples draw a row, by the hash of its id: a Poisson count, or 0/1."""
+
+    rate: float
+    poisson: bool
+    seed: int
+
+    def steps(self) -> list[float]:
+        """A uniform number above the first n of these is drawn n times at least."""
+        if not self.poisson:
+            return []
+        found, below, term = [], 0.0, math.exp(-self.rate)
+        while below + term > below and below < _LARGEST:  # until a double tells no further count apart
+            below += term
+            found.append(below)
+            term *= self.rate / len(found)
+        return found
+
+    def sql(self, u: str) -> str:
+        """The count from a column of uniform numbers."""
+        if self.poisson:
+            return "(" + " + ".join(f"int({u} > {step!r}D)" for step in self.steps()) + ")"
+        return "1" if self.rate >= 1 else f"int({u} < {self.rate}D)"
+
+    def counts(self, ids: np.ndarray, sample: int) -> np.ndarray:
+        """The counts of one sample from hashes of ids, as ``sql`` has them from ``_uniform``."""
+        if not self.poisson and self.rate >= 1:
+            return np.ones(len(ids))
+        u = (_hash_long(self.seed + sample, _hash_long(ids, _HASH_SEED)) >> np.uint64(11)) * 2.0**-53
+        if self.poisson:
+            return np.searchsorted(np.array(self.steps()), u).astype(float)
+        return (u < self.rate).astype(float)
+
+
+# fixed values: the primes and the seed of the 64-bit hash
+_PRIMES = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in _PRIMES)
+_HASH_SEED = 42
+
+
+def _hash_long(values, seed) -> np.ndarray:
+    """The SQL function xxhash64 of 64-bit numbers, from a seed or the hash of a column before."""
+    turned = lambda x, by: (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+    x, h = (np.atleast_1d(np.asarray(v, np.int64 if np.asarray(v).dtype != np.uint64 else None)).astype(np.uint64) for v in (values, seed))
+    h = h + _P5 + np.uint64(8)
+    h = turned(h ^ (turned(x * _P2, 31) * _P1), 27) * _P1 + _P4
+    for shift, prime in ((33, _P2), (29, _P3)):
+        h = (h ^ (h >> np.uint64(shift))) * prime
+    return h ^ (h >> np.uint64(32))
 
 
 # --- growing --------------------------------------------------------------------------------
 
 
 @dataclass
-class _Level:
-    """The nodes of one depth, ``(key, tree, node, value, f, bin, left, right)``, and their number.
-
-    The children of node i are 2i+1 and 2i+2.  ``value`` is the mean label, ``f`` the feature to
-    split by, null for a leaf, ``bin`` the last bin that goes left, and ``left`` and ``right``
-    the mean labels of the children.
-    """
+class _Before:
+    """Weights of the trees so far, whose sum the next tree corrects, and the loss."""
 
-    nodes: DataFrame
-    count: int
+    weights: list[float]
+    loss: str
 
 
-def _grow(data: _Data, cells: DataFrame, trees, subset: int, params, seed: int) -> list[_Level]:
-    """Grow the trees ``[(tree, sample)]`` of all keys together, one grouped job per depth."""
-    levels: list[_Level] = []
-    for _ in range(params.max_depth):
-        histogram = _histogram(data, cells, levels, trees, subset, seed)
-        best = _best_splits(data, histogram, params)
-        nodes, (total, splits) = checkpoint_counted(best, "node", "f")
-        levels.append(_Level(nodes, splits if levels else total))
+def _grow(data: _Data, trees, subset: int, params, seed: int, before: _Before | None = None) -> None:
+    """Grow the trees ``[(tree, sample)]`` of all keys together, one pass per depth."""
+    for depth in range(params.max_depth):
+        splits = _next_level(data, depth, trees, subset, params, seed, before)
         if splits == 0:
             break
-    return levels
 
 
-# where a cell goes at a node that splits: the second child for bins above the node's bin
-_RIGHT = "get(_bins, f) > bin"
-_CHILD = f"2 * node + if({_RIGHT}, 2, 1)"
+def _next_level(data: _Data, depth: int, trees, subset: int, params, seed: int, before) -> int:
+    """Add the nodes of one depth to the levels; the number of those that split."""
+    key, kind = data.key, data.slices.schema[data.key].dataType.simpleString()
+    samples = sorted({sample for _, sample in trees})
+    bins = [f"_b{i}" for i in range(data.features)]
+    drawn = ["_y", "_id", "_tn"]
+    if not data.is_rows:
+        drawn = [f"{name}{i}" for i in samples for name in ("_n", "_y", "_yy")]
+    job = _Job(data.features, params.max_bins, data.draws if data.is_rows else None, depth, list(trees), subset, seed, before, _Rule.of(params))
+    node = f"{_quoted(key)} {kind}, tree int, node long"
+    best = "value double, f int, bin int, left double, right double"
+    sums = "_rows long, place array<int>, n array<double>, y array<double>, yy array<double>"
+    found = data.with_trees([*bins, *drawn]).mapInArrow(_histograms(job), f"{node}, {best}, {sums}")
+    if data.many_slices:
+        found = data.scratch.write(found)
+        added = (
+            found.filter("place is not null")
+            .select(key, "tree", "node", "_rows", "place", "n", "y", "yy")
+            .repartition(key, "tree", "node")
+            .sortWithinPartitions(key, "tree", "node")
+            .mapInArrow(_add_up(job), f"{node}, {best}")
+        )
+        found = found.filter("place is null").select(*added.columns).unionByName(added)
+    else:
+        found = found.select(key, "tree", "node", "value", "f", "bin", "left", "right")
+    level, (total, splits) = data.scratch.write_counted(found, F.count("node"), F.count("f"))
+    data.levels.append(level)
+    data.nodes += total if depth == 0 else splits
+    return splits
 
 
-def _histogram(data: _Data, cells: DataFrame, levels: list[_Level], trees, subset: int, seed: int):
-    """Sums per key, growing node, feature and bin: the one pass over the cells of a depth.
+@dataclass
+class _Rule:
+    """When a node may split."""
 
-    A cell finds its node by one join per finished depth; it drops out where it meets a leaf.
-    """
-    key = data.key
-    named = _quoted(key)
-    roots = ", ".join(
-        f"named_struct('tree', {tree}, 'sum', _s{sample})" for tree, sample in trees
-    )
-    placed = (
-        cells.selectExpr(named, "_rows", "_bins", f"explode(array({roots})) as _at")
-        .selectExpr(named, "_rows", "_bins", "_at.tree", "bigint(0) as node", "_at.sum.*")
-        .filter("n > 0")
-    )
-    for level in levels:
-        splits = level.nodes.filter("f is not null").selectExpr(named, "tree", "node", "f", "bin")
-        placed = placed.join(small(splits, level.count, 5), [key, "tree", "node"]).selectExpr(
-            named, "_rows", "_bins", "tree", f"{_CHILD} as node", "n", "y", "yy"
-        )
-    binned = placed.selectExpr(
-        named, "_rows", "tree", "node", "n", "y", "yy", "posexplode(_bins) as (f, bin)"
-    )
-    if subset < data.features:
-        binned = binned.filter(_drawn_feature(named, data.features, subset, seed))
-    return binned.groupBy(key, "_rows", "tree", "node", "f", "bin").agg(
-        F.expr("sum(n) as n"), F.expr("sum(y) as y"), F.expr("sum(yy) as yy")
-    )
+    instances: float
+    fraction: float
+    gain: float
 
+    @classmethod
+    def of(cls, params) -> _Rule:
+        return cls(float(params.min_instances_per_node), params.min_weight_fraction_per_node, params.min_info_gain)
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
 
+@dataclass
+class _Job:
+    """What a pass over the slices needs to know."""
 
-def _drawn_feature(key: str, features: int, subset: int, seed: int) -> str:
-    """Whether ``f`` is among the ``subset`` features with the lowest hashes at the node."""
+    features: int
+    max_bins: int
+    draws: _Draws | None  # of rows; the sums of cells have them
+    depth: int
+    trees: list[tuple[int, int]]
+    subset: int
+    seed: int
+    before: _Before | None
+    rule: _Rule
+
+    @property
+    def width(self) -> int:
+        return self.features * self.max_bins
+
+
+class _Slice:
+    """One row of a batch: the lists of its fields as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.lists = {}
+        for name, column in zip(batch.schema.names, batch.columns):
+            if pa.types.is_list(column.type):
+                self.lists[name] = (column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False))
+
+    def at(self, row: int, name: str) -> np.ndarray:
+        offsets, values = self.lists[name]
+        return values[offsets[row] : offsets[row + 1]]
+
+
+class _Trees:
+    """The trees of one key: splits sorted by tree and node, with the places of their children."""
+
+    def __init__(self, lists: _Slice, row: int):
+        tree, node = lists.at(row, "_m_tree").astype(np.int64), lists.at(row, "_m_node")
+        order = np.lexsort((node, tree))
+        f = lists.at(row, "_m_f").astype(float)  # null, NaN, for a leaf
+        self.code = ((tree << _NODE_BITS) | node)[order]
+        self.tree, self.node = tree[order], node[order]
+        self.f = np.where(np.isnan(f), -1, f).astype(np.int64)[order]
+        self.bin = np.nan_to_num(lists.at(row, "_m_bin").astype(float)).astype(np.int64)[order]
+        self.value, self.left, self.right = (
+            lists.at(row, f"_m_{name}").astype(float)[order] for name in ("value", "left", "right")
+        )
+        self.children = np.stack([self._find((self.tree << _NODE_BITS) | (2 * self.node + side)) for side in (1, 2)])
+
+    def _find(self, code: np.ndarray) -> np.ndarray:
+        if not len(self.code):
+            return np.full(len(code), -1)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[at] == code, at, -1)
+
+    def walk(self, bins: np.ndarray, trees: Sequence[int], steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per tree, the node of each record after so many splits, -1 if it met a leaf, and the mean there."""
+        shape = (len(trees), bins.shape[1])
+        if not len(self.code):
+            return np.full(shape, -1 if steps else 0), np.zeros(shape)
+        at = np.repeat(self._find(np.asarray(trees, np.int64) << _NODE_BITS)[:, None], shape[1], axis=1)
+        value, node = np.where(at >= 0, self.value[at], 0.0), np.zeros(shape, np.int64)
+        everyone = np.arange(shape[1])[None, :]
+        for _ in range(steps):
+            inside = (at >= 0) & (self.f[at] >= 0)
+            if not inside.any():
+                return np.full(shape, -1), value
+            right = bins[self.f[at], everyone] > self.bin[at]
+            value = np.where(inside, np.where(right, self.right[at], self.left[at]), value)
+            node = np.where(inside, 2 * node + 1 + right, -1)
+            at = np.where(inside, self.children[right.astype(np.int8), at], -1)
+        return node, value
+
+    def sum_of(self, bins: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+        """The weighted sum of the trees' means for each record."""
+        total = np.zeros(bins.shape[1])
+        together = max(1, _WALKED // max(1, bins.shape[1]))
+        for k in range(0, len(weights), together):
+            some = range(k, min(k + together, len(weights)))
+            total += np.asarray(weights[k : k + together]) @ self.walk(bins, some, _NODE_BITS)[1]
+        return total
+
+
+def _sums(job: _Job, lists: _Slice, row: int, sample: int, score: np.ndarray | None):
+    """Weight and sums of the labels, or of the negative gradient of the loss at the score."""
+    if job.draws:
+        label = lists.at(row, "_y")
+        n = np.where(lists.at(row, "_tn") > 0, 0.0, job.draws.counts(lists.at(row, "_id"), sample))
+        y, yy = n * label, n * label * label
+    else:
+        n, y, yy = (lists.at(row, f"{name}{sample}") for name in ("_n", "_y", "_yy"))
+    if score is not None:
+        if job.before.loss == "absolute":
+            y, yy = n * np.where(label < score, -1.0, 1.0), n
+        else:
+            y, yy = 2 * (y - n * score), 4 * (yy - 2 * score * y + n * score * score)
+    return n, y, yy
+
+
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """Scatter 64-bit numbers so that every bit depends on every other."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _drawn_features(job: _Job, hashed: int, tree: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Whether each feature is among the ``subset`` of lowest hashes at each node."""
+    salt = _scatter(np.array([hashed & (2**64 - 1), job.seed & (2**64 - 1)], np.uint64))
+    at = _scatter(((tree.astype(np.uint64) << np.uint64(_NODE_BITS)) | node.astype(np.uint64)) + salt[0] + salt[1])
+    chance = _scatter(at[:, None] + np.arange(1, job.features + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return chance.argsort(axis=1, kind="stable").argsort(axis=1) < job.subset
+
+
+def _histograms(job: _Job):
+    """Per slice, tree and growing node: its split if the slice is all of its key, else its histogram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, kept = _Slice(batch), []
+            hashes, rows, slices = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            size = 0
+            for row in range(batch.num_rows):
+                for found in _slice_histograms(job, lists, row, hashes[row]):
+                    kept.append((row, rows[row], slices[row] == 1, found))
+                    size += len(found.place)
+                if size > _JUDGED:
+                    yield _answer(job, batch, kept)
+                    kept, size = [], 0
+            if kept:
+                yield _answer(job, batch, kept)
+
+    return run
 
-    def chance(f: str) -> str:
-        return f"xxhash64({key}, tree, node, {f}, {seed})"
 
-    lower = " + ".join(f"int({chance(str(g))} < {chance('f')})" for g in range(features))
-    return f"{lower} < {subset}"
+@dataclass
+class _Found:
+    """Histograms of some nodes of one key: (node, place, sums) sorted by node and place.
 
+    A place is a bin of a feature: feature * max_bins + bin.
+    """
 
-def _best_splits(data: _Data, histogram: DataFrame, params) -> DataFrame:
-    """The nodes of a depth with their best allowed splits.
+    tree: np.ndarray  # per node
+    node: np.ndarray
+    owner: np.ndarray  # per place, which of the nodes
+    place: np.ndarray
+    sums: np.ndarray  # weight, labels and squares by place
+
+
+def _slice_histograms(job: _Job, lists: _Slice, row: int, hashed: int) -> Iterator[_Found]:
+    bins = np.stack([lists.at(row, f"_b{i}") for i in range(job.features)]).astype(np.int64)
+    grown = _Trees(lists, row)
+    score = grown.sum_of(bins, job.before.weights) if job.before and job.before.weights else None
+    together = max(1, _WALKED // max(1, bins.shape[1]))
+    for k in range(0, len(job.trees), together):
+        some = job.trees[k : k + together]
+        sums = np.stack([_sums(job, lists, row, sample, score) for _, sample in some])
+        nodes = grown.walk(bins, [tree for tree, _ in some], job.depth)[0]
+        which, record = np.nonzero((nodes >= 0) & (sums[:, 0] > 0))
+        tree = np.array([tree for tree, _ in some], np.int64)[which]
+        yield from _histogram(job, hashed, bins, tree, nodes[which, record], record, sums[which, :, record].T)
+
+
+def _histogram(job: _Job, hashed: int, bins, tree, node, record, sums) -> Iterator[_Found]:
+    if not len(node):
+        return
+    code, group = np.unique((tree << _NODE_BITS) | node, return_inverse=True)
+    tree, node = code >> _NODE_BITS, code & ((1 << _NODE_BITS) - 1)
+    chosen = _drawn_features(job, hashed, tree, node) if job.subset < job.features else None
+    at, which = [], []
+    for f in range(job.features):
+        here = np.arange(len(group)) if chosen is None else np.flatnonzero(chosen[group, f])
+        at.append(group[here] * job.width + f * job.max_bins + bins[f, record[here]])
+        which.append(here)
+    at, which = np.concatenate(at), np.concatenate(which)
+    if len(code) * job.width <= 4 * len(at):
+        totals = np.stack([np.bincount(at, weights=s[which], minlength=len(code) * job.width) for s in sums])
+        full = np.flatnonzero(totals[0] > 0)
+    else:
+        full, at = np.unique(at, return_inverse=True)
+        totals = np.stack([np.bincount(at, weights=s[which]) for s in sums])
+        yield _Found(tree, node, full // job.width, full % job.width, totals)
+        return
+    yield _Found(tree, node, full // job.width, full % job.width, totals[:, full])
+
+
+def _answer(job: _Job, batch: pa.RecordBatch, kept: list) -> pa.RecordBatch:
+    """Rows of nodes: the split of those that are whole, the histogram of the others."""
+    of_row, rows, whole, tree, node, counts = [], [], [], [], [], []
+    for row, train_rows, is_whole, found in kept:
+        n = len(found.node)
+        of_row.append(np.full(n, row))
+        rows.append(np.full(n, train_rows, np.int64))
+        whole.append(np.full(n, is_whole))
+        tree.append(found.tree)
+        node.append(found.node)
+        counts.append(np.bincount(found.owner, minlength=n))
+    of_row, rows, whole, tree, node, counts = map(np.concatenate, (of_row, rows, whole, tree, node, counts))
+    place = np.concatenate([found.place for *_, found in kept])
+    sums = np.concatenate([found.sums for *_, found in kept], axis=1)
+    owner = np.repeat(np.arange(len(node)), counts)
+    best = {name: np.full(len(node), np.nan) for name in ("value", "f", "bin", "left", "right")}
+    done = whole[owner]
+    judged = _best_splits(job, np.cumsum(whole)[owner[done]] - 1, place[done], sums[:, done], rows[whole])
+    for name, values in zip(best, judged):
+        best[name][whole] = values
+    lists = pa.array(np.concatenate(([0], np.cumsum(np.where(whole, 0, counts)))), pa.int32(), mask=np.append(whole, False))
+    left = ~done
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0).take(pa.array(of_row)), pa.array(tree, pa.int32()), pa.array(node, pa.int64()),
+            *_best_columns(best), pa.array(rows),
+            pa.ListArray.from_arrays(lists, pa.array(place[left], pa.int32())),
+            *(pa.ListArray.from_arrays(lists, pa.array(s[left])) for s in sums),
+        ],
+        names=[batch.schema.names[0], "tree", "node", *best, "_rows", "place", "n", "y", "yy"],
+    )
+
+
+def _best_columns(best: dict[str, np.ndarray]) -> list[pa.Array]:
+    """The found values; NaN becomes null."""
+    kinds = {"f": pa.int32(), "bin": pa.int32()}
+    return [
+        pa.array(values, from_pandas=True).cast(kinds.get(name, pa.float64())) for name, values in best.items()
+    ]
 
-    A node's histogram has at most features times bins rows, whatever the number of rows behind
-    it.
-    """
-    key = data.key
-    named = _quoted(key)
 
-    def spread(n: str, y: str, yy: str) -> str:
-        """Sum of squared distances from the mean; 0 for no rows."""
-        return f"greatest({yy} - coalesce(({y}) * ({y}) / nullif({n}, 0), 0), 0)"
-
-    by_feature = f"partition by {named}, tree, node, f"
-    up_to = f"{by_feature} order by bin rows between unbounded preceding and current row"
-    # one partitioning by node serves every step below
-    sums = histogram.repartition(key, "tree", "node").selectExpr(
-        "*",
-        *(f"sum({name}) over ({up_to}) as l{name}" for name in ("n", "y", "yy")),
-        *(f"sum({name}) over ({by_feature}) as t{name}" for name in ("n", "y", "yy")),
-    )
-    gain = (
-        f"({spread('tn', 'ty', 'tyy')} - {spread('ln', 'ly', 'lyy')}"
-        f" - {spread('tn - ln', 'ty - ly', 'tyy - lyy')}) / tn"
-    )
-    fewest = (
-        f"greatest({float(params.min_instances_per_node)}, "
-        f"{params.min_weight_fraction_per_node} * _rows)"
-    )
-    # a gain that is only rounding does not split
-    allowed = (
-        f"tn > ln and ln >= {fewest} and tn - ln >= {fewest}"
-        f" and gain > 1e-12 * tyy / tn and gain >= {params.min_info_gain}"
-    )
-    choice = (
-        "named_struct('gain', gain, 'minus_f', -f, 'minus_bin', -bin, 'left', ly / ln,"
-        " 'right', (ty - ly) / nullif(tn - ln, 0))"
-    )
-    return (
-        sums.selectExpr("*", f"{gain} as gain")
-        .groupBy(key, "tree", "node")
-        .agg(F.expr(f"max(if({allowed}, {choice}, null)) as c"), F.expr("max(ty / tn) as value"))
-        .selectExpr(
-            named,
-            "tree",
-            "node",
-            "value",
-            "-c.minus_f as f",
-            "-c.minus_bin as bin",
-            "c.left as left",
-            "c.right as right",
-        )
-    )
+def _best_splits(job: _Job, owner: np.ndarray, place: np.ndarray, sums: np.ndarray, rows: np.ndarray):
+    """Mean, feature, bin and the children's means of the best allowed split of each node.
 
+    ``owner`` says which of the ``len(rows)`` nodes a place belongs to, ascending; feature and
+    bin are NaN where no split is allowed.  Among equal gains the first feature and bin are taken.
+    """
+    answers = [np.full(len(rows), np.nan) for _ in range(5)]
+    step = max(1, _JUDGED // job.width)
+    edges = np.searchsorted(owner, np.arange(0, len(rows) + step, step))
+    for k, start in enumerate(range(0, len(rows), step)):
+        part = slice(edges[k], edges[k + 1])
+        n = min(step, len(rows) - start)
+        dense = np.zeros((3, n * job.width))
+        np.add.at(dense, (slice(None), (owner[part] - start) * job.width + place[part]), sums[:, part])
+        found = _judge(job.rule, dense.reshape(3, n, job.features, job.max_bins), rows[start : start + n])
+        for answer, values in zip(answers, found):
+            answer[start : start + n] = values
+    return answers
+
+
+def _spread(n: np.ndarray, y: np.ndarray, yy: np.ndarray) -> np.ndarray:
+    """Sum of squared distances from the mean; 0 for no rows."""
+    return np.maximum(yy - np.divide(y * y, n, out=np.zeros_like(y), where=n > 0), 0.0)
+
+
+def _judge(rule: _Rule, dense: np.ndarray, rows: np.ndarray):
+    below = dense.cumsum(axis=3)
+    total = below[..., -1:]
+    above = total - below
+    n = total[0]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        gain = (_spread(*total) - _spread(*below) - _spread(*above)) / n
+        least = np.maximum(rule.instances, rule.fraction * rows)[:, None, None]
+        # a gain that is only rounding does not split
+        allowed = (
+            (n > below[0]) & (below[0] >= least) & (above[0] >= least)
+            & (gain > 1e-12 * total[2] / n) & (gain >= rule.gain)
+        )
+        value = np.nanmax(np.where(n > 0, total[1] / n, np.nan)[..., 0], axis=1, initial=-np.inf)
+        flat = np.where(allowed, gain, -np.inf).reshape(len(rows), -1)
+        best = flat.argmax(axis=1)
+        one = np.arange(len(rows))
+        some = flat[one, best] > -np.inf
+        f, at = np.divmod(best, dense.shape[3])
+        left = below[1][one, f, at] / below[0][one, f, at]
+        right = above[1][one, f, at] / above[0][one, f, at]
+    none = lambda values: np.where(some, values, np.nan)
+    return value, none(f), none(at), none(left), none(right)
+
+
+def _add_up(job: _Job):
+    """Splits of the nodes whose histograms come in parts, sorted by key, tree and node."""
+
+    def merged(held: list) -> list:
+        """One histogram in place of several of one node."""
+        place = np.concatenate([h[0] for h in held])
+        sums = np.concatenate([h[1] for h in held], axis=1)
+        places, at = np.unique(place, return_inverse=True)
+        return [(places, np.stack([np.bincount(at, weights=s) for s in sums]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_rows, held = None, 0, []
+        names = kinds = None
+
+        def rows_of(ready: list) -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(ready)), [len(place) for _, _, place, _ in ready])
+            place = np.concatenate([place for _, _, place, _ in ready])
+            sums = np.concatenate([s for *_, s in ready], axis=1)
+            best = _best_splits(job, owner, place, sums, np.array([n for _, n, _, _ in ready]))
+            columns = dict(zip(("value", "f", "bin", "left", "right"), best))
+            ids = [pa.array([node[k] for node, *_ in ready], kind) for k, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*ids, *_best_columns(columns)], names=[*names, *columns])
+
+        ready: list = []
+        for batch in batches:
+            names, kinds = batch.schema.names[:3], [batch.column(k).type for k in range(3)]
+            lists = _Slice(batch)
+            ids = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            rows = batch.column(3).to_pylist()
+            for row, node in enumerate(ids):
+                if node != last and held:
+                    ready.append((last, last_rows, *merged(held)[0]))
+                    held = []
+                    if len(ready) * job.width > _JUDGED:
+                        yield rows_of(ready)
+                        ready = []
+                last, last_rows = node, rows[row]
+                held.append((lists.at(row, "place"), np.stack([lists.at(row, name) for name in ("n", "y", "yy")])))
+                if len(held) >= 64:
+                    held = merged(held)
+        if held:
+            ready.append((last, last_rows, *merged(held)[0]))
+        if ready:
+            yield rows_of(ready)
+
+    return run
 
-# --- predicting -----------------------------------------------------------------------------
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _predicted(data: _Data, cells: DataFrame, levels: list[_Level], trees: int) -> DataFrame:
-    """The cells once per tree, with the tree's prediction ``_value``."""
-    key, columns = data.key, [_quoted(name) for name in cells.columns]
-    found = cells.selectExpr(
-        *columns,
-        f"explode(sequence(0, {trees - 1})) as tree",
-        "bigint(0) as node",
-        "double(0) as _value",
-    )
-    reached = f"if(f is not null, if({_RIGHT}, right, left), null)"
-    for depth, level in enumerate(levels):
-        nodes = level.nodes if depth == 0 else level.nodes.filter("f is not null")
-        stay = "coalesce(value, _value)" if depth == 0 else "_value"
-        found = found.join(small(nodes, level.count, 8), [key, "tree", "node"], "left").selectExpr(
-            *columns,
-            "tree",
-            f"if(f is not null, {_CHILD}, null) as node",
-            f"coalesce({reached}, {stay}) as _value",
-        )
-    return found.drop("tree", "node")
+# --- predicting -----------------------------------------------------------------------------
 
 
-def _test_metrics(data: _Data, cells: DataFrame) -> DataFrame:
-    """Test rmse and r2 of every key from the test sums and predictions ``_f``, ``_n`` rows each."""
-    sums = cells.groupBy(data.key).agg(
-        F.expr("sum(_n) as n"),
-        F.expr("sum(_n / _tn * _ty) as y"),
-        F.expr("sum(_n / _tn * _tyy) as yy"),
-        F.expr("sum(_n / _tn * (_tyy - 2 * _f * _ty + _tn * _f * _f)) as sse"),
+def _test_errors(features: int, is_rows: bool, weights: Sequence[float]):
+    """Sums over the test records of each slice: number, labels, squares and squared errors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, found = _Slice(batch), []
+            for row in range(batch.num_rows):
+                n = lists.at(row, "_tn").astype(float)
+                test = np.flatnonzero(n > 0)
+                bins = np.stack([lists.at(row, f"_b{i}") for i in range(features)])[:, test].astype(np.int64)
+                f, n = _Trees(lists, row).sum_of(bins, weights), n[test]
+                if is_rows:
+                    y = lists.at(row, "_y")[test]
+                    yy = y * y
+                else:
+                    y, yy = (lists.at(row, name)[test] for name in ("_ty", "_tyy"))
+                found.append([n.sum(), y.sum(), yy.sum(), (yy - 2 * f * y + n * f * f).sum()])
+            sums = np.array(found, float).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *map(pa.array, sums.copy())], names=[batch.schema.names[0], "n", "y", "yy", "sse"]
+            )
+
+    return run
+
+
+def _test_metrics(data: _Data, weights: Sequence[float]) -> DataFrame:
+    """Test rmse and r2 of every key, from the weighted sum of its trees."""
+    kind = data.slices.schema[data.key].dataType.simpleString()
+    fields = [*(f"_b{i}" for i in range(data.features)), "_tn", *(["_y"] if data.is_rows else ["_ty", "_tyy"])]
+    errors = data.with_trees(fields).mapInArrow(
+        _test_errors(data.features, data.is_rows, list(weights)),
+        f"{_quoted(data.key)} {kind}, n double, y double, yy double, sse double",
     )
+    sums = errors.groupBy(data.key).agg(*(F.sum(name).alias(name) for name in ("n", "y", "yy", "sse")))
     sums = data.keys.join(sums, data.key, "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
     n, y, yy = F.col("n"), F.col("y"), F.col("yy")
     sse = F.greatest(F.col("sse"), F.lit(0.0))

@@ -33,10 +33,74 @@ def test_draws_are_uniform_and_poisson_counts_whole(spark):
     drawn = spark.range(40_000).select(trees._uniform("id", 7).alias("u"))
     low, high, mean = drawn.selectExpr("min(u)", "max(u)", "avg(u)").first()
     assert 0 <= low < 0.001 and 0.999 < high < 1 and abs(mean - 0.5) < 0.01
-    top = spark.sql(f"select {trees._draw(repr(1 - 2.0**-53) + 'D', 1.0, True)} as n").first()["n"]
+    draws = trees._Draws(1.0, True, 7)
+    top = spark.sql(f"select {draws.sql(repr(1 - 2.0**-53) + 'D')} as n").first()["n"]
     assert top > 14 and sum(math.exp(-1) / math.factorial(k) for k in range(top + 1)) == pytest.approx(1, abs=1e-15)
 
 
+@pytest.mark.parametrize("rate, poisson", [(0.9, True), (1.0, True), (0.3, False), (1.0, False)])
+def test_rows_and_cells_draw_alike(spark, rate, poisson):
+    draws = trees._Draws(rate, poisson, -5)
+    ids = spark.range(3000).selectExpr("xxhash64(id) as id").withColumn("u", trees._uniform("id", -5 + 3))
+    rows = ids.selectExpr("id", f"{draws.sql('u')} as n").collect()
+    mine = draws.counts(np.array([r["id"] for r in rows]), 3)
+    assert mine.tolist() == [float(r["n"]) for r in rows]
+
+
+def test_one_join_per_depth(spark, monkeypatch):
+    """Depth 8, whose last pass joins the slices with the trees once, and reads each once."""
+    plans = []
+    real = trees._Data.with_trees
+
+    def seen(self, fields):
+        found = real(self, fields)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(trees._Data, "with_trees", seen)
+    rng = np.random.default_rng(2)
+    rows = [("k", i, float(rng.normal()), float(rng.normal())) for i in range(2000)]
+    df = spark.createDataFrame(rows, "key string, id long, x double, y double")
+    params = ForestParams(num_trees=2, max_depth=8)
+    trees.random_forest(df, "key", ["x"], "y", params, id_cols=["id"]).collect()
+    assert len(plans) == 9 and all(plan.count("Join") == (k > 0) for k, plan in enumerate(plans))
+
+
+def test_hot_key_in_many_slices(spark, monkeypatch):
+    """The same trees whether a key is one slice or many."""
+    rng = np.random.default_rng(3)
+    rows = [(k, i, float(rng.integers(0, 9)), float(rng.integers(0, 7)), float(rng.normal())) for k in ("hot", "a") for i in range(900 if k == "hot" else 60)]
+    df = spark.createDataFrame(rows, "key string, id long, x double, z double, y double")
+    params = ForestParams(num_trees=4, max_depth=4, subsampling_rate=0.8, feature_subset_strategy="1")
+
+    def answers():
+        got = trees.random_forest(df, "key", ["x", "z"], "y", params, id_cols=["key", "id"]).collect()
+        return {r["key"]: (r["rmse"], r["r2"]) for r in got}
+
+    monkeypatch.setattr(trees, "_FEWER", 100)
+    whole = answers()
+    monkeypatch.setattr(trees, "_SLICE_RECORDS", 50)
+    sliced = answers()
+    monkeypatch.setattr(trees, "_FEWER", 0)
+    cells = answers()
+    for key in whole:
+        assert sliced[key] == pytest.approx(whole[key], rel=1e-9)
+        assert cells[key] == pytest.approx(whole[key], rel=1e-9)
+
+
+def test_answers_in_request_order(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(rng.normal()), float(rng.normal())) for k in "abc" for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, id long, x double, y double")
+    params = ForestParams(num_trees=2, max_depth=2)
+    got = trees.random_forest(df, "key", ["x"], "y", params, keys=["c", "nosuch", "a", "c"], id_cols=["id"])
+    found = {r["req_ord"]: r["key"] for r in got.collect()}
+    assert found == {0: "c", 2: "a", 3: "c"} and got.columns[0] == "req_ord"
+    many = ["c", *[f"no{i}" for i in range(100_000)], "a"]
+    found = {r["req_ord"]: r["key"] for r in trees.random_forest(df, "key", ["x"], "y", params, keys=many, id_cols=["id"]).collect()}
+    assert found == {0: "c", 100_001: "a"}
+
+
 def test_keys_that_do_not_settle_are_an_error():
     near = 1 - 1e-9
     with pytest.raises(ValueError, match="settle"):
