@@ -49,9 +49,9 @@ def _fit(df: DataFrame, key: str, features: Sequence[str], k: int, estimator):
 
 
 def kmeans(
-    df: DataFrame, key: str, features: Sequence[str], k: int, max_iter: int = 20, seed: int = 1
+    df: DataFrame, key: str, features: Sequence[str], k: int, max_iter: int = 20, seed: int = 1, tol: float = 1e-4
 ) -> Clustering:
-    data, model = _fit(df, key, features, k, KMeans(k=k, maxIter=max_iter, seed=seed))
+    data, model = _fit(df, key, features, k, KMeans(k=k, maxIter=max_iter, seed=seed, tol=tol))
     return Clustering(model.transform(data).select(key, "prediction"), model)
 
 

@@ -29,6 +29,20 @@ def latest_per_key(df: DataFrame, key: str, order_by: Sequence[str | Column]) ->
     )
 
 
+def last_per_key(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
+    """The last row of each key by ``order_by``, and of equal ones by a hash; all rows without a key.
+
+    One aggregation whose partial maxima leave a row per key and map task before the shuffle.
+    """
+    require_columns(df, key, *order_by)
+    others = [name for name in df.columns if name != key]
+    keyed = df.filter(F.col(key).isNotNull())
+    order = F.struct(*(F.col(name) for name in order_by), F.xxhash64(*others) if others else F.lit(0))
+    last = keyed.groupBy(key).agg(F.max_by(F.struct(F.lit(0).alias("_one"), *others), order).alias("_last"))
+    last = last.select(*(key if name == key else F.col(f"_last.`{name}`").alias(name) for name in df.columns))
+    return last.unionByName(df.filter(F.col(key).isNull()))
+
+
 def _descending(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).desc_nulls_last()
 
@@ -45,9 +59,15 @@ def with_surrogate_key(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def merge_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def merge_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", order_by: Sequence[str] | None = None
+) -> DataFrame:
     """Equi-join on the key with merged fields; the left value wins where names are equal.
 
+    With ``order_by``, columns of both sides, each side is first reduced to the last row of every
+    key, so that a key repeated on both sides is joined once and not once for each pair.  Without
+    it the caller vouches for one row per key.
+
     In right and outer joins the right value is taken only where no left row matched, so a null
     of a matching left row stays.  Rows without a key match nothing.  They bypass the join, so
     they cannot pile up in one partition; the null test is pushed to the scan.
@@ -56,6 +76,8 @@ def merge_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
         raise ValueError(f"unknown join {how!r}; use one of {_HOW}")
     require_columns(left, key)
     require_columns(right, key)
+    if order_by is not None:
+        left, right = last_per_key(left, key, order_by), last_per_key(right, key, order_by)
     shared = [name for name in right.columns if name in left.columns and name != key]
     added = [name for name in right.columns if name not in left.columns]
     has_key = F.col(key).isNotNull()

@@ -95,6 +95,20 @@ select * from (values (0, 'click'), (1, 'view'), (2, 'nosuch'), (3, 'click')) as
 _IN_RANGE = "formatted_date between date '2024-01-05' and date '2024-01-20'"
 
 
+_UNROUNDED_TRACT = f"""
+select gisjoin,
+       (total_population - min(total_population) over ())
+         / cast(max(total_population) over () - min(total_population) over () as double) as x0,
+       (household_income - min(household_income) over ())
+         / (max(household_income) over () - min(household_income) over ()) as x1
+from ({_TRACT})
+"""
+
+_SCALED_TRACT = f"select gisjoin, round(x0, 6) as x0, round(x1, 6) as x1 from ({_UNROUNDED_TRACT})"
+
+_REQUESTED_FITS = "(values (0, 'S3'), (2, 'S1'), (3, 'S3'), (4, 'S2')) as q(req_ord, k)"
+
+
 def _moving_average(frame: str) -> str:
     return f"""
 select gisjoin, formatted_date, round(a, 6) as avg, 7 as num_days, start_date from (
@@ -409,4 +423,42 @@ ORACLES = {
         from b join (values (0, '5-LOW'), (1, '1-URGENT'), (3, '2-HIGH'), (4, '3-MEDIUM'),
                             (5, '4-NOT SPECIFIED'), (6, '5-LOW')) as q(req_ord, p)
           on p = o_orderpriority""",
+    # what holds of any clustering: the scaled areas, each of them checked
+    "kmeans_nearest": f"select *, true as nearest from ({_SCALED_TRACT})",
+    "bisecting_kmeans_walk": f"select *, true as agrees from ({_SCALED_TRACT})",
+    "gaussian_mixture_likeliest": f"select *, true as likeliest from ({_SCALED_TRACT})",
+    "lda_inferred": f"select *, true as agrees from ({_SCALED_TRACT})",
+    "kmeans_centres": f"""
+        with s as (select * from ({_UNROUNDED_TRACT}))
+        select cast(c as int) as component, cast(i as int) as i, true as is_mean, true as has_members,
+               (select count(*) from s) as members,
+               round(if(i = 0, (select avg(x0) from s), (select avg(x1) from s)), 6) as overall_mean
+        from range(10) a(c), range(2) b(i)""",
+    "bisecting_kmeans_tree": f"""
+        select cast(10 as int) as leaves, cast(9 as int) as splits, true as splits_are_whole,
+               count(*) as members from ({_TRACT})""",
+    "gaussian_mixture_step": """
+        select cast(c as int) as component, true as stays, 1.0::double as weights,
+               1.0::double as next_weights from range(3) a(c)""",
+    "lda_bounds": """
+        select cast(c as int) as component, cast(i as int) as i, true as positive,
+               true as bounds_agree, 1.0::double as shares from range(3) a(c), range(2) b(i)""",
+    "compound_latest": """
+        with e as (select *, value >= 50 as large from events),
+        last as (
+          select *, row_number() over (partition by user_id, large order by event_id desc) as n from e
+        ), l as (select * from last where n = 1 and large), r as (select * from last where n = 1 and not large)
+        select concat('U', coalesce(l.user_id, r.user_id)) as gisjoin,
+               if(l.event_id is not null, l.event_id, r.event_id) as event_id, l.value, r.event_type
+        from l full join r on l.user_id = r.user_id""",
+    "requested_fits": f"""
+        with m as (
+          select gis_join, regr_slope(net_price, gross_price) as slope,
+                 regr_intercept(net_price, gross_price) as intercept from ({_READINGS}) group by 1
+        )
+        select q.req_ord, gis_join, round(intercept, 6) as intercept, round(slope, 6) as slope
+        from m join {_REQUESTED_FITS} on k = gis_join""",
+    "requested_trees": f"""
+        select q.req_ord, t.* from ({_trees(rounds=1, step=1.0, depth=2, fewest=5)}) t
+        join {_REQUESTED_FITS} on k = gis_join""",
 }

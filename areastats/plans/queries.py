@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import array_mean, elem, has_json_key, int_range, json_key, parse_day, slice0
-from ..operators import clustering, features, joins, linear, metrics, rows, series, trees
+from ..operators import certificates, clustering, features, joins, linear, metrics, rows, series, trees
 from ..operators.params import BoostParams, ForestParams, LinearParams
 from ..operators.per_key import per_key
 from ..sources import Resolution, count_tables, load, load_resolution, to_documents
+from ..scale import Scratch
 from . import frames, pipeline
 
 # fixed values: the collections of the test data in their usual order
@@ -547,6 +548,91 @@ def model_summary_lda(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.model_summary(model, data)
 
 
+def _checked(fit, check, k: int = 10, **options):
+    """A check of a clustering per area, beside the scaled features it was fitted on."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        stats = frames.tract_stats(spark, sf)
+        data = features.clustering_features(stats, "gisjoin", STAT_FEATURES)
+        checked = check(data, "gisjoin", fit(stats, "gisjoin", STAT_FEATURES, k, **options).model)
+        scaled = [_r(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(len(STAT_FEATURES))]
+        return checked.select("gisjoin", *scaled, checked.columns[-1])
+
+    return query
+
+
+def kmeans_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """Every centre is the mean of its members, and every area is a member once."""
+    stats = frames.tract_stats(spark, sf)
+    data = features.clustering_features(stats, "gisjoin", STAT_FEATURES)
+    model = clustering.kmeans(stats, "gisjoin", STAT_FEATURES, 10, max_iter=500, tol=1e-9).model
+    centres = certificates.centres_of_members(data, model)
+    total = centres.groupBy("i").agg(
+        F.sum("size").alias("members"), _r(F.sum(F.col("size") * F.col("centre")) / F.sum("size")).alias("overall_mean")
+    )
+    return centres.join(total, "i").select(
+        "component", "i", "is_mean", (F.col("size") > 0).alias("has_members"), "members", "overall_mean"
+    )
+
+
+def bisecting_kmeans_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves and sizes of the split tree: every split hands on all members of its node."""
+    stats = frames.tract_stats(spark, sf)
+    model = clustering.bisecting_kmeans(stats, "gisjoin", STAT_FEATURES, 10).model
+    nodes = certificates.split_tree(model, Scratch(spark))
+    sizes = {n["index"]: n["size"] for n in nodes}
+    splits = [n for n in nodes if n["children"]]
+    whole = all(n["size"] == sum(sizes[c] for c in n["children"]) for n in splits)
+    rows = [(len(nodes) - len(splits), len(splits), whole, int(max(sizes.values())))]
+    return spark.createDataFrame(rows, "leaves int, splits int, splits_are_whole boolean, members long")
+
+
+def gaussian_mixture_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One more step leaves a settled mixture where it is."""
+    stats = frames.tract_stats(spark, sf)
+    data = features.clustering_features(stats, "gisjoin", STAT_FEATURES)
+    model = clustering.gaussian_mixture(stats, "gisjoin", STAT_FEATURES, 3).model
+    step = certificates.mixture_step(data, model, "gisjoin", settled=0.01)
+    total = step.agg(_r(F.sum("weight")).alias("weights"), _r(F.sum("next_weight")).alias("next_weights"))
+    return step.join(F.broadcast(total)).select("component", "stays", "weights", "next_weights")  # one row
+
+
+def lda_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    stats = frames.tract_stats(spark, sf)
+    data = features.clustering_features(stats, "gisjoin", STAT_FEATURES)
+    model = clustering.lda(stats, "gisjoin", STAT_FEATURES, 3).model
+    bounds = certificates.topic_bounds(data, model)
+    total = bounds.groupBy("component").agg(_r(F.sum("share")).alias("shares"))
+    return bounds.join(total, "component").select("component", "i", "positive", "bounds_agree", "shares")
+
+
+def compound_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw events on both sides: the last large and the last small one of each user."""
+    events = load(spark, sf, "events").withColumn("gisjoin", F.concat(F.lit("U"), "user_id"))
+    large = events.filter("value >= 50").select("gisjoin", "event_id", "value")
+    rest = events.filter("value < 50").select("gisjoin", "event_id", "event_type")
+    return joins.merge_join(large, rest, "gisjoin", "outer", order_by=["event_id"])
+
+
+def requested_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """A grouped regression answered in request order, a repeated key again, unknown ones skipped."""
+    fitted = linear.linear_regression(
+        frames.readings(spark, sf), "gis_join", ["gross_price"], "net_price", LinearParams(reg_param=0.0),
+        keys=["S3", "nosuch", "S1", "S3", "S2"],
+    )
+    return fitted.select(
+        "req_ord", "gis_join", _r("intercept").alias("intercept"), _r(F.get("slopes", F.lit(0))).alias("slope")
+    )
+
+
+def requested_trees(spark: SparkSession, sf: str) -> DataFrame:
+    answered = trees.random_forest(
+        frames.readings(spark, sf), "gis_join", PLAIN_FEATURES, "net_price", PLAIN_TREE,
+        keys=["S3", "nosuch", "S1", "S3", "S2"], id_cols=["l_orderkey", "l_linenumber"],
+    )
+    return _rounded_metrics(answered)
+
+
 QUERIES = {
     "loaded_collection": loaded_collection,
     "collection_counts": collection_counts,
@@ -612,4 +698,15 @@ QUERIES = {
     "model_summary": model_summary,
     "model_summary_mixture": model_summary_mixture,
     "model_summary_lda": model_summary_lda,
+    "kmeans_nearest": _checked(clustering.kmeans, certificates.nearest_centres, max_iter=100),
+    "kmeans_centres": kmeans_centres,
+    "bisecting_kmeans_walk": _checked(clustering.bisecting_kmeans, certificates.walked_tree),
+    "bisecting_kmeans_tree": bisecting_kmeans_tree,
+    "gaussian_mixture_likeliest": _checked(clustering.gaussian_mixture, certificates.likeliest_components, k=3),
+    "gaussian_mixture_step": gaussian_mixture_step,
+    "lda_inferred": _checked(clustering.lda, certificates.inferred_topics, k=3),
+    "lda_bounds": lda_bounds,
+    "compound_latest": compound_latest,
+    "requested_fits": requested_fits,
+    "requested_trees": requested_trees,
 }

@@ -67,3 +67,23 @@ def test_compound(spark, sides):
     kept = joins.compound((left, "outer", right), "k")
     keys = [r["k"] for r in kept.collect()]
     assert len(keys) == len(set(keys)) == 5 and sum(k.startswith("~") for k in keys) == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_repeated_keys_are_joined_once(spark, how):
+    left = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n"), (None, 1, "n")], "k string, t int, l string")
+    right = spark.createDataFrame([("a", 5, "p"), ("a", 4, "q"), ("c", 1, "r"), (None, 1, "m")], "k string, t int, r string")
+    found = joins.merge_join(left, right, "k", how, order_by=["t"]).collect()
+    rows = sorted((tuple(x) for x in found), key=str)
+    want = [("a", 3, None, "p")]
+    if how in ("left", "outer"):
+        want += [("b", 1, "z", None), (None, 1, "n", None), (None, 1, "n", None)]
+    if how in ("right", "outer"):
+        want += [("c", 1, None, "r"), (None, 1, None, "m")]
+    assert rows == sorted(want, key=str)
+
+
+def test_a_hot_key_on_both_sides_is_one_row(spark):
+    left = spark.range(20_000).selectExpr("'k' as k", "id as t")
+    right = spark.range(20_000).selectExpr("'k' as k", "id as t", "id as v")
+    assert [tuple(r) for r in joins.merge_join(left, right, "k", order_by=["t"]).collect()] == [("k", 19_999, 19_999)]
