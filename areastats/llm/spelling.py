@@ -24,13 +24,13 @@ from .tables import id_and_text
 LETTERS = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sets of letters that blocks count apart; every other letter is in the last, uncounted set.
-SETS = ("aeiou", "lmnr", "bcdpst")
+SETS = ("aeiou", "lmnr", "bcdpst", "fghvwy")
 #: Words of a tile and letters of a tile, at most (a longer word is a tile of its own).
-TILE_WORDS, TILE_LETTERS = 1024, 1 << 20
+TILE_WORDS, TILE_LETTERS = 1024, 1 << 17
 #: Letter count products of a task, at least where there are several tasks.
 TASK_PRODUCTS = 2_000_000_000
 #: Letters of pairs that are compared at once.
-COMPARED_LETTERS = 1 << 22
+COMPARED_LETTERS = 1 << 19
 
 
 def letter_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,30 +93,34 @@ def _tile_pairs(pairs: DataFrame) -> DataFrame:
     return one.select("a", "tile_a", "b", F.explode(F.sequence(first, F.col("tiles_b") - 1)).alias("tile_b"))
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+def _codes(joined: str, words: int) -> np.ndarray:
+    """Letters of words of one length that lie one after the other, a row for each."""
+    return np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(words, -1 if joined else 0)
 
 
 def _letter_counts(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     m, length = codes.shape
     letters = np.searchsorted(alphabet, codes)
-    flat = np.bincount((np.arange(m)[:, None] * len(alphabet) + letters).ravel(), minlength=m * len(alphabet))
+    letters += np.arange(0, m * len(alphabet), len(alphabet))[:, None]
+    flat = np.bincount(letters.ravel(), minlength=m * len(alphabet))
     # all squares of distances are whole numbers that the type holds exactly
     return flat.reshape(m, len(alphabet)).astype(np.float32 if length <= 1000 else np.float64)
 
 
-def near_pairs(a: list[str], b: list[str], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words of ``a`` and ``b`` that differ by one edit.
+def near_pairs(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of ``x`` and ``y`` that differ by one edit.
 
-    All words of a list have one length; those of ``b`` are as long or one longer.  ``same`` says
-    that both are one list; each pair is then given once.
+    Words are rows of letters; those of ``y`` are as long or one longer.  ``same`` says that both
+    are one table; each pair is then given once.
     """
-    x, y = _codes(a), _codes(b)
     alphabet = np.union1d(x, y)
     if not len(alphabet):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     p, q = _letter_counts(x, alphabet), _letter_counts(y, alphabet)
-    squares = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (p @ q.T)
+    squares = p @ q.T
+    squares *= -2
+    squares += (p * p).sum(axis=1)[:, None]
+    squares += (q * q).sum(axis=1)[None, :]
     i, j = np.nonzero(squares <= 2)
     if same:
         i, j = i[i < j], j[i < j]
@@ -128,26 +132,30 @@ def near_pairs(a: list[str], b: list[str], same: bool) -> tuple[np.ndarray, np.n
         if v.shape[1] == length:
             kept[k : k + step] = (u != v).sum(axis=1) == 1
         else:
-            start = np.cumprod(u == v[:, :-1], axis=1).sum(axis=1)  # letters before the inserted one
+            start = np.logical_and.accumulate(u == v[:, :-1], axis=1).sum(axis=1)  # letters before the inserted one
             kept[k : k + step] = ((u == v[:, 1:]) | (np.arange(length) < start[:, None])).all(axis=1)
     return i[kept], j[kept]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near words, in both directions, of the pairs of tiles in the batches."""
-    names = ["word", "near", "near_n"]
     for batch in batches:
-        for row in range(batch.num_rows):
-            same, left, right = (batch.column(k)[row] for k in range(3))
-            words = [side.values.field("word") for side in (left, right)]
-            counts = [side.values.field("n") for side in (left, right)]
-            i, j = near_pairs(*[w.to_pylist() for w in words], same.as_py())
-            if len(i):
-                i, j = pa.array(i), pa.array(j)
-                for one, other in (((0, i), (1, j)), ((1, j), (0, i))):
-                    yield pa.RecordBatch.from_arrays(
-                        [words[one[0]].take(one[1]), words[other[0]].take(other[1]), counts[other[0]].take(other[1])], names=names
-                    )
+        sames = batch.column(0).to_pylist()
+        texts = [batch.column(k).to_pylist() for k in (1, 3)]
+        found: list[list] = [[], [], []]
+        for row, same in enumerate(sames):
+            counts = [batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in (2, 4)]
+            codes = [_codes(texts[k][row], len(counts[k])) for k in (0, 1)]
+            pairs = near_pairs(*codes, same)
+            words = [
+                [texts[k][row][at * length : (at + 1) * length] for at in pairs[k].tolist()]
+                for k, length in enumerate(c.shape[1] for c in codes)
+            ]
+            found[0] += words[0] + words[1]
+            found[1] += words[1] + words[0]
+            found[2] += counts[1][pairs[1]].tolist() + counts[0][pairs[0]].tolist()
+        kinds = (pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(f, k) for f, k in zip(found, kinds)], names=["word", "near", "near_n"])
 
 
 def near_words(counted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -161,10 +169,21 @@ def near_words(counted: DataFrame, scratch: Scratch) -> DataFrame:
     blocks = scratch.write(sizes.withColumn("tiles", F.ceil(F.col("words") / room).cast("int")))
     tiled = blocked.join(blocks.select("block", "tiles"), "block").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
     tiles = scratch.write(
-        tiled.groupBy("block", "tile").agg(
-            F.collect_list(F.struct("word", "n")).alias("words"), F.count(F.lit(1)).alias("size")
+        tiled.groupBy("block", "tile")
+        .agg(F.collect_list(F.struct("word", "n")).alias("words"))
+        # words of one length need no marks between them
+        .select(
+            "block", "tile", F.size("words").cast("long").alias("size"),
+            F.array_join("words.word", "").alias("letters"), F.col("words.n").alias("counts"),
         )
     )
+
+    def side(name: str, letters: str) -> DataFrame:
+        return tiles.select(
+            F.col("block").alias(name), F.col("tile").alias(f"tile_{name}"), F.col("letters").alias(letters),
+            F.col("counts").alias(f"n_{letters}"),
+        )
+
     pairs = _tile_pairs(_block_pairs(blocks))
     light = tiles.select("block", "tile", "size")
     weight = pairs.join(light.toDF("a", "tile_a", "size_a"), ["a", "tile_a"]).join(light.toDF("b", "tile_b", "size_b"), ["b", "tile_b"])
@@ -175,10 +194,10 @@ def near_words(counted: DataFrame, scratch: Scratch) -> DataFrame:
     cores = counted.sparkSession.sparkContext.defaultParallelism
     tasks = max(cores, -(-(products or 0) // TASK_PRODUCTS))
     joined = (
-        pairs.join(tiles.select(F.col("block").alias("a"), F.col("tile").alias("tile_a"), F.col("words").alias("left")), ["a", "tile_a"])
-        .join(tiles.select(F.col("block").alias("b"), F.col("tile").alias("tile_b"), F.col("words").alias("right")), ["b", "tile_b"])
+        pairs.join(side("a", "left"), ["a", "tile_a"])
+        .join(side("b", "right"), ["b", "tile_b"])
         .repartition(tasks, "a", "tile_a", "b", "tile_b")
-        .select(F.expr("a = b and tile_a = tile_b").alias("same"), "left", "right")
+        .select(F.expr("a = b and tile_a = tile_b").alias("same"), "left", "n_left", "right", "n_right")
     )
     found = scratch.write(joined.mapInArrow(_compare, "word string, near string, near_n long"))
     scratch.drop(blocked, blocks, tiles, pairs)

@@ -63,11 +63,12 @@ def test_comparison_in_parts(monkeypatch):
     monkeypatch.setattr(spelling, "COMPARED_LETTERS", 10)
     words = sorted(w for w in vocabulary(3, 400) if len(w) == 4)
     longer = sorted(w for w in vocabulary(4, 400) if len(w) == 5)
-    i, j = spelling.near_pairs(words, words, True)
+    codes = [spelling._codes("".join(x), len(x)) for x in (words, longer)]
+    i, j = spelling.near_pairs(codes[0], codes[0], True)
     assert set(zip(i.tolist(), j.tolist())) == {
         (a, b) for a in range(len(words)) for b in range(a + 1, len(words)) if near(words[a], words[b])
     }
-    i, j = spelling.near_pairs(words, longer, False)
+    i, j = spelling.near_pairs(*codes, False)
     assert set(zip(i.tolist(), j.tolist())) == {
         (a, b) for a in range(len(words)) for b in range(len(longer)) if near(words[a], longer[b])
     }
