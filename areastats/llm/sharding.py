@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import Scratch, number_rows
+from ..scale import small as small_table
 from .tables import id_and_text
 
 #: A group is packed on its own when it has this share of all bytes or rows, so at most twice as
@@ -164,6 +165,45 @@ def pack_groups(groups: DataFrame, shards: int, scratch: Scratch) -> tuple[DataF
     return scratch.write(small), [(key, b) for (_, key), b in zip(large, placed)]
 
 
+def _open_bins(capacity: int, item: str):
+    """Best-fit-decreasing packing of each cell's items into bins of its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column(item).to_pylist()
+        placed, _ = best_fit_decreasing(list(zip(table.column("bytes").to_pylist(), names)), capacity=capacity)
+        return table.append_column("bin", pa.array(placed, pa.int32()))
+
+    return run
+
+
+def pack_to_capacity(groups: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+    """(key, shard) of every group of (key, bytes, n); shards of ``capacity`` bytes are numbered from 0.
+
+    Groups are packed in cells of about ``CELL_GROUPS``, best fit decreasing.  What the bins of a
+    cell leave free is less than a tenth but in a few; these are packed once more, as wholes.
+    """
+    count = groups.count()
+    cell = lambda rows, *by: F.pmod(F.xxhash64(*by), F.lit(max(1, -(-rows // CELL_GROUPS)))).cast("int")
+    placed = scratch.write(
+        groups.select("key", "bytes", cell(count, "key").alias("cell"))
+        .groupBy("cell")
+        .applyInArrow(_open_bins(capacity, "key"), "key binary, bytes long, cell int, bin int")
+    )
+    bins = placed.groupBy("cell", "bin").agg(F.sum("bytes").alias("bytes"))
+    name = F.concat(F.lpad(F.col("cell").cast("string"), 10, "0"), F.lit("."), F.lpad(F.col("bin").cast("string"), 10, "0"))
+    bins, (part_filled,) = scratch.write_counted(
+        bins.withColumn("full", F.col("bytes") * 10 >= capacity * 9).withColumn("name", name), F.count_if(~F.col("full"))
+    )
+    again = bins.filter("not full").select("name", "bytes", cell(part_filled, "name").alias("cell"))
+    again = again.groupBy("cell").applyInArrow(_open_bins(capacity, "name"), "name string, bytes long, cell int, bin int")
+    joined = again.select("name", F.concat(F.lit("~"), "cell", F.lit("."), "bin").alias("last"))
+    last = scratch.write(bins.filter("full").select("name", F.col("name").alias("last")).unionByName(joined))
+    shards, (n,) = scratch.write_counted(last.select("last").distinct().withColumn("all", F.lit(0)), F.count(F.lit(1)))
+    numbered = number_rows(shards, "all", ["last"], 1, n).select("last", F.col("_pos").cast("int").alias("shard"))
+    of_bin = last.join(small_table(numbered, n, 2), "last").select("name", "shard")
+    return placed.withColumn("name", name).join(of_bin, "name").select("key", "shard")
+
+
 def shard_by_bytes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16
 ) -> DataFrame:
@@ -171,13 +211,49 @@ def shard_by_bytes(
 
     A row's size is its UTF-8 bytes plus 1; a null text has size 1 and no crc32.  Rows of equal
     text form a group, null texts one and empty texts another, and a group stays in one shard.
-    Shards have near-equal bytes (the law ``bytes``), as far as the largest group allows.  Slots
+    Shards have near-equal bytes (the law ``bytes``): two of them differ by no more than the
+    largest groups of all cells together, or than the excess of groups larger than a shard.  Slots
     number a shard's rows from 0 in order of id; repeated rows get slots of their own.
     ``grown_shard`` belongs to another law and is null.  Texts are compared by their SHA-256.
     """
     if shards < 1:
         raise ValueError("there must be one shard at least")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    rows, groups = _rows_and_groups(docs, id_col, text_col, scratch)
+    small, large = pack_groups(groups, shards, scratch)
+    # the list has 2 * LARGE_SHARE groups at most
+    listed = F.broadcast(spark.createDataFrame(large, "key binary, large_shard int"))
+    return _numbered(rows, listed, small, shards).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("_pos").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def shard_by_capacity(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, size, text_crc32, shard and slot of every row, in shards of ``capacity`` bytes.
+
+    Sizes, groups and slots are those of ``shard_by_bytes``; the number of shards follows from the
+    packing, and a group above the capacity has a shard of its own.
+    """
+    if capacity < 1:
+        raise ValueError("a shard must hold one byte at least")
+    scratch = Scratch(docs.sparkSession)
+    rows, groups = _rows_and_groups(docs, id_col, text_col, scratch)
+    placed = scratch.write(pack_to_capacity(groups, capacity, scratch))
+    total, shards = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], placed.agg(F.max("shard")).first()[0]
+    # a group of so many rows would fill a task of the join: there are LARGE_SHARE of them at most
+    large = groups.filter(F.col("n") * LARGE_SHARE >= total).select("key")
+    listed = F.broadcast(placed.join(F.broadcast(large), "key").withColumnRenamed("shard", "large_shard"))
+    numbered = _numbered(rows, listed, placed, (shards or 0) + 1)
+    return numbered.select("doc_id", "size", "text_crc32", "shard", F.col("_pos").alias("slot"))
+
+
+def _rows_and_groups(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     rows = scratch.write(
         id_and_text(docs, id_col, text_col).select(
             "doc_id",
@@ -186,25 +262,17 @@ def shard_by_bytes(
             F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("key"),
         )
     )
-    groups = scratch.write(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
-    small, large = pack_groups(groups, shards, scratch)
-    # the list has 2 * LARGE_SHARE groups at most
-    listed = F.broadcast(spark.createDataFrame(large, "key binary, large_shard int"))
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return rows, scratch.write(groups)
+
+
+def _numbered(rows: DataFrame, listed: DataFrame, placed: DataFrame, shards: int) -> DataFrame:
+    """Rows with their shards and, as ``_pos``, their slots; rows of listed groups do not move for it."""
     marked = rows.join(listed, "key", "left")
     sharded = (
         marked.filter("large_shard is not null")
         .withColumnRenamed("large_shard", "shard")
-        .unionByName(marked.filter("large_shard is null").drop("large_shard").join(small, "key"))
+        .unionByName(marked.filter("large_shard is null").drop("large_shard").join(placed, "key"))
         .drop("key")
     )
-    count = rows.count()
-    numbered = number_rows(sharded, "shard", ["doc_id"], shards, count)
-    return numbered.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        F.col("_pos").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    return number_rows(sharded, "shard", ["doc_id"], shards, rows.count())
