@@ -50,11 +50,16 @@ class CountTree:
 
     Both sums lie in one array of nodes, the root at 1 and the children of node k at 2k and
     2k + 1.  An edit re-encodes the leaves it touches and, where the cut beside them is no longer
-    one, the neighbours; the path of each changed leaf to the root is summed anew.
+    one, the neighbours; the path of each changed leaf to the root is summed anew.  Where a text
+    grows by more than its leaves can take, the tree is planted anew from the leaves' counts.
     """
 
     def __init__(self, text: str, chars: list[int], tokens: list[int]):
-        self.text, self.size = text, 1
+        self.text, self.encoded = text, 0
+        self._plant(chars, tokens)
+
+    def _plant(self, chars: list[int], tokens: list[int]) -> None:
+        self.size = 1
         while self.size < len(chars):
             self.size *= 2
         self.leaves = len(chars)
@@ -62,7 +67,16 @@ class CountTree:
         self.chars, self.tokens = [0] * self.size + chars + pad, [0] * self.size + tokens + pad
         for k in range(self.size - 1, 0, -1):
             self._sum(k)
-        self.encoded = 0
+
+    def _replant(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
+        """Put more leaves in the places ``first`` to ``last``; the others keep their counts."""
+        below, above = self.size + first, self.size + last + 1
+        end = self.size + self.leaves
+        leaves = list(zip(self.chars[self.size : below], self.tokens[self.size : below]))
+        leaves += zip(chars, tokens)
+        leaves += zip(self.chars[above:end], self.tokens[above:end])
+        kept = [leaf for leaf in leaves if leaf[0]] or leaves[:1]
+        self._plant([c for c, _ in kept], [t for _, t in kept])
 
     def _sum(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -112,7 +126,12 @@ class CountTree:
         pieces = leaves_of(region)
         slots = [k for k in range(first, last + 1)]
         if len(pieces) > len(slots):
-            pieces = pieces[: len(slots) - 1] + ["".join(pieces[len(slots) - 1 :])]
+            rest = "".join(pieces[len(slots) - 1 :])
+            if len(rest) > 2 * LEAF_CHARS:
+                self._replant(first, last, [len(p) for p in pieces], [len(encode(p)) for p in pieces])
+                self.encoded += len(region)
+                return
+            pieces = pieces[: len(slots) - 1] + [rest]
         for slot, piece in zip(slots, pieces + [""] * (len(slots) - len(pieces))):
             self.set_leaf(slot, len(piece), len(encode(piece)) if piece else 0)
             self.encoded += len(piece)

@@ -262,3 +262,20 @@ def test_lines_equal_a_comparison_of_all(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_equal"], r["n_near"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
     assert got == want and sum(x[1] for x in want.values()) > 200
+
+
+def test_leaves_are_split_after_a_long_insertion():
+    """A later edit inside a long insertion encodes its surroundings only."""
+    ranks = open(VOCABULARY, "rb").read()
+    encode = token_counts.encoder(ranks).encode_ordinary
+    text, long = words(200, 1), words(20_000, 2)
+    pieces = token_counts.leaves_of(text)
+    tree = token_counts.CountTree(text, [len(p) for p in pieces], [len(encode(p)) for p in pieces])
+    tree.edit(300, 300, long, encode)
+    text = text[:300] + long + text[300:]
+    before = tree.encoded
+    for start, end, new in ((50_000, 50_003, "xyz"), (70_000, 70_500, ""), (0, 0, "start ")):
+        tree.edit(start, end, new, encode)
+        text = text[:start] + new + text[end:]
+    assert tree.encoded - before < 10 * token_counts.LEAF_CHARS
+    assert tree.text == text and tree.total == len(encode(text))
