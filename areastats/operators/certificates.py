@@ -155,6 +155,37 @@ def mixture_step(data: DataFrame, model: GaussianMixtureModel, key: str, settled
     ).withColumn("stays", (F.abs(F.col("next_weight") - F.col("weight")) <= settled) & (F.col("mean_moved") <= settled))
 
 
+def huber_settled(
+    df: DataFrame, key: str, features: Sequence[str], label: str, fitted: DataFrame, params, settled: float = 1e-3
+) -> DataFrame:
+    """``(key, n, gradient, settled)`` of a Huber fit: the largest derivative of its loss, without a unit.
+
+    The loss is that of ``linear_regression``; slopes are taken by standardised features.
+    """
+    rows = df.join(F.broadcast(fitted) if fitted.count() <= 100_000 else fitted, key)
+    error = F.col(label) - F.col("intercept")
+    for i, name in enumerate(features):
+        error = error - F.get("slopes", F.lit(i)) * F.col(name)
+    rows = rows.withColumn("_r", error).withColumn("_near", F.abs("_r") <= params.epsilon * F.col("scale"))
+    pull = F.when(F.col("_near"), F.col("_r") / F.col("scale")).otherwise(params.epsilon * F.signum("_r"))
+    rows = rows.withColumn("_pull", pull)
+    square = F.when(F.col("_near"), (F.col("_r") / F.col("scale")) ** 2).otherwise(params.epsilon**2)
+    sums = rows.groupBy(key).agg(
+        F.count("*").alias("n"),
+        F.avg("_pull").alias("_b"),
+        ((1 - F.avg(square)) / 2).alias("_s"),
+        *(F.covar_pop("_pull", name).alias(f"_c{i}") for i, name in enumerate(features)),
+        *(F.stddev_samp(name).alias(f"_d{i}") for i, name in enumerate(features)),
+        *(F.first(F.get("slopes", F.lit(i))).alias(f"_w{i}") for i in range(len(features))),
+    )
+    by_slope = [
+        F.abs(-F.col(f"_c{i}") / F.col(f"_d{i}") + params.reg_param * F.col(f"_w{i}") * F.col(f"_d{i}"))
+        for i in range(len(features))
+    ]
+    largest = F.greatest(F.abs("_b"), F.abs("_s"), *by_slope)
+    return sums.select(key, "n", largest.alias("gradient"), (largest <= settled).alias("settled"))
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     """The derivative of the log of the gamma function, for positive numbers."""
     x = np.array(x, float)

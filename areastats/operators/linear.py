@@ -17,6 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scale
 from ..scale import checkpoint, checkpoint_counted, small, spread
 from .features import assemble
 from .metrics import r2_column
@@ -48,8 +49,8 @@ def linear_regression(
 
     With squared loss the solution is exact; ``total_iterations`` is 0 and the history ``[0.0]``
     where no L1 penalty is set, and both are null with one.  An iterative solver
-    (``solver="l-bfgs"``) runs MLlib for each of the listed keys, which it then needs.  With
-    ``keys`` the answers have ``req_ord`` first: one row for each place of the list, a repeated
+    (``solver="l-bfgs"``) runs MLlib for each of the listed keys, which it then needs.
+    Huber loss adds ``scale``, beside which a residual counts as large.  With ``keys`` the answers have ``req_ord`` first: one row for each place of the list, a repeated
     key again.
     """
     params = params or LinearParams()
@@ -343,6 +344,9 @@ def _active_sets(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray) -> np.ndar
 # for all keys at once; the update per key is a Newton step, halved while the loss does not fall.
 
 
+_SLICE, _SLICES = "_slice", 32
+
+
 def _huber(rows: DataFrame, key: str, features, params: LinearParams) -> DataFrame:
     names, size = [*features, "label"], len(features)
     settings = params
@@ -353,18 +357,26 @@ def _huber(rows: DataFrame, key: str, features, params: LinearParams) -> DataFra
     open_keys = F.when(~F.col("done"), True)
     state, (keys, left) = checkpoint_counted(started, key, open_keys)
     total = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = spread(rows, total).persist(StorageLevel.MEMORY_AND_DISK)
+    sliced = keys * values > scale.BROADCAST_VALUES
+    rows = spread(rows, total)
+    if sliced:
+        place = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(_SLICES)).cast("int")
+        rows = rows.withColumn(_SLICE, place)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(params.max_iterations):
             if left == 0:
                 break
             trials = state.filter(~F.col("done")).select(key, "centers", "scales", "trial")
-            trials = small(trials, keys, values)
+            if sliced:
+                trials = trials.withColumn(_SLICE, F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))))
+            else:
+                trials = F.broadcast(trials)
             passed = _huber_sums(rows, trials, key, size, params)
             joined = state.join(small(passed, keys, sums_values), key, "left")
             stepped = joined.mapInPandas(_stepper(size, settings), state.schema)
             state, (left,) = checkpoint_counted(stepped, open_keys)
-        return _huber_answer(rows, small(state, keys, values), key, size, params)
+        return _huber_answer(rows.drop(_SLICE), small(state, keys, values), key, size, params)
     finally:
         rows.unpersist()
 
@@ -420,8 +432,13 @@ def _starter(size: int, params: LinearParams):
 
 
 def _huber_sums(rows: DataFrame, trials: DataFrame, key: str, size: int, params) -> DataFrame:
-    """Loss terms and derivative sums of every key at its trial point."""
-    features = [name for name in rows.columns if name not in (key, "label")]
+    """Loss terms and derivative sums of every key at its trial point.
+
+    Where the trials carry slices, the rows of a key are dealt over them: each slice joins its
+    copy of the trial and is summed apart, so a key with many rows fills no single task.
+    """
+    by = [name for name in (key, _SLICE) if name in trials.columns]
+    features = [name for name in rows.columns if name not in (key, "label", _SLICE)]
     point = F.col("trial")
 
     def standard(i: int, name: str) -> Column:
@@ -429,8 +446,8 @@ def _huber_sums(rows: DataFrame, trials: DataFrame, key: str, size: int, params)
         return F.when(scale > 0, (F.col(name) - F.get("centers", F.lit(i))) / scale).otherwise(0.0)
 
     scaled = [standard(i, name) for i, name in enumerate(features)]
-    joined = rows.join(trials, key).select(
-        key,
+    joined = rows.join(trials, by).select(
+        *by,
         *(column.alias(f"_x{i}") for i, column in enumerate(scaled)),
         "label",
         F.get(point, F.lit(size)).alias("_b"),
@@ -451,14 +468,23 @@ def _huber_sums(rows: DataFrame, trials: DataFrame, key: str, size: int, params)
 
     r = F.col("_r")
     z = [*(F.col(f"_x{i}") for i in range(size)), F.lit(1.0)]
-    pairs = combinations_with_replacement(range(size + 1), 2)
-    return away.groupBy(key).agg(
-        inside(F.lit(1.0)).alias("n_in"),
-        inside(r * r).alias("rr"),
-        outside(F.abs(r)).alias("abs_out"),
-        F.array(*(inside(r * v) for v in z)).alias("rz"),
-        F.array(*(outside(F.signum(r) * v) for v in z)).alias("sz"),
-        F.array(*(inside(z[i] * z[j]) for i, j in pairs)).alias("zz"),
+    pairs = list(combinations_with_replacement(range(size + 1), 2))
+    terms = {
+        "n_in": [inside(F.lit(1.0))],
+        "rr": [inside(r * r)],
+        "abs_out": [outside(F.abs(r))],
+        "rz": [inside(r * v) for v in z],
+        "sz": [outside(F.signum(r) * v) for v in z],
+        "zz": [inside(z[i] * z[j]) for i, j in pairs],
+    }
+    named = {name: [f"{name}{i}" for i in range(len(values))] for name, values in terms.items()}
+    flat = [value.alias(f"{name}{i}") for name, values in terms.items() for i, value in enumerate(values)]
+    sums = away.groupBy(*by).agg(*flat)
+    if len(by) > 1:
+        sums = sums.groupBy(key).agg(*(F.sum(name).alias(name) for names in named.values() for name in names))
+    single = ("n_in", "rr", "abs_out")
+    return sums.select(
+        key, *(F.col(names[0]).alias(name) if name in single else F.array(*names).alias(name) for name, names in named.items())
     )
 
 
@@ -468,57 +494,68 @@ def _stepper(size: int, params: LinearParams):
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([_step(row) for row in pdf.to_dict("records")], columns=state(pdf))
-
-    def state(pdf: pd.DataFrame) -> list[str]:
-        return [c for c in pdf.columns if c not in ("n_in", "rr", "abs_out", "rz", "sz", "zz")]
-
-    def _step(row: dict) -> dict:
-        if row["done"]:
-            return row
-        n, theta = row["n"], np.array(row["trial"], dtype=float)
-        s, w = theta[size + 1], theta[:size]
-        scales = np.array(row["scales"], dtype=float)
-        reg = np.full(size, params.reg_param)
+            open_rows = np.flatnonzero(~pdf["done"].to_numpy(dtype=bool))
+            state = pdf.drop(columns=["n_in", "rr", "abs_out", "rz", "sz", "zz"])
+            if len(open_rows):
+                stepped = _steps(pdf.iloc[open_rows])
+                for name, values in stepped.items():
+                    column = state[name].to_numpy(dtype=object, copy=True)
+                    for at, value in zip(open_rows, values):
+                        column[at] = value
+                    state[name] = pd.Series(column, index=state.index)
+            yield state
+
+    def stacked(column: pd.Series, width: int) -> np.ndarray:
+        return np.array(column.tolist(), dtype=float).reshape(len(column), width)
+
+    def _steps(pdf: pd.DataFrame) -> dict[str, list]:
+        """The new state of open keys, all at once."""
+        n, theta, scales = pdf["n"].to_numpy(float), stacked(pdf["trial"], size + 2), stacked(pdf["scales"], size)
+        s, w = theta[:, size + 1], theta[:, :size]
+        n_in, rr, abs_out = (pdf[name].to_numpy(float) for name in ("n_in", "rr", "abs_out"))
+        reg = np.full((len(n), size), params.reg_param)
         if not params.standardization:
-            reg = np.divide(reg, scales**2, out=np.zeros(size), where=scales > 0)
-        n_out = n - row["n_in"]
-        loss = (n * s + row["rr"] / s + 2 * eps * row["abs_out"] - eps**2 * s * n_out) / (2 * n)
-        loss += 0.5 * float(reg @ w**2)
-        known = row["loss"] is not None and not np.isnan(row["loss"])
-        if known and loss > row["loss"]:
-            # the step was too long: stay at the best point and try half of it
-            half = np.array(row["step"], dtype=float) / 2
-            best = np.array(row["best"], dtype=float)
-            stuck = np.abs(half).max() <= 1e-12 * (1 + np.abs(best).max())
-            return {**row, "step": half, "trial": best + half, "done": bool(stuck)}
-
-        rz, sz = np.array(row["rz"], dtype=float), np.array(row["sz"], dtype=float)
-        zz = _square(np.array([row["zz"]], dtype=float), size + 1)[0]
-        grad = np.empty(size + 2)
-        grad[:-1] = -(rz / s + eps * sz) / n
-        grad[:size] += reg * w
-        grad[-1] = (n - row["rr"] / s**2 - eps**2 * n_out) / (2 * n)
-        hess = np.zeros((size + 2, size + 2))
-        hess[:-1, :-1] = zz / (s * n)
-        hess[np.arange(size), np.arange(size)] += reg
-        hess[:-1, -1] = hess[-1, :-1] = rz / (s**2 * n)
-        hess[-1, -1] = row["rr"] / (s**3 * n)
-        free = np.r_[scales > 0, params.fit_intercept, True]
-        move = np.zeros(size + 2)
-        move[free] = -np.linalg.lstsq(hess[np.ix_(free, free)], grad[free], rcond=1e-13)[0]
-        if s + move[-1] < 0.1 * s:
-            move *= 0.9 * s / -move[-1]
-        small_gain = known and row["loss"] - loss <= params.tolerance * max(abs(loss), 1e-12)
+            reg = np.divide(reg, scales**2, out=np.zeros_like(reg), where=scales > 0)
+        n_out = n - n_in
+        loss = (n * s + rr / s + 2 * eps * abs_out - eps**2 * s * n_out) / (2 * n) + 0.5 * (reg * w**2).sum(axis=1)
+        earlier = pdf["loss"].to_numpy(float)
+        known = ~np.isnan(earlier)
+        worse = known & (loss > np.where(known, earlier, np.inf))
+
+        rz, sz = stacked(pdf["rz"], size + 1), stacked(pdf["sz"], size + 1)
+        zz = _square(stacked(pdf["zz"], (size + 1) * (size + 2) // 2), size + 1)
+        grad = np.empty((len(n), size + 2))
+        grad[:, :-1] = -(rz / s[:, None] + eps * sz) / n[:, None]
+        grad[:, :size] += reg * w
+        grad[:, -1] = (n - rr / s**2 - eps**2 * n_out) / (2 * n)
+        hess = np.zeros((len(n), size + 2, size + 2))
+        hess[:, :-1, :-1] = zz / (s * n)[:, None, None]
+        hess[:, np.arange(size), np.arange(size)] += reg
+        hess[:, :-1, -1] = hess[:, -1, :-1] = rz / (s**2 * n)[:, None]
+        hess[:, -1, -1] = rr / (s**3 * n)
+        free = np.ones((len(n), size + 2), bool)
+        free[:, :size], free[:, size] = scales > 0, params.fit_intercept
+        hess = np.where(free[:, :, None] & free[:, None, :], hess, 0.0)
+        # a smallest solution, by singular values: a parameter that is not free does not move
+        move = -np.einsum("kij,kj->ki", np.linalg.pinv(hess, rcond=1e-13), np.where(free, grad, 0.0))
+        short = s + move[:, -1] < 0.1 * s
+        move[short] *= (0.9 * s[short] / -move[short, -1])[:, None]
+        gained = known & ~worse & (earlier - loss <= params.tolerance * np.maximum(np.abs(loss), 1e-12))
+
+        # where the step was too long: stay at the best point and try half of it
+        zeros = np.zeros(size + 2)
+        best = np.array([theta[k] if not worse[k] else np.asarray(b, float) for k, b in enumerate(pdf["best"])]).reshape(len(n), -1)
+        half = np.array([zeros if not worse[k] else np.asarray(m, float) / 2 for k, m in enumerate(pdf["step"])]).reshape(len(n), -1)
+        stuck = worse & (np.abs(half).max(axis=1) <= 1e-12 * (1 + np.abs(best).max(axis=1)))
+        move = np.where(worse[:, None], half, move)
         return {
-            **row,
-            "best": theta,
-            "loss": loss,
-            "step": move,
-            "trial": theta + move,
-            "done": bool(small_gain),
-            "iterations": row["iterations"] + (1 if known else 0),
-            "history": [*row["history"], loss],
+            "best": list(best),
+            "loss": np.where(worse, earlier, loss).tolist(),
+            "step": list(move),
+            "trial": list(best + move),
+            "done": (stuck | gained).tolist(),
+            "iterations": (pdf["iterations"].to_numpy() + (known & ~worse)).tolist(),
+            "history": [h if w else [*h, v] for h, v, w in zip(pdf["history"], loss.tolist(), worse)],
         }
 
     return step
@@ -542,6 +579,7 @@ def _huber_answer(rows: DataFrame, state: DataFrame, key: str, size: int, params
         intercept.alias("intercept"),
         F.array(*(slope(i) for i in range(size))).alias("slopes"),
         F.col("history").alias("objective_history"),
+        F.get(point, F.lit(size + 1)).alias("scale"),
     )
     fitted = F.col("intercept")
     for i, name in enumerate(features):
@@ -563,5 +601,6 @@ def _huber_answer(rows: DataFrame, state: DataFrame, key: str, size: int, params
         "intercept",
         "slopes",
         "objective_history",
+        "scale",
     )
     return checkpoint(answer)

@@ -443,6 +443,7 @@ ORACLES = {
     "lda_bounds": """
         select cast(c as int) as component, cast(i as int) as i, true as positive,
                true as bounds_agree, 1.0::double as shares from range(3) a(c), range(2) b(i)""",
+    "huber_settled": f"select gis_join, count(*) as n, true as settled from ({_READINGS}) group by 1",
     "compound_latest": """
         with e as (select *, value >= 50 as large from events),
         last as (

@@ -606,6 +606,14 @@ def lda_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return bounds.join(total, "component").select("component", "i", "positive", "bounds_agree", "shares")
 
 
+def huber_settled(spark: SparkSession, sf: str) -> DataFrame:
+    """At every key's Huber fit the loss has no slope."""
+    readings, params = frames.readings(spark, sf), LinearParams(loss="huber", max_iterations=50)
+    fitted = linear.linear_regression(readings, "gis_join", ["gross_price"], "net_price", params)
+    settled = certificates.huber_settled(readings, "gis_join", ["gross_price"], "net_price", fitted, params)
+    return settled.select("gis_join", "n", "settled")
+
+
 def compound_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Raw events on both sides: the last large and the last small one of each user."""
     events = load(spark, sf, "events").withColumn("gisjoin", F.concat(F.lit("U"), "user_id"))
@@ -706,6 +714,7 @@ QUERIES = {
     "gaussian_mixture_step": gaussian_mixture_step,
     "lda_inferred": _checked(clustering.lda, certificates.inferred_topics, k=3),
     "lda_bounds": lda_bounds,
+    "huber_settled": huber_settled,
     "compound_latest": compound_latest,
     "requested_fits": requested_fits,
     "requested_trees": requested_trees,

@@ -50,3 +50,22 @@ def test_huber(spark, nothing_small, monkeypatch):
     assert shuffled.keys() == broadcast.keys()
     for key, values in shuffled.items():
         assert values == pytest.approx(broadcast[key], rel=1e-6)
+
+
+def test_hot_key_of_huber_is_dealt_over_slices(spark, nothing_small, monkeypatch):
+    """Rows of one key go to many groups of the first sum, and a row per slice to the second."""
+    from pyspark.sql import functions as F
+
+    from areastats.operators import linear
+
+    seen = []
+    real = linear._huber_sums
+
+    def watched(rows, trials, *more):
+        seen.append((rows.groupBy("_slice").count().count(), trials.select(F.countDistinct("_slice")).first()[0]))
+        return real(rows, trials, *more)
+
+    monkeypatch.setattr(linear, "_huber_sums", watched)
+    hot = spark.range(2000).selectExpr("'k' as k", "cast(id % 100 as double) as x", "2 * (id % 100) + (id % 7) as y")
+    linear_regression(hot, "k", ["x"], "y", LinearParams(loss="huber", max_iterations=3)).collect()
+    assert seen and all(pair == (linear._SLICES, linear._SLICES) for pair in seen)
