@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..scale import Scratch, small
 from .components import components
-from .hashing import letter_table, shingle_set, word_hashes
+from .hashing import letter_table, mix, shingle_set, word_hashes
 from .segments import Threshold, matches_of, signatures, sketch
 from .tables import id_and_text, only_ids
 
@@ -25,6 +25,9 @@ HOT_IN_BATCH = 64
 
 #: Buckets of the second round with more texts are compared by rare shingles instead of pair by pair.
 CROWDED = 64
+#: Places that count the shingles of crowded buckets, which bounds what the driver and tasks hold.
+PLACE_BITS = 18
+PLACES = 1 << PLACE_BITS
 #: Size classes of the partners that a threshold allows a set.
 SIZE_CLASSES = 4
 
@@ -172,23 +175,41 @@ def prefix_lengths(n: int, threshold: Threshold) -> tuple[int, int, list[tuple[i
     return of(n), n - threshold.overlap(n, n) + 1, larger
 
 
-def _list_sets(length: int, threshold: Threshold):
+def _count_places(length: int):
+    """How many shingles of a task's texts fall on each of ``PLACES`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for text in as_bytes(batch.column(1)):
+                counts += np.bincount(_place(shingles(text.as_py(), length)), minlength=PLACES)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(counts[held])], names=["place", "n"])
+
+    return run
+
+
+def _place(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
+def _prefix_keys(length: int, threshold: Threshold, counts: np.ndarray):
+    """Keys of the first shingles of each text, the rarest first, as the smaller and the larger of a pair."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("class", pa.int32()), ("prefix", pa.int32())]))
         for batch in batches:
-            for row, text in enumerate(as_bytes(batch.column(1))):
+            smaller, larger = [], []
+            for text in as_bytes(batch.column(1)):
                 items = shingles(text.as_py(), length)
-                own, prefix, larger = prefix_lengths(len(items), threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, 1),
-                        pa.array([len(items)], pa.int32()),
-                        pa.array([items.view(np.int64)], pa.list_(pa.int64())),
-                        pa.array([[{"class": own, "prefix": prefix}]], kind),
-                        pa.array([[{"class": k, "prefix": n} for k, n in larger]], kind),
-                    ],
-                    names=["rep", "size", "items", "smaller", "larger"],
-                )
+                items = items[np.lexsort((items, counts[_place(items)]))]
+                own, prefix, classes = prefix_lengths(len(items), threshold)
+                key = lambda k, n: mix(items[:n] ^ mix(np.array([k + 1], np.uint64)))
+                smaller.append(key(own, prefix).view(np.int64))
+                larger.append(np.concatenate([key(k, n) for k, n in classes]).view(np.int64))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(smaller, kind), pa.array(larger, kind)], names=["rep", "smaller", "larger"]
+            )
 
     return run
 
@@ -350,40 +371,21 @@ class ShingleJoin:
     def _by_rare_shingles(self, texts: DataFrame, count: int) -> DataFrame:
         """Pairs of texts (rep, set, c) of different components that share a shingle of their prefixes.
 
-        Shingles are ordered by the texts that hold them, the rarest first.  Those of one text
-        only come first of all and join nothing, so texts that have enough of their own beside a
-        passage that all share have no partner.
+        Shingles are ordered by how many fall on their place, the fewest first, so what many texts
+        share comes late.  Texts that have enough of their own beside a passage that all share
+        have no partner then.  The order is one for all texts, so it loses no pair.
         """
         scratch, kind = self.scratch, self.docs.schema["doc_id"].dataType.simpleString()
-        roles = "array<struct<class:int,prefix:int>>"
-        sets = scratch.write(
-            self._texts(texts.select(F.col("rep").alias("doc_id")), count).mapInArrow(
-                _list_sets(self.length, self.threshold),
-                f"rep {kind}, size int, items array<long>, smaller {roles}, larger {roles}",
-            )
-        )
-        listed = sets.select("rep", F.explode("items").alias("item"))
-        counts, (items,) = scratch.write_counted(
-            listed.groupBy("item").count().filter("count > 1"), F.count(F.lit(1))
-        )
-        shared = (
-            listed.join(small(counts, items, 2), "item")
-            .groupBy("rep")
-            .agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("shared"))
+        named = scratch.write(self._texts(texts.select(F.col("rep").alias("doc_id")), count))
+        held = named.mapInArrow(_count_places(self.length), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+        counted, counts = held.toArrow(), np.zeros(PLACES, np.int64)  # a row per place at most
+        counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+        keys = named.mapInArrow(
+            _prefix_keys(self.length, self.threshold, counts), f"rep {kind}, smaller array<long>, larger array<long>"
         )
-        own = F.expr("size - size(shared)")
-        ordered = scratch.write(
-            sets.drop("items").join(shared, "rep").withColumn("own", own).join(texts, "rep")
-        )
-
-        def keyed(role: str, name: str) -> DataFrame:
-            each = ordered.select("rep", "set", "c", "own", "shared", F.explode(role).alias("role")).filter("role.prefix > own")
-            items = F.explode(F.expr("slice(shared, 1, role.prefix - own)")).alias("held")
-            return each.select(F.col("role.class").alias("class"), "rep", "set", "c", items).selectExpr(
-                "xxhash64(held.item, class) as key", *_side(name)
-            )
-
-        smaller, larger = scratch.write(keyed("smaller", "a")), scratch.write(keyed("larger", "b"))
+        keyed = scratch.write(keys.join(small(texts, count, 12), "rep"))
+        smaller = keyed.select(F.explode("smaller").alias("key"), "rep", "set", "c").selectExpr("key", *_side("a"))
+        larger = keyed.select(F.explode("larger").alias("key"), "rep", "set", "c").selectExpr("key", *_side("b"))
         each = smaller.selectExpr("key", "c_a as c").unionByName(larger.selectExpr("key", "c_b as c")).groupBy("key", "c").count()
         keys, (open_keys,) = scratch.write_counted(
             each.groupBy("key")
