@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.medians import median_per_key
 from ..sources import load
 
 
@@ -47,10 +48,11 @@ def readings(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _area_stats(customers: DataFrame, prefix: str, area: str) -> DataFrame:
-    # the mean stands in for the median: an exact median would hold a whole area in one task
-    return customers.groupBy(F.concat(F.lit(prefix), area).alias("gisjoin")).agg(
-        F.count("*").alias("total_population"),
-        F.round(F.avg("c_acctbal"), 4).alias("household_income"),
+    keyed = customers.select(F.concat(F.lit(prefix), area).alias("gisjoin"), "c_acctbal")
+    return median_per_key(keyed, "gisjoin", "c_acctbal").select(
+        "gisjoin",
+        F.col("rows").alias("total_population"),
+        F.round("median", 4).alias("median_household_income"),
     )
 
 
@@ -72,7 +74,7 @@ def tract_stats(spark: SparkSession, base: str) -> DataFrame:
     return customer.join(orders, customer.c_custkey == orders.o_custkey, "left").select(
         F.concat(F.lit("C"), "c_custkey").alias("gisjoin"),
         F.coalesce("n", F.lit(0)).alias("total_population"),
-        F.col("c_acctbal").alias("household_income"),
+        F.col("c_acctbal").alias("median_household_income"),
     )
 
 
@@ -82,7 +84,7 @@ def block_stats(spark: SparkSession, base: str) -> DataFrame:
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").select(
         F.concat(F.lit("O"), "o_orderkey").alias("gisjoin"),
         F.coalesce("n", F.lit(0)).alias("total_population"),
-        F.col("o_totalprice").alias("household_income"),
+        F.col("o_totalprice").alias("median_household_income"),
     )
 
 

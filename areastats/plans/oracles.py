@@ -22,26 +22,26 @@ from lineitem
 
 _STATE = """
 select concat('R', n_regionkey) as gisjoin, count(*) as total_population,
-       round(avg(c_acctbal), 4) as household_income
+       round(median(c_acctbal), 4) as median_household_income
 from customer join nation on c_nationkey = n_nationkey group by 1
 """
 
 _COUNTY = """
 select concat('N', c_nationkey) as gisjoin, count(*) as total_population,
-       round(avg(c_acctbal), 4) as household_income
+       round(median(c_acctbal), 4) as median_household_income
 from customer group by 1
 """
 
 _TRACT = """
 select concat('C', c_custkey) as gisjoin, coalesce(n, 0) as total_population,
-       c_acctbal as household_income
+       c_acctbal as median_household_income
 from customer left join (select o_custkey, count(*) as n from orders group by 1)
   on o_custkey = c_custkey
 """
 
 _BLOCK = """
 select concat('O', o_orderkey) as gisjoin, coalesce(n, 0) as total_population,
-       o_totalprice as household_income
+       o_totalprice as median_household_income
 from orders left join (select l_orderkey, count(*) as n from lineitem group by 1)
   on l_orderkey = o_orderkey
 """
@@ -99,8 +99,8 @@ _UNROUNDED_TRACT = f"""
 select gisjoin,
        (total_population - min(total_population) over ())
          / cast(max(total_population) over () - min(total_population) over () as double) as x0,
-       (household_income - min(household_income) over ())
-         / (max(household_income) over () - min(household_income) over ()) as x1
+       (median_household_income - min(median_household_income) over ())
+         / (max(median_household_income) over () - min(median_household_income) over ()) as x1
 from ({_TRACT})
 """
 
@@ -247,11 +247,14 @@ ORACLES = {
     "resolution_stats_state": _STATE,
     "resolution_stats_tract": _TRACT,
     "resolution_stats_block": _BLOCK,
+    "key_medians": """
+        select event_type, count(*) as rows, round(median(value), 6) as median
+        from events group by 1""",
     "result_documents": f"""
         select concat('{{"gisjoin":"', gisjoin, '"',
                       case when total_population > 0
                            then concat(',"total_population":', total_population) else '' end,
-                      ',"household_income":', household_income, '}}') as data
+                      ',"median_household_income":', median_household_income, '}}') as data
         from ({_TRACT})""",
     "project_label": f"""
         select gis_join, round(gross_price, 6) as gross_price, l_discount,
@@ -376,15 +379,15 @@ ORACLES = {
         group by 1""",
     "assembled_features": f"""
         select gisjoin, 0 as pos, cast(total_population as double) as value from ({_COUNTY})
-        union all select gisjoin, 1, household_income from ({_COUNTY})""",
+        union all select gisjoin, 1, median_household_income from ({_COUNTY})""",
     "min_max_scaled": f"""
         select gisjoin,
                round((total_population - min(total_population) over ())
                      / cast(max(total_population) over () - min(total_population) over () as double), 6)
                  as total_population,
-               round((household_income - min(household_income) over ())
-                     / (max(household_income) over () - min(household_income) over ()), 6)
-                 as household_income,
+               round((median_household_income - min(median_household_income) over ())
+                     / (max(median_household_income) over () - min(median_household_income) over ()), 6)
+                 as median_household_income,
                cast(0.5 as double) as constant
         from ({_TRACT})""",
     "clustering_features": f"""
@@ -395,8 +398,8 @@ ORACLES = {
                  as value from t
         union all
         select gisjoin, 1,
-               round((household_income - min(household_income) over ())
-                     / (max(household_income) over () - min(household_income) over ()), 6) from t""",
+               round((median_household_income - min(median_household_income) over ())
+                     / (max(median_household_income) over () - min(median_household_income) over ()), 6) from t""",
     "train_test_split": """
         select event_id,
                case when cast(concat('0x', substr(md5(concat_ws('|', event_id, 42)), 1, 8)) as bigint)

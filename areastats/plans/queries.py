@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import array_mean, elem, has_json_key, int_range, json_key, parse_day, slice0
-from ..operators import certificates, clustering, features, joins, linear, metrics, rows, series, trees
+from ..operators import certificates, clustering, features, joins, linear, medians, metrics, rows, series, trees
 from ..operators.params import BoostParams, ForestParams, LinearParams
 from ..operators.per_key import per_key
 from ..sources import Resolution, count_tables, load, load_resolution, to_documents
@@ -19,7 +19,7 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-STAT_FEATURES = ["total_population", "household_income"]
+STAT_FEATURES = ["total_population", "median_household_income"]
 
 
 def _r(column: str | Column, digits: int = 6) -> Column:
@@ -51,6 +51,11 @@ def result_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def key_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw events: few keys of many different values."""
+    return medians.median_per_key(load(spark, sf, "events"), "event_type", "value").withColumn("median", _r("median"))
+
+
 def project_label(spark: SparkSession, sf: str) -> DataFrame:
     projected = rows.project(
         frames.readings(spark, sf), "gis_join", ["gross_price", "l_discount"], "net_price"
@@ -648,6 +653,7 @@ QUERIES = {
     "resolution_stats_state": _resolution(Resolution.STATE),
     "resolution_stats_tract": _resolution(Resolution.TRACT),
     "resolution_stats_block": _resolution(Resolution.BLOCK),
+    "key_medians": key_medians,
     "result_documents": result_documents,
     "project_label": project_label,
     "key_rows": key_rows,
