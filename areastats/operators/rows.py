@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse_day
-from ..scale import require_columns, small
+from ..scale import LISTED_KEYS, require_columns, small
 
 _COMPARE = {"=": eq, ">": gt, "<": lt, ">=": ge, "<=": le}
 
 
-#: Keys that a filter lists one by one; more of them are joined.
-LITERAL_KEYS = 300
-
-
 def project(
     df: DataFrame, key: str, features: Sequence[str], label: str | None = None
 ) -> DataFrame:
@@ -51,7 +47,7 @@ def key_list_rows(df: DataFrame, key: str, keys: Sequence) -> DataFrame:
     is broadcast only while it is small.
     """
     distinct = list(dict.fromkeys(keys))
-    if len(distinct) <= LITERAL_KEYS:
+    if len(distinct) <= LISTED_KEYS:
         return df.filter(F.col(key).isin(distinct))
     wanted = request_frame(df, key, distinct).drop("req_ord")
     return df.join(small(wanted, len(distinct), 1), key, "left_semi")

@@ -63,19 +63,16 @@ def moving_average(
     result = result.select(key, date, "avg", F.lit(days).alias("num_days"), "start_date")
 
     if split.hot is not None:
-        numbered = number_rows(split.hot, key, order, split.hot_keys, split.hot_rows)
+        numbered = number_rows(split.hot, key, order, split.hot_keys, split.hot_rows, heads=True)
         blocks = with_chunks(numbered, max(hot_rows, days), days - 1).repartition(
             partitions_for(df.sparkSession, split.hot_rows), key, "_chunk"
         )
         in_block = Window.partitionBy(key, "_chunk").orderBy("_pos").rowsBetween(1 - days, 0)
-        windowed = (
-            blocks.withColumn("avg", F.avg(value).over(in_block))
-            .filter(F.col("_own") & (F.col("_pos") >= days - 1))
-            .join(small(_starts(numbered, key, date), split.hot_keys, 2), key)
-        )
-        result = result.unionByName(
-            windowed.select(key, date, "avg", F.lit(days).alias("num_days"), "start_date")
+        windowed = blocks.withColumn("avg", F.avg(value).over(in_block)).filter(
+            F.col("_own") & (F.col("_pos") >= days - 1)
         )
+        start = F.col("_start").alias("start_date")
+        result = result.unionByName(windowed.select(key, date, "avg", F.lit(days).alias("num_days"), start))
     if keys is None:
         return result
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(date).alias("start_date"))
@@ -86,11 +83,6 @@ def _order(date: str, value: str, tiebreak: Sequence[str]) -> list[str]:
     return list(dict.fromkeys([date, *tiebreak, value]))
 
 
-def _starts(numbered: DataFrame, key: str, date: str) -> DataFrame:
-    """First date of each hot key: as many rows as there are hot keys."""
-    return numbered.filter(F.col("_pos") == 0).select(key, F.col(date).alias("start_date"))
-
-
 def _in_request_order(result: DataFrame, sizes: DataFrame, key: str, keys: Sequence, days: int) -> DataFrame:
     request = request_frame(result, key, keys)
     answered = result.join(small(request, len(keys), 2), key)
@@ -165,9 +157,7 @@ def _collect(df, key, date, value, tiebreak, array_rows, halo, days) -> DataFram
         )
     )
     if split.hot is not None:
-        numbered = number_rows(split.hot, key, order, split.hot_keys, split.hot_rows)
-        totals = numbered.groupBy(key).agg(F.count("*").alias("total"))
-        heads = _starts(numbered, key, date).join(totals, key)
+        numbered = number_rows(split.hot, key, order, split.hot_keys, split.hot_rows, heads=True)
         blocks = with_chunks(numbered, max(array_rows, halo), halo).repartition(
             partitions_for(df.sparkSession, split.hot_rows), key, "_chunk"
         )
@@ -175,9 +165,14 @@ def _collect(df, key, date, value, tiebreak, array_rows, halo, days) -> DataFram
         cut = (
             averaged(blocks, [key, "_chunk"], ["_pos"], full)
             .groupBy(key, F.col("_chunk").alias("chunk"))
-            .agg(collected("_pos"), F.min("_pos").alias("offset"), F.max("_own").alias("_any_own"))
+            .agg(
+                collected("_pos"),
+                F.min("_pos").alias("offset"),
+                F.max("_own").alias("_any_own"),
+                F.first("_total").alias("total"),  # one value per key, as is the start
+                F.first("_start").alias("start_date"),
+            )
             .filter("_any_own")
-            .join(small(heads, split.hot_keys, 3), key)
         )
         result = result.unionByName(answer(cut))
     return result

@@ -25,6 +25,8 @@ ARRAY_ROWS = 100_000
 BROADCAST_VALUES = 4_000_000
 # rows that make a fair shuffle partition
 PARTITION_ROWS = 5_000_000
+# keys that a filter names one by one; longer lists are joined
+LISTED_KEYS = 300
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -127,16 +129,23 @@ def split_hot(df: DataFrame, key: str, limit: int | None) -> Split:
     """Split into rows of ordinary keys and rows of keys with more than ``limit`` rows.
 
     Rows without a key belong to no area and are left out.  The check reads the key column only
-    and aggregates before it shuffles.  ``limit=None`` skips it for data known to be even.
+    and aggregates before it shuffles.  ``limit=None`` skips it for data known to be even.  Up to
+    ``LISTED_KEYS`` hot keys are part of both filters, so nothing is written; more are joined.
     """
     keyed = df.filter(F.col(key).isNotNull())
     if limit is None:
         return Split(keyed)
-    sizes = keyed.groupBy(key).count().filter(F.col("count") > limit)
-    hot_keys, hot_rows = sizes.agg(F.count("*"), F.sum("count")).first()
-    if hot_keys == 0:
+    sizes = keyed.groupBy(key).agg(F.count("*").alias("_size")).filter(F.col("_size") > limit)
+    listed = sizes.take(LISTED_KEYS + 1)
+    if not listed:
         return Split(keyed)
-    hot = small(checkpoint(sizes.select(key)), hot_keys, 1)
+    if len(listed) <= LISTED_KEYS:
+        is_hot = F.col(key).isin([row[key] for row in listed])
+        return Split(
+            keyed.filter(~is_hot), keyed.filter(is_hot), len(listed), sum(row["_size"] for row in listed)
+        )
+    written, (hot_keys, hot_rows) = Scratch(df.sparkSession).write_counted(sizes, F.count("*"), F.sum("_size"))
+    hot = small(written.select(key), hot_keys, 1)
     return Split(
         keyed.join(hot, key, "left_anti"), keyed.join(hot, key, "left_semi"), hot_keys, hot_rows
     )
@@ -156,9 +165,14 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(cores) if rows < cores * PARTITION_ROWS else df
 
 
-def number_rows(df: DataFrame, key: str, order: Sequence[str], keys: int, rows: int) -> DataFrame:
+def number_rows(
+    df: DataFrame, key: str, order: Sequence[str], keys: int, rows: int, heads: bool = False
+) -> DataFrame:
     """Add ``_pos``, the 0-based position of a row within its key, for keys of any size.
 
+    With ``heads`` a row also has ``_total``, the rows of its key, and ``_start``, the first order
+    column of the key's first row.
+
     The table of ``keys`` keys and ``rows`` rows is range-partitioned by key, order and a hash of
     the row, so a key that holds a third of it is spread over a third of the partitions.  A row's
     position is its place in its partition plus the rows of the same key in earlier partitions;
@@ -175,15 +189,21 @@ def number_rows(df: DataFrame, key: str, order: Sequence[str], keys: int, rows:
         .withColumn("_part", F.spark_partition_id())
         .drop("_hash")
     )
-    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(key, "_part")
-        .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+    of_key = Window.partitionBy(key)
+    in_order = of_key.orderBy("_part")
+    first = [F.min_by(order[0], "_at").alias("_start")] if heads else []
+    offsets = ranged.groupBy(key, "_part").agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_n"), *first
     )
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if heads:
+        whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        offsets = offsets.withColumns(
+            {"_total": F.sum("_n").over(whole), "_start": F.first("_start").over(whole)}
+        )
     return (
-        ranged.join(small(offsets, keys + partitions, 4), [key, "_part"])
+        ranged.join(small(offsets.drop("_n"), keys + partitions, 6), [key, "_part"])
         .withColumn("_pos", F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_part", "_at", "_first", "_before")
     )

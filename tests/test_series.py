@@ -133,3 +133,10 @@ def test_checkpoints_go_to_the_folder_of_the_session(spark, checkpoints):
     before = set(checkpoints.iterdir())
     assert scale.checkpoint(spark.range(3)).count() == 3
     assert len(set(checkpoints.iterdir()) - before) == 1
+
+
+def test_more_hot_keys_than_a_filter_lists(df, data, monkeypatch):
+    listed = answers(series.moving_average(df, "k", "d", "v", 4, hot_rows=20))
+    monkeypatch.setattr(scale, "LISTED_KEYS", 1)
+    assert scale.split_hot(df, "k", 20).hot_keys == 2
+    assert answers(series.moving_average(df, "k", "d", "v", 4, hot_rows=20)) == listed
