@@ -51,28 +51,51 @@ def n_of(chars: str) -> Column:
 PLACE_BITS = 24
 
 
-def window_codes(words: str) -> Column:
+def window_codes(words: str, bits: int) -> Column:
     """The three-word windows of a text as sorted codes; equal windows stand side by side."""
     code = f"xxhash64({words}[i], {words}[i + 1], {words}[i + 2])"
     return F.expr(
         f"sort_array(transform(sequence(0, size({words}) - 3), "
-        f"i -> shiftleft(shiftright({code}, {PLACE_BITS}), {PLACE_BITS}) + i))"
+        f"i -> shiftleft(shiftright({code}, {bits}), {bits}) + i))"
     )
 
 
-def repeated_words(words: str, codes: str) -> Column:
-    """Words inside a three-word window that occurs twice or more in the text.
+def _neighbours(windows: str, marks: str) -> str:
+    """The distinct places that ``marks`` gives for sorted neighbours ``a`` and ``b``."""
+    return (
+        f"array_distinct(flatten(filter(zip_with(slice({windows}, 1, size({windows}) - 1), "
+        f"slice({windows}, 2, size({windows}) - 1), (a, b) -> {marks}), x -> x is not null)))"
+    )
+
 
-    Neighbours of equal hash are compared word by word, then mark the words of both windows.
+def repeated_places(words: str, codes: str, bits: int) -> Column:
+    """Places of the words inside a three-word window that occurs twice or more in the text.
+
+    Neighbours of equal hash are compared word by word, then mark the words of both windows.  Unequal
+    windows of equal hash may stand between equal ones; the place -1 tells that there are such.
     """
-    place = f"cast(%s & {(1 << PLACE_BITS) - 1} as int)"
+    place = f"cast(%s & {(1 << bits) - 1} as int)"
     a, b = place % "a", place % "b"
     same = " and ".join(f"{words}[{a} + {k}] = {words}[{b} + {k}]" for k in range(3))
     marks = ", ".join(f"{x} + {k}" for x in (a, b) for k in range(3))
+    alike = f"shiftright(a, {bits}) = shiftright(b, {bits})"
+    return F.expr(_neighbours(codes, f"if({alike}, if({same}, array({marks}), array(-1)), null)"))
+
+
+def repeated_words(words: str, places: str, bits: int) -> Column:
+    """How many words lie inside a repeated window.
+
+    Where hashes collide, or a text has more words than a code has places, the windows themselves
+    are sorted, which takes more memory and gives the count without any hash.
+    """
+    window = f"struct({words}[i] as u, {words}[i + 1] as v, {words}[i + 2] as w, i as at)"
+    windows = f"sort_array(transform(sequence(0, size({words}) - 3), i -> {window}))"
+    marks = ", ".join(f"{x}.at + {k}" for x in "ab" for k in range(3))
+    same = f"if(a.u = b.u and a.v = b.v and a.w = b.w, array({marks}), null)"
     return F.expr(
-        f"size(array_distinct(flatten(filter(zip_with(slice({codes}, 1, size({codes}) - 1), "
-        f"slice({codes}, 2, size({codes}) - 1), (a, b) -> if(shiftright(a, {PLACE_BITS}) = "
-        f"shiftright(b, {PLACE_BITS}) and {same}, array({marks}), null)), x -> x is not null))))"
+        f"cast(case when size({words}) <= 3 then 0 "
+        f"when size({words}) > {1 << bits} or array_contains({places}, -1) "
+        f"then size({_neighbours(windows, same)}) else size({places}) end as long)"
     )
 
 
@@ -104,11 +127,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_w", lambda w: w.isin(*forms))).cast("long").alias("n_stop_words"),
-        F.when(F.size("_w") > 3, window_codes("_w")).alias("_s"),
+        F.when(F.size("_w").between(4, 1 << PLACE_BITS), window_codes("_w", PLACE_BITS)).alias("_s"),
     )
-    return counted.withColumn(
-        "n_repeat_words", F.when(F.size("_s") > 1, repeated_words("_w", "_s")).otherwise(0).cast("long")
-    ).drop("_w", "_s")
+    placed = counted.withColumn("_p", repeated_places("_w", "_s", PLACE_BITS))
+    return placed.withColumn("n_repeat_words", repeated_words("_w", "_p", PLACE_BITS)).drop("_w", "_s", "_p")
 
 
 BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
