@@ -25,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import PARTITION_ROWS
 from .features import clustering_features
 
 
@@ -41,13 +42,31 @@ def _fit(df: DataFrame, key: str, features: Sequence[str], k: int, estimator):
     data = clustering_features(df, key, features)
     # the fits pass over the rows many times; the cache spills to disk and is rebuilt if lost
     data.persist(StorageLevel.MEMORY_AND_DISK)
+    gathered = _gathered(data)
     try:
-        model = estimator.fit(data)
+        model = estimator.fit(gathered)
     finally:
+        gathered.unpersist()
         data.unpersist()
     return data, model
 
 
+def _gathered(cached: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+    """All rows of a cached table in as many partitions as the cores or the rows ask for.
+
+    Every task of every pass of a fit answers to the driver, so a table in the many small
+    partitions of a shuffle sends it far more than the fit needs.  One in few partitions stays as it is.
+    """
+    cores = cached.sparkSession.sparkContext.defaultParallelism
+    enough = max(cores, -(-cached.count() // partition_rows))
+    if cached.rdd.getNumPartitions() <= enough:
+        return cached
+    gathered = cached.coalesce(enough).persist(StorageLevel.MEMORY_AND_DISK)
+    gathered.count()
+    cached.unpersist()
+    return gathered
+
+
 def kmeans(
     df: DataFrame, key: str, features: Sequence[str], k: int, max_iter: int = 20, seed: int = 1, tol: float = 1e-4
 ) -> Clustering:

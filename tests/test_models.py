@@ -184,3 +184,15 @@ def test_lda(areas):
     assert {"term", "log_likelihood", "log_perplexity"} == {r["measure"] for r in summary.collect()}
     with pytest.raises(ValueError):
         clustering.lda(areas, "k", ["x", "y"], 1)
+
+
+def test_fits_pass_over_few_partitions_with_all_rows(spark, areas):
+    points = features.clustering_features(areas, "k", ["x", "y"])
+    many = points.repartition(90).cache()
+    gathered = clustering._gathered(many)
+    assert gathered.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(row["k"] for row in gathered.collect()) == sorted(row["k"] for row in points.collect())
+    few = points.coalesce(1).cache()
+    assert clustering._gathered(few) is few
+    for df in (many, gathered, few):
+        df.unpersist()
