@@ -66,8 +66,6 @@ CONTEXT = 24
 #: An assignment to one of these names marks a key for the training labels.  The features do not
 #: see the names, so that the trees learn what keys look like.
 KEY_NAMES = r"(?i)(token|secret|password|passwd|api.?key|access.?key|private.?key)[\\x22\\x27]?\\s*[:=]\\s*[\\x22\\x27]?$"
-#: Candidates that the trees are fitted and calibrated on, at most.
-FIT_CANDIDATES = 20_000
 #: A candidate is selected from the score on at which this share of the calibration rows is personal.
 PRECISION = 0.95
 
@@ -207,32 +205,35 @@ def _fit(rows: DataFrame, scratch: Scratch):
     """Boosted trees and a threshold per generator, or None where the labels do not differ.
 
     A candidate counts as personal where it overlaps a validated span or is assigned to a key's
-    name.  A quarter of the rows is kept from the trees to set the thresholds.
+    name.  A quarter of the rows is kept from the trees to set the thresholds.  All candidates count,
+    equal ones as one row with their number as its weight.
     """
     draw = F.xxhash64("doc_id", "start", "end", "kind")
     labelled = rows.select(
         "kind",
         (F.col("on_base") | F.col("is_key")).cast("double").alias("label"),
-        array_to_vector("features").alias("vector"),
-        draw.alias("draw"),
+        "features",
+        (F.pmod(draw, F.lit(4)) == 0).alias("kept"),
     )
-    sample, (n, positive) = scratch.write_counted(
-        labelled.orderBy("draw", "kind", "label").limit(FIT_CANDIDATES), F.count(F.lit(1)), F.sum("label")
-    )
-    fitted = sample.filter("pmod(draw, 4) <> 0")
+    weighted = scratch.write(
+        labelled.groupBy("kind", "label", "features", "kept").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    ).withColumn("vector", array_to_vector("features"))
+    fitted = weighted.filter("not kept")
     two = fitted.agg(F.min("label"), F.max("label")).first()
-    if not n or two[0] == two[1]:
+    if two[0] == two[1]:  # or no candidates
         return None
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=10, maxDepth=4, maxBins=64, stepSize=0.3, seed=7)
+    trees = GBTClassifier(
+        featuresCol="vector", labelCol="label", weightCol="weight", maxIter=10, maxDepth=4, maxBins=64, stepSize=0.3, seed=7
+    )
     model = trees.fit(fitted)
     model.setFeaturesCol("vector")
-    scored = model.transform(sample.filter("pmod(draw, 4) = 0")).select(
-        "kind", "label", F.floor(vector_to_array("probability")[1] * 100).alias("score")
+    scored = model.transform(weighted.filter("kept")).select(
+        "kind", "label", "weight", F.floor(vector_to_array("probability")[1] * 100).alias("score")
     )
     above = Window.partitionBy("kind").orderBy(F.desc("score"))
     bins = (
         scored.groupBy("kind", "score")
-        .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all"))
+        .agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all"))
         .withColumn("precision", F.sum("good").over(above) / F.sum("all").over(above))
         .filter(F.col("precision") >= PRECISION)
         .groupBy("kind")

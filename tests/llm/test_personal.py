@@ -151,3 +151,20 @@ def test_recall_of_keys(spark, known):
     assert sum(any(s["end"] - s["start"] == 32 for s in found[k]) for k, _ in hidden) >= 11
     plain = [k for k, t in enumerate(known) if t.startswith("/usr")]
     assert sum(bool(found[k]) for k in plain) <= len(plain) // 20
+
+
+def test_the_trees_are_fitted_on_all_candidates(spark, monkeypatch):
+    seen = []
+    real = pii.GBTClassifier.fit
+
+    def fit(self, rows, *more):
+        seen.append(rows.agg({"weight": "sum"}).first()[0])
+        return real(self, rows, *more)
+
+    monkeypatch.setattr(pii.GBTClassifier, "fit", fit)
+    texts = spark.range(30_000).selectExpr(
+        "id as doc_id", "concat('call ', if(id % 2 = 0, '+', ''), 4915100000000 + id, ' now') as text"
+    )
+    found = pii.find_personal(texts)
+    assert found.count() == 30_000
+    assert 0.7 * 30_000 < seen[0] < 0.8 * 30_000
