@@ -111,9 +111,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def is_small(rows: int, values: int) -> bool:
+    """Whether so many rows of ``values`` values each may be broadcast."""
+    return rows * values <= BROADCAST_VALUES
+
+
 def small(df: DataFrame, rows: int, values: int) -> DataFrame:
     """Mark a side of ``rows`` counted rows of ``values`` values each for broadcast if it is small."""
-    return F.broadcast(df) if rows * values <= BROADCAST_VALUES else df
+    return F.broadcast(df) if is_small(rows, values) else df
 
 
 class Split(NamedTuple):

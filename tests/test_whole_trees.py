@@ -5,8 +5,9 @@ import math
 import numpy as np
 import pytest
 
+from areastats import scale
 from areastats.operators import linear, trees
-from areastats.operators.params import ForestParams
+from areastats.operators.params import BoostParams, ForestParams
 
 
 def test_rare_values_are_split(spark):
@@ -88,6 +89,46 @@ def test_hot_key_in_many_slices(spark, monkeypatch):
         assert cells[key] == pytest.approx(whole[key], rel=1e-9)
 
 
+@pytest.mark.parametrize("boosted", [False, True])
+@pytest.mark.parametrize("cells", [False, True])
+def test_keys_of_one_slice_are_not_moved_for_their_trees(spark, monkeypatch, boosted, cells):
+    """Where the trees are too many to be broadcast: the same answers, and only slices of larger keys are joined."""
+    rng = np.random.default_rng(5)
+    rows = [(f"k{j}", i, float(rng.integers(0, 9)), float(rng.integers(0, 7)), float(rng.normal())) for j in range(6) for i in range([60, 900, 2][j % 3])]
+    df = spark.createDataFrame(rows, "key string, id long, x double, z double, y double")
+    read, real = [], trees._Data.with_trees
+
+    def seen(self, fields):
+        found = real(self, fields)
+        read.append({r["key"] for r in found.select("key").collect()})
+        return found
+
+    monkeypatch.setattr(trees._Data, "with_trees", seen)
+    monkeypatch.setattr(trees, "_FEWER", 0 if cells else 100)
+
+    def answers():
+        read.clear()
+        fit, params = trees.random_forest, ForestParams(num_trees=3, max_depth=3, subsampling_rate=0.8, feature_subset_strategy="1")
+        if boosted:
+            fit, params = trees.gradient_boost, BoostParams(max_iter=3, max_depth=2, step_size=0.3, subsampling_rate=0.5)
+        got = fit(df, "key", ["x", "z"], "y", params, id_cols=["key", "id"]).collect()
+        return {r["key"]: (r["rmse"], r["r2"]) for r in got}
+
+    want = answers()
+    assert read and len(want) >= 4
+    monkeypatch.setattr(scale, "BROADCAST_VALUES", 0)
+    got = answers()
+    assert not read
+    monkeypatch.setattr(trees, "_SLICE_RECORDS", 300)
+    sliced = answers()
+    assert read and set().union(*read) == {"k1", "k4"}
+    assert set(got) == set(sliced) == set(want)
+    for key, (rmse, r2) in want.items():
+        for found in (got[key], sliced[key]):
+            assert [x is None for x in found] == [rmse is None, r2 is None]
+            assert [x or 0 for x in found] == pytest.approx([rmse or 0, r2 or 0], rel=1e-9)
+
+
 def test_answers_in_request_order(spark):
     rng = np.random.default_rng(4)
     rows = [(k, i, float(rng.normal()), float(rng.normal())) for k in "abc" for i in range(60)]
