@@ -25,15 +25,15 @@ HOT_IN_BATCH = 64
 
 #: Buckets of the second round with more texts are compared by rare shingles instead of pair by pair.
 CROWDED = 64
-#: Places that count the shingles of crowded buckets, which bounds what the driver and tasks hold.
+#: Places that count shingles, which bounds what the driver and tasks hold.
 PLACE_BITS = 18
 PLACES = 1 << PLACE_BITS
 #: Size classes of the partners that a threshold allows a set.
 SIZE_CLASSES = 4
 
-#: Texts that are looked at for common shingles, the texts of these that make one common, and how
-#: many are kept.  They bound the table that every task gets and decide no answer.
-COMMON_TEXTS, COMMON_LEAST, COMMON_KEPT = 10_000, 4, 200_000
+#: A place is common if it holds so many shingles more than the middle one: this share of the
+#: texts, but never fewer than the least.
+COMMON_SHARE, COMMON_LEAST = 4 / 10_000, 4
 
 LETTERS = letter_table(b" \t\n\x0b\x0c\r")
 
@@ -47,37 +47,27 @@ def as_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
-def _list_shingles(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), length).view(np.int64))], names=["item"])
+def place_counts(texts: DataFrame, length: int) -> np.ndarray:
+    """How many shingles of all texts (id, text) fall on each of ``PLACES`` places."""
+    held = texts.mapInArrow(_count_places(length), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counted, counts = held.toArrow(), np.zeros(PLACES, np.int64)  # a row per place at most
+    counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return counts
 
-    return run
 
+def common_places(texts: DataFrame, length: int) -> np.ndarray:
+    """Whether each place holds a shingle of many texts, packed into bits; counted over all texts.
 
-def common_shingles(texts: DataFrame, length: int) -> np.ndarray:
-    """Shingles of many texts, from a bounded sample of texts drawn by the hash of their ids."""
-    total = texts.count()
-    drawn = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // COMMON_TEXTS))) == 0)
-    found = (
-        drawn.filter("text is not null")
-        .select("text")
-        .mapInArrow(_list_shingles(length), "item long")
-        .groupBy("item")
-        .count()
-        .filter(F.col("count") >= COMMON_LEAST)
-        .orderBy(F.desc("count"), "item")
-        .limit(COMMON_KEPT)
-        .select("item")
-        .toArrow()
-    )
-    return np.sort(found.column(0).to_numpy().view(np.uint64))
+    Rare shingles fall evenly on the places, so what a place has beyond the middle one is due to
+    shingles that many texts share.
+    """
+    counts = place_counts(texts, length)
+    return np.packbits(counts >= np.median(counts) + max(COMMON_LEAST, COMMON_SHARE * texts.count()))
 
 
 def _sign(length: int, threshold: Threshold, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
+        part, rare = TaskContext.get().partitionId() << 24, 1 - np.unpackbits(common)
         for batch in batches:
             part += 1
             texts = as_bytes(batch.column(1))
@@ -91,7 +81,7 @@ def _sign(length: int, threshold: Threshold, common: np.ndarray):
                 sketches.append(sketch(items))
                 # equal sets of a batch need one signer; a row without id has no links
                 signs = named and digest not in seen
-                signed.append(signatures(items, threshold, common) if signs else np.empty(0, np.uint64))
+                signed.append(signatures(items, threshold, rare[_place(items)]) if signs else np.empty(0, np.uint64))
                 if named:
                     seen.add(digest)
             flat = np.concatenate([np.empty(0, np.uint64), *signed])
@@ -182,7 +172,7 @@ def _count_places(length: int):
         counts = np.zeros(PLACES, np.int64)
         for batch in batches:
             for text in as_bytes(batch.column(1)):
-                counts += np.bincount(_place(shingles(text.as_py(), length)), minlength=PLACES)
+                np.add.at(counts, _place(shingles(text.as_py() or b"", length)), 1)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(counts[held])], names=["place", "n"])
 
@@ -235,7 +225,7 @@ class ShingleJoin:
         scratch, kind = self.scratch, self.docs.schema["doc_id"].dataType.simpleString()
         signed = scratch.write(
             self.docs.mapInArrow(
-                _sign(self.length, self.threshold, common_shingles(self.docs, self.length)),
+                _sign(self.length, self.threshold, common_places(self.docs, self.length)),
                 f"doc_id {kind}, n_shingles long, digest binary, matches int, sketch array<long>, signs array<long>, hot array<long>, part long",
             )
         )
@@ -377,9 +367,7 @@ class ShingleJoin:
         """
         scratch, kind = self.scratch, self.docs.schema["doc_id"].dataType.simpleString()
         named = scratch.write(self._texts(texts.select(F.col("rep").alias("doc_id")), count))
-        held = named.mapInArrow(_count_places(self.length), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-        counted, counts = held.toArrow(), np.zeros(PLACES, np.int64)  # a row per place at most
-        counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+        counts = place_counts(named, self.length)
         keys = named.mapInArrow(
             _prefix_keys(self.length, self.threshold, counts), f"rep {kind}, smaller array<long>, larger array<long>"
         )

@@ -11,10 +11,10 @@ cannot spoil them all:
 The sizes are cut into bands, and a set signs for its own band and for the band below if a similar
 smaller set can lie there, so both sides of a pair use the same segments.  ``allocate`` weighs for
 each band how many segments of either kind to use.  A band has more exact segments than needed:
-each set signs only the most telling ones: those with the most items that are not ``common``, then
+each set signs only the most telling ones: those with the most ``rare`` items, then
 the fullest.  That keeps every pair, as the order is the same for all sets: if q segments of a pair
 are equal, a set that leaves out at most q - 1 segments, the last ones in that order, still signs
-the first of the equal ones.  Any table of common items keeps every pair; a good one saves partners.
+the first of the equal ones.  Any choice of rare items keeps every pair; a good one saves partners.
 
 Sets with many segments sign some more of them than one equal segment needs.  By the same count
 every pair then shares at least ``matches`` signatures, and partners with fewer are not compared.
@@ -137,19 +137,16 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def signatures(items: np.ndarray, threshold: Threshold, common: np.ndarray) -> np.ndarray:
+def signatures(items: np.ndarray, threshold: Threshold, rare: np.ndarray) -> np.ndarray:
     """Distinct signatures of a sorted set of hashes; similar sets share one at least.
 
-    ``common`` is a sorted table of items to be expected in many sets.
+    ``rare`` is 0 for items to be expected in many sets, else 1; an item has the same in all sets.
     """
     n = len(items)
     if not n:
         return np.empty(0, np.uint64)
     scattered = mix(items + _COUNT)
-    rare = np.ones(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, items), len(common) - 1)
-        rare[common[at] == items] = 0
+    rare = rare.astype(np.int64)
     found = [
         _band_signatures(items, scattered, rare, band, threshold.differences(n, partner))
         for band, partner in bands_of(n, threshold)

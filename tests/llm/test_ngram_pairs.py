@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from areastats.llm import ngram_join, segments
@@ -133,3 +134,19 @@ def test_prefixes_meet():
             assert set(x[:prefix]) & set(y[: of[own]])
             met += 1
         assert met > 100
+
+
+def test_common_shingles_are_counted_in_all_texts(spark):
+    """A passage of 30 of 30,000 texts, whose ids share any remainder of their hash that a draw may leave out."""
+    passage = "one two three four five six seven eight"
+    ids = [r["id"] for r in spark.range(30_000).filter("pmod(xxhash64(id), 3) <> 0").limit(30).collect()]
+    own = "concat('a', id, ' b', id, ' c', id, ' d', id)"
+    docs = spark.range(30_000).withColumnRenamed("id", "doc_id").selectExpr(
+        "doc_id", f"if(doc_id in ({', '.join(map(str, ids))}), '{passage}', {own.replace('id', 'doc_id')}) as text"
+    ).unionAll(spark.sql("select null as doc_id, null as text")).repartition(5)
+    table = np.unpackbits(ngram_join.common_places(docs, 3))
+    assert table[ngram_join._place(ngram_join.shingles(passage.encode(), 3))].all()
+    rare = ngram_join.shingles(b"a1 b1 c1 d1", 3)
+    assert not table[ngram_join._place(rare)].any() and table.sum() < ngram_join.PLACES / 100
+    counts = ngram_join.place_counts(docs, 3)
+    assert counts.sum() == 2 * (30_000 - 30) + 6 * 30
