@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import Scratch, small
+from ..scale import Scratch, small, text_batches
 from .hashing import letter_table, run_hashes, word_hashes
 from .ngram_join import as_bytes
 from .tables import id_and_text
@@ -154,7 +154,7 @@ def spans(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFram
     found = aligned.select("row", "item_id", "shift", "text", "item_text").mapInArrow(
         _extend, f"row long, item_id {item_kind}, start long, end long"
     )
-    return printed.select("row", "doc_id", "n_words"), found
+    return printed.select("row", "doc_id", "n_words"), scratch.write(found)
 
 
 def contamination(
@@ -177,7 +177,8 @@ def contamination(
     """
     scratch = Scratch(docs.sparkSession)
     items = id_and_text(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")
-    rows, found = spans(id_and_text(docs, id_col, text_col), items, scratch)
+    with text_batches(docs.sparkSession):
+        rows, found = spans(id_and_text(docs, id_col, text_col), items, scratch)
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
         found.withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))

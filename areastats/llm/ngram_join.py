@@ -14,14 +14,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import Scratch, small
+from ..scale import Scratch, small, text_batches
 from .components import components
 from .hashing import letter_table, mix, shingle_set, word_hashes
 from .segments import Threshold, matches_of, signatures, sketch
 from .tables import id_and_text, only_ids
 
-#: In one batch of texts, a signature of so many of them is hot: its rows are dealt by batch.
-HOT_IN_BATCH = 64
+#: Texts and signatures after which a task writes what it has signed.
+BLOCK_TEXTS, BLOCK_SIGNATURES = 10_000, 1 << 20
+#: In one block of texts, a signature of so many of them is hot: its rows are dealt by block.
+HOT_IN_BLOCK = 64
 
 #: Buckets of the second round with more texts are compared by rare shingles instead of pair by pair.
 CROWDED = 64
@@ -68,10 +70,10 @@ def common_places(texts: DataFrame, length: int) -> np.ndarray:
 def _sign(length: int, threshold: Threshold, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rare = TaskContext.get().partitionId() << 24, 1 - np.unpackbits(common)
+        ids, sizes, digests, sketches, signed, seen = [], [], [], [], [], set()
         for batch in batches:
-            part += 1
             texts = as_bytes(batch.column(1))
-            sizes, digests, sketches, signed, seen = [], [], [], [], set()
+            ids.append(batch.column(0).take(np.arange(len(texts))))  # a copy, which does not keep the texts
             has_id = pa.compute.is_valid(batch.column(0)).to_pylist()
             for text, named in zip(texts, has_id):
                 items = shingles(text.as_py() or b"", length)
@@ -79,34 +81,45 @@ def _sign(length: int, threshold: Threshold, common: np.ndarray):
                 sizes.append(len(items))
                 digests.append(digest)
                 sketches.append(sketch(items))
-                # equal sets of a batch need one signer; a row without id has no links
+                # equal sets of a block need one signer; a row without id has no links
                 signs = named and digest not in seen
                 signed.append(signatures(items, threshold, rare[_place(items)]) if signs else np.empty(0, np.uint64))
                 if named:
                     seen.add(digest)
-            flat = np.concatenate([np.empty(0, np.uint64), *signed])
-            owner = np.repeat(np.arange(len(signed)), [len(x) for x in signed])
-            values, first, which, counts = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-            hot = (counts >= HOT_IN_BATCH)[which]
-            plain = ~hot
-            plain[first] = True  # one row of a hot signature speaks for the batch
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([matches_of(n, threshold) for n in sizes], pa.int32()),
-                    pa.array(sketches, pa.list_(pa.int64())),
-                    _lists(flat, owner, plain, len(signed)),
-                    _lists(flat, owner, hot, len(signed)),
-                    pa.array([part] * len(signed), pa.int64()),
-                ],
-                names=["doc_id", "n_shingles", "digest", "matches", "sketch", "signs", "hot", "part"],
-            )
+            if len(signed) >= BLOCK_TEXTS or sum(map(len, signed)) >= BLOCK_SIGNATURES:
+                part += 1
+                yield _signed_block(ids, sizes, digests, sketches, signed, threshold, part)
+                ids, sizes, digests, sketches, signed, seen = [], [], [], [], [], set()
+        if signed:
+            yield _signed_block(ids, sizes, digests, sketches, signed, threshold, part + 1)
 
     return run
 
 
+def _signed_block(
+    ids: list, sizes: list, digests: list, sketches: list, signed: list, threshold: Threshold, part: int
+) -> pa.RecordBatch:
+    flat = np.concatenate([np.empty(0, np.uint64), *signed])
+    owner = np.repeat(np.arange(len(signed)), [len(x) for x in signed])
+    values, first, which, counts = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+    hot = (counts >= HOT_IN_BLOCK)[which]
+    plain = ~hot
+    plain[first] = True  # one row of a hot signature speaks for the block
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays(ids),
+            pa.array(sizes, pa.int64()),
+            pa.array(digests, pa.binary()),
+            pa.array([matches_of(n, threshold) for n in sizes], pa.int32()),
+            pa.array(sketches, pa.list_(pa.int64())),
+            _lists(flat, owner, plain, len(signed)),
+            _lists(flat, owner, hot, len(signed)),
+            pa.array([part] * len(signed), pa.int64()),
+        ],
+        names=["doc_id", "n_shingles", "digest", "matches", "sketch", "signs", "hot", "part"],
+    )
+
+
 def _lists(flat: np.ndarray, owner: np.ndarray, chosen: np.ndarray, n: int) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[chosen], minlength=n)))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[chosen].view(np.int64)))
@@ -406,7 +419,8 @@ def shingle_components(
     that repeat an id are one document to the links.  A row without id has no component.
     Sets are compared by 64-bit hashes of their shingles.
     """
-    members, found = ShingleJoin(id_and_text(docs, id_col, text_col), length, percent).run()
+    with text_batches(docs.sparkSession):
+        members, found = ShingleJoin(id_and_text(docs, id_col, text_col), length, percent).run()
     return (
         members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -13,7 +13,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import cache
 from typing import NamedTuple
 
@@ -27,6 +28,8 @@ BROADCAST_VALUES = 4_000_000
 PARTITION_ROWS = 5_000_000
 # keys that a filter names one by one; longer lists are joined
 LISTED_KEYS = 300
+# bytes of a batch of texts that a task hands to Python
+TEXT_BATCH = 1 << 21
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -56,6 +59,24 @@ def _local_folder() -> str:
     return folder
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand rows to Python in Arrow batches of about ``TEXT_BATCH`` bytes.
+
+    Spark's own limit, 64 MB, is held in several copies by each task and its worker, outside the
+    heap.  A limit that the session has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, TEXT_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back."""
     return checkpoint_counted(df)[0]
